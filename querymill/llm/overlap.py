@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querymill.runtime import written
 
@@ -44,7 +45,7 @@ def canonical(text: str | None) -> str | None:
     return " ".join(_WORDS.findall(unicodedata.normalize("NFKC", text).lower()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_text(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 

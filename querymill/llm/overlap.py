@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +36,8 @@ _WORDS = re.compile(r"[^\W_]+")
 #: Pairs a group of one edit key may give before the key is refined.
 GROUP_PAIRS = 250_000
 _CHUNK = 500
+#: Share of pairs that look alike from which a group is compared as it stands.
+_DENSE = 0.1
 _NETS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
@@ -157,9 +160,13 @@ _MET = "hot boolean, key long, evals array<long>, trains array<long>"
 def _meet(limit: int | None):
     """Sorted (key, id, probe, sig) rows to lists of evaluation and training ids that share a key.
 
-    A group of more than ``limit`` pairs of one edit key is marked hot and gives each side apart.
+    A group of more than ``limit`` pairs of one edit key is marked hot and gives each side apart,
+    unless most of its pairs look alike: then they are the result, and refining it is no use.
     """
 
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(a[:, None] ^ b[None, :]) <= 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
@@ -172,19 +179,20 @@ def _meet(limit: int | None):
             e, t = ids[probe], ids[~probe]
             if not len(e) or not len(t):
                 return
-            if limit is not None and key & 1 and len(e) * len(t) > limit:
-                for i in range(0, len(e), _CHUNK):
-                    out.append((True, key, e[i : i + _CHUNK], []))
-                for i in range(0, len(t), _CHUNK):
-                    out.append((True, key, [], t[i : i + _CHUNK]))
-                return
             if key & 1:  # an edit key: the characters must nearly agree
                 bits = sig.view(np.uint64)  # popcount of a signed number would take its magnitude
                 es, ts = bits[probe], bits[~probe]
+                if limit is not None and len(e) * len(t) > limit and near(es[:_CHUNK], ts[:_CHUNK]).mean() < _DENSE:
+                    for i in range(0, len(e), _CHUNK):
+                        out.append((True, key, e[i : i + _CHUNK], []))
+                    for i in range(0, len(t), _CHUNK):
+                        out.append((True, key, [], t[i : i + _CHUNK]))
+                    return
                 for i in range(0, len(e), _CHUNK):
-                    near = np.bitwise_count(es[i : i + _CHUNK, None] ^ ts[None, :]) <= 4
-                    for j in np.flatnonzero(near.any(axis=1)):
-                        out.append((False, key, e[i + j : i + j + 1], t[near[j]]))
+                    for j in range(0, len(t), 8 * _CHUNK):
+                        agree = near(es[i : i + _CHUNK], ts[j : j + 8 * _CHUNK])
+                        for k in np.flatnonzero(agree.any(axis=1)):
+                            out.append((False, key, e[i + k : i + k + 1], t[j : j + 8 * _CHUNK][agree[k]]))
                 return
             for i in range(0, len(e), _CHUNK):
                 for j in range(0, len(t), _CHUNK):
@@ -239,15 +247,46 @@ def _finer(first: bool):
     return run
 
 
-def _same_words(a: Column, b: Column) -> Column:
-    """Neither bag of words has more than one word that the other lacks."""
+def _shared(a: str, b: str) -> int:
+    """Length of the common beginning, by halving steps of whole-string comparison."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def within_edits(a: str, b: str, most: int = 2) -> bool:
+    """Whether at most ``most`` characters inserted, deleted or replaced turn one into the other.
+
+    After the common beginning an edit must follow, so the tries are few however long the texts.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    n = _shared(a, b)
+    a, b = a[n:], b[n:]
+    if not a or not b or not most:
+        return len(a) + len(b) <= most
+    return within_edits(a[1:], b[1:], most - 1) or within_edits(a[1:], b, most - 1) or within_edits(a, b[1:], most - 1)
+
+
+def same_words(a: str, b: str, most: int = 1) -> bool:
+    """Whether neither bag of words has more than ``most`` words that the other lacks."""
+    x, y = a.split(" "), b.split(" ")
+    if abs(len(x) - len(y)) > most:
+        return False
+    common = (Counter(x) & Counter(y)).total()
+    return len(x) - common <= most and len(y) - common <= most
 
-    def lacking(x: Column, y: Column) -> Column:
-        count = lambda words, w: F.size(F.filter(words, lambda v: v == w))
-        return F.aggregate(F.array_distinct(x), F.lit(0), lambda n, w: n + F.greatest(F.lit(0), count(x, w) - count(y, w)))
 
-    x, y = F.split(a, " "), F.split(b, " ")
-    return (F.abs(F.size(x) - F.size(y)) <= 1) & (lacking(x, y) <= 1) & (lacking(y, x) <= 1)
+@F.pandas_udf(T.BooleanType())
+def near_texts_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x == y or within_edits(x, y) or same_words(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
@@ -268,7 +307,7 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
         else:
             rows = rows.join(states, ["key", "id", "probe"])
         fine = rows.join(texts.select("id", "text"), "id").select("key", "id", "probe", "text", "state")
-        fine = written(fine.repartition().mapInArrow(_finer(first), "key long, id long, probe boolean, sig long, state array<int>"), "finer")
+        fine = written(fine.repartition("id", "key").mapInArrow(_finer(first), "key long, id long, probe boolean, sig long, state array<int>"), "finer")
         # once every part is a single character, texts that share a key are nearly all true pairs
         divisible = not fine.where("state[2] - state[1] > 1 or state[4] - state[3] > 1").isEmpty()
         meet = _meet(group_pairs if divisible else None)
@@ -287,8 +326,7 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
     )
     side = texts.select("id", "text")
     both = pairs.join(side.toDF("eval_id", "a"), "eval_id").join(side.toDF("train_id", "b"), "train_id")
-    near = (F.col("a") == F.col("b")) | (F.levenshtein("a", "b", 2) >= 0) | _same_words(F.col("a"), F.col("b"))
-    return both.where(near).select("eval_id", "train_id").distinct()
+    return both.where(near_texts_udf("a", "b")).select("eval_id", "train_id").distinct()
 
 
 def split_overlap(

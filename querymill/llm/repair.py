@@ -64,7 +64,7 @@ def fold(text: str) -> str:
 def proposals(token: str, around: tuple[str, ...] = ()) -> list[str]:
     """Forms of a token that may be meant, the dominant script's first; none unless look-alikes stand out.
 
-    ``around`` holds the neighbouring tokens of the line: a token of look-alikes only, like a
+    ``around`` holds the neighbouring words, those only spaces away: a token of look-alikes only, like a
     one-letter word, belongs to its own script if a neighbour has other letters of that script.
     """
     scripts: dict[str, int] = {}
@@ -99,8 +99,12 @@ def _walk(text: str) -> Iterator[tuple[re.Match, list[str]]]:
         tokens = list(_TOKEN.finditer(text, line.start(), line.end()))
         for i, t in enumerate(tokens):
             if not t.group().isascii():
-                around = tuple(tokens[j].group() for j in (i - 1, i + 1) if 0 <= j < len(tokens))
-                yield t, proposals(t.group(), around)
+                around = []
+                if i and text[tokens[i - 1].end() : t.start()].isspace():
+                    around.append(tokens[i - 1].group())
+                if i + 1 < len(tokens) and text[t.end() : tokens[i + 1].start()].isspace():
+                    around.append(tokens[i + 1].group())
+                yield t, proposals(t.group(), tuple(around))
 
 
 def repaired(text: str, accepted: dict[str, str]) -> str:

@@ -100,14 +100,19 @@ def _log1m(x: float) -> float:
     return math.log1p(-x)
 
 
+def _one_form(uri: Column) -> Column:
+    """Listings write local files with three slashes, the scan with one."""
+    return F.regexp_replace(uri, "^file:/+", "file:/")
+
+
 def _rows_at(source: DataFrame, at: DataFrame, at_columns: list[str], columns: list[str]) -> DataFrame:
     """The rows of ``source`` that ``at`` names by file and row number; ``at`` holds as many rows as were asked for."""
     place = source.select(
         *columns,
-        F.col("_metadata.file_path").alias("__file"),
+        _one_form(F.col("_metadata.file_path")).alias("__file"),
         F.col("_metadata.row_index").alias("__row"),
     )
-    named = at.select(F.col("file").alias("__file"), F.col("row").alias("__row"), *[F.col(c).alias(f"__{c}") for c in at_columns if c not in ("file", "row")])
+    named = at.select(_one_form(F.col("file")).alias("__file"), F.col("row").alias("__row"), *[F.col(c).alias(f"__{c}") for c in at_columns if c not in ("file", "row")])
     joined = place.join(named, ["__file", "__row"])
     keep = [F.col(c) for c in columns] + [F.col(f"__{c}").alias(c) for c in at_columns]
     return joined.select(*keep)

@@ -165,12 +165,17 @@ def _scan(keep_text: bool):
                     continue
                 folded = fold(text)
                 wrong: list[str] = []
+                found = set(_TOKEN.findall(folded))
                 if not folded.isascii():
+                    right = set()
                     for token, forms in _walk(folded):
                         if forms:
                             wrong.append(token.group())
                             proposed.update((token.group(), f, p) for p, f in enumerate(forms))
-                words.update(_TOKEN.findall(folded))
+                        else:
+                            right.add(token.group())
+                    found = found.difference(wrong) | right
+                words |= found
                 for c, v in zip(docs, (k, doc, _digest(text), None if wrong else _digest(folded), folded if wrong or keep_text else None, bool(wrong), sorted(set(wrong)) or None)):
                     docs[c].append(v)
             yield table("document", **docs)
@@ -192,14 +197,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def accepted_repairs(scan: DataFrame) -> DataFrame:
     """(token, proposal): for each odd token the first proposal that the vocabulary has.
 
-    The vocabulary holds every token of the corpus that has no proposal of its own, and every form
-    that at least two different spellings point to.
+    The vocabulary holds every token of the corpus that has no proposal of its own; where it has
+    none of a token's forms, one that at least two different spellings point to counts as well.
     """
     odd = scan.where("kind = 'proposal'").select("token", "proposal", "place", "h").distinct()
     words = scan.where("kind = 'word'").select("h").distinct()
-    known = odd.join(words, "h", "left_semi")
-    shared = odd.join(odd.select("proposal", "token").distinct().groupBy("proposal").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "proposal").select(odd.columns)
-    return known.unionByName(shared).groupBy("token").agg(F.min(F.struct("place", "proposal")).alias("best")).select("token", F.col("best.proposal").alias("proposal"))
+    known = odd.join(words, "h", "left_semi").withColumn("tier", F.lit(0))
+    shared = odd.join(odd.select("proposal", "token").distinct().groupBy("proposal").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "proposal").select(odd.columns).withColumn("tier", F.lit(1))
+    return known.unionByName(shared).groupBy("token").agg(F.min(F.struct("tier", "place", "proposal")).alias("best")).select("token", F.col("best.proposal").alias("proposal"))
 
 
 def _forms(df: DataFrame, record: str, text: str, keep_text: bool) -> DataFrame:

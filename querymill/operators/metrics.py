@@ -77,8 +77,8 @@ def bce_loss(df: DataFrame, logit: str, label: str) -> DataFrame:
 def hinge_loss(df: DataFrame, group: list[str], score: str, label: str, margin: float) -> DataFrame:
     """Mean of max(0, margin - (positive - negative)) over the pairs within a group; 0 without a pair."""
     side = lambda wanted, name: df.where(F.col(label) == wanted).select(*group, F.col(score).alias(name))
-    pairs = side(1, "p").join(side(0, "n"), group)
-    return pairs.agg(F.coalesce(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("p") - F.col("n")))), F.lit(0.0)).alias("hinge_loss"))
+    pairs = side(1, "__p").join(side(0, "__n"), group)
+    return pairs.agg(F.coalesce(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("__p") - F.col("__n")))), F.lit(0.0)).alias("hinge_loss"))
 
 
 def service_counters(df: DataFrame, served: Column, latency: str, at: str, tie: str) -> DataFrame:

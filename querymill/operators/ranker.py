@@ -215,6 +215,7 @@ def train(
     patience: int = 3,
     loss: str = "bce",
     margin: float = 0.3,
+    rate: float = 1e-3,
     max_examples: int = 20_000,
     seed: int = 1337,
 ) -> tuple[RankerModel, list[dict]]:
@@ -231,7 +232,7 @@ def train(
 
     rows, held = sample(pairs), sample(dev)
     model = RankerModel(config or RankerConfig(tokenizer.vocab_size, max_seq_length=tokenizer.config.max_seq_length), seed)
-    optimizer, rng = AdamW(model), np.random.default_rng(seed)
+    optimizer, rng = AdamW(model, rate), np.random.default_rng(seed)
     ids, lengths, labels = np.array(rows["padded"].tolist(), dtype=np.int64), rows["length"].to_numpy(), rows["label"].to_numpy()
     groups = rows["prefix"].factorize()[0]
     best, best_score, stale, history = model.to_bytes(), -1.0, 0, []

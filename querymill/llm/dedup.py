@@ -31,11 +31,13 @@ def canonical_record(text: Column) -> Column:
     A facet is a piece between white space made of letters and digits around one colon, whatever
     punctuation stands at its ends.
     """
-    pieces = F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+")
+    low = F.lower(text)
+    pieces = F.split(low, r"(?U)[\s\x1c-\x1f]+")
     facets = F.array_sort(F.transform(F.filter(pieces, lambda p: p.rlike(_FACET)), lambda p: F.regexp_extract(p, _FACET, 1)))
     words = F.array_join(F.filter(pieces, lambda p: ~p.rlike(_FACET)), "")
-    plain = F.regexp_replace(words, r"[^\p{L}\p{N}]+", "")
-    key = F.concat(plain, F.lit(" "), F.array_join(facets, " "))
+    letters = lambda t: F.regexp_replace(t, r"[^\p{L}\p{N}]+", "")
+    with_facets = F.concat(letters(words), F.lit(" "), F.array_join(facets, " "))
+    key = F.when(F.contains(text, F.lit(":")), with_facets).otherwise(F.concat(letters(low), F.lit(" ")))
     return F.when(text.isNotNull() & (F.length(F.trim(key)) > 0), key)
 
 

@@ -19,17 +19,6 @@ def keep_first(df: DataFrame, group: list[str], key: Column, place: str) -> Data
     return df.withColumn("__key", key).withColumn("__rank", rank).where("__rank = 1").drop("__key", "__rank")
 
 
-def islands(df: DataFrame, value: str, line: str, shard: str | None = None) -> DataFrame:
-    """``df`` with ``group_id``: lines of an equal value that follow one another share one.
-
-    ``shard`` names files or partitions that are numbered on their own; without it the order of
-    lines is global, and one task sorts them.
-    """
-    order = Window.partitionBy(*([shard] if shard else [])).orderBy(line)
-    starts = F.when(F.lag(value).over(order).eqNullSafe(F.col(value)) & F.lag(line).over(order).isNotNull(), 0).otherwise(1)
-    return df.withColumn("__start", starts).withColumn("group_id", F.sum("__start").over(order)).drop("__start")
-
-
 def pool_metrics(ranked: DataFrame, group: list[str], top_k: int = 5) -> DataFrame:
     """One row of means over groups of (rank, relevant boolean) rows.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import text
-from querymill.operators import corpus, heavy_keys, index, metrics, pairs, requests, urls, vocab
+from querymill.operators import corpus, heavy_keys, index, metrics, ordering, pairs, requests, urls, vocab
 from querymill.runtime import written
 
 
@@ -342,8 +342,7 @@ SQL["rank_metrics_baseline"] = _with("split = 'train'") + _STAGED.format(n=8) +
 def _scored_pairs(spark, folder):
     """Distinct pairs in a line order, with a score that depends on the text alone."""
     rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate", "label").distinct()
-    line = F.row_number().over(Window.orderBy("prefix", "candidate", "label"))
-    return rows.withColumn("line", line).withColumn("score", text.split_share(F.col("candidate")))
+    return ordering.numbered(rows, ["prefix", "candidate", "label"]).withColumn("score", text.split_share(F.col("candidate")))
 
 
 _SCORED = """with pairs as (select distinct prefix, candidate, label from training_pairs where prefix is not null and candidate is not null),
@@ -351,7 +350,7 @@ _SCORED = """with pairs as (select distinct prefix, candidate, label from traini
 
 
 def pair_islands_metrics(spark, folder):
-    grouped = metrics.islands(_scored_pairs(spark, folder), "prefix", "line")
+    grouped = ordering.islands(_scored_pairs(spark, folder), "prefix", "line")
     ranked = metrics.rerank(grouped, ["group_id"], "score", "line").withColumn("relevant", F.col("label") == 1)
     return metrics.pool_metrics(ranked, ["group_id"])
 
@@ -380,6 +379,14 @@ SQL["hinge_loss"] = _SCORED + """, b as (select *, line // 512 as batch from sco
     select coalesce(avg(greatest(0, 0.3 - (p.score - n.score))), 0)::double as hinge_loss from b p join b n on p.batch = n.batch and p.prefix = n.prefix and p.label = 1 and n.label = 0"""
 
 
+def mini_batches(spark, folder):
+    rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate", "label").distinct()
+    return ordering.mini_batches(rows, ["candidate", "prefix", "label"], 64)
+
+
+SQL["mini_batches"] = "select *, (row_number() over (order by candidate, prefix, label) - 1) // 64 as batch from (select distinct prefix, candidate, label from training_pairs where prefix is not null and candidate is not null)"
+
+
 def latency_percentiles(spark, folder):
     return metrics.latency_summary(table(spark, folder, "events"), "event_type", "value")
 
@@ -483,6 +490,19 @@ SQL["input_fields"] = rf"""with f as (select *, {" || ' ' || ".join(_BLANK(c) fo
     s as (select *, lower({_BLANK('type')}) in {requests.SENSITIVE_TYPES} or lower({_BLANK('autocomplete')}) in {requests.SENSITIVE_AUTOCOMPLETE} or regexp_matches(names, '{requests.SENSITIVE_NAME}') as sensitive from f)
     select n, sensitive, not sensitive and (lower({_BLANK('type')}) = 'search' or lower({_BLANK('role')}) = 'searchbox' or lower({_BLANK('form_role')}) = 'search' or contains(lower({_BLANK('form_action')}), 'search') or regexp_matches(names, '{requests.SEARCH_NAME}')) as search from s"""
 
+_SETTINGS = [("http://localhost", 5, 200), ("ftp://x", 0, 20), ("", 21, 5000), (None, None, None), ("https://a.b/", 20, 50)]
+
+
+def settings_check(spark, folder):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_SETTINGS)], "n int, api_base_url string, top_k int, debounce_ms int")
+    checked = requests.validate_settings(rows)
+    return checked.select("n", F.size("errors").alias("n_errors"), "valid", "clean_url", "clean_top_k", "clean_debounce_ms")
+
+
+SQL["settings_check"] = f"""with s as (select *, coalesce(regexp_matches(u, '^https?://'), false) as a, coalesce(k between 1 and 20, false) as b, coalesce(d between 50 and 1000, false) as c
+      from (values {", ".join(f"({i}, {'null' if u is None else repr(u)}, {'null' if k is None else k}, {'null' if d is None else d})" for i, (u, k, d) in enumerate(_SETTINGS))}) v(n, u, k, d))
+    select n, (not a)::int + (not b)::int + (not c)::int as n_errors, a and b and c as valid, case when a then regexp_replace(u, '/+$', '') else 'http://localhost' end as clean_url, case when b then k else 5 end as clean_top_k, case when c then d else 200 end as clean_debounce_ms from s"""
+
 # --- addresses ------------------------------------------------------------------------------------
 
 _ODD_URLS = (
@@ -541,7 +561,7 @@ QUERIES = {
         p5_found, p5_key_counts, dedup_query_log, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
         pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, encoded_pairs, rank_metrics_baseline,
-        pair_islands_metrics, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, rate_limit_log, ttl_cache_flags, debounced_events, latest_requests,
-        client_response_dedup, highlighted, request_urls, input_fields, url_analysis, registry_match,
+        pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, rate_limit_log, ttl_cache_flags, debounced_events, latest_requests,
+        client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, registry_match,
     )
 }

@@ -147,3 +147,24 @@ def is_search_field() -> Column:
     """Over the same columns and role, form_role, form_action."""
     hint = (F.lower(_text("type")) == "search") | (F.lower(_text("role")) == "searchbox") | (F.lower(_text("form_role")) == "search")
     return ~is_sensitive_field() & (hint | F.lower(_text("form_action")).contains("search") | _named().rlike(SEARCH_NAME))
+
+
+# Schemes of pages that belong to the browser.
+INTERNAL_PAGES = "^(chrome|chrome-extension|edge|about|devtools|view-source):"
+
+
+def is_internal_page(url: Column) -> Column:
+    return F.coalesce(F.lower(url).rlike(INTERNAL_PAGES), F.lit(True))
+
+
+def validate_settings(df: DataFrame, url: str = "api_base_url", top_k: str = "top_k", debounce: str = "debounce_ms") -> DataFrame:
+    """``df`` with valid, the list of errors, and usable values: defaults where a setting is wrong or missing."""
+    checks = (
+        (F.trim(F.col(url)).rlike("^https?://"), "address must be http or https", "clean_url", F.regexp_replace(F.trim(F.col(url)), "/+$", ""), "http://localhost"),
+        (F.col(top_k).between(1, 20), "number of suggestions must lie from 1 to 20", "clean_top_k", F.col(top_k), 5),
+        (F.col(debounce).between(50, 1000), "wait must lie from 50 to 1000 ms", "clean_debounce_ms", F.col(debounce), 200),
+    )
+    good = [F.coalesce(test, F.lit(False)) for test, *_ in checks]
+    errors = F.filter(F.array(*[F.when(~ok, F.lit(message)) for ok, (_, message, *_) in zip(good, checks)]), lambda e: e.isNotNull())
+    clean = {name: F.when(ok, value).otherwise(default) for ok, (_, _, name, value, default) in zip(good, checks)}
+    return df.withColumns({"errors": errors, "valid": good[0] & good[1] & good[2], **clean})

@@ -201,3 +201,9 @@ def threat_lookup(df: DataFrame, host: str, feed: DataFrame) -> DataFrame:
     return joined.withColumn("provider_hits", F.coalesce(F.col("__hits.provider"), none)).withColumn("threat_type", F.col("__hits")[0]["threat_type"]).withColumn(
         "known_threat", F.col("__hits").isNotNull()
     ).drop("__key", "__hits")
+
+
+def scan_verdict(malicious: Column, suspicious: Column) -> Column:
+    """The hit a multi-engine scanner's counts amount to, or null: any malicious or several suspicious findings."""
+    m, s = F.coalesce(malicious, F.lit(0)), F.coalesce(suspicious, F.lit(0))
+    return F.when((m > 0) | (s > 1), F.concat(F.lit("MALICIOUS_DETECTIONS_"), m.cast("string")))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querymill.operators import corpus, heavy_keys, index, metrics, pairs, ranker, requests, urls, vocab
+from querymill.operators import corpus, heavy_keys, index, metrics, ordering, pairs, ranker, requests, urls, vocab
 from querymill.runtime import shared_dir
 
 LOG = [
@@ -175,7 +175,12 @@ def test_metrics(spark):
     assert metrics.hinge_loss(scored.withColumn("s", -F.col("s")), ["p"], "s", "l", 0.3).first()[0] == pytest.approx(3.3)
     assert metrics.hinge_loss(scored.limit(0), ["p"], "s", "l", 0.3).first()[0] == 0.0
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(["a", "a", "b", None, None, "a"])], "line int, v string")
-    assert [r.group_id for r in metrics.islands(lines, "v", "line").orderBy("line").collect()] == [1, 1, 2, 3, 3, 4]
+    for block in (1, 2, 3, 100):
+        assert [r.group_id for r in ordering.islands(lines.repartition(3), "v", "line", block).orderBy("line").collect()] == [1, 1, 2, 3, 3, 4]
+    got = ordering.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5), ["x"]).collect()
+    assert all(r.line == r.x + 1 for r in got)
+    assert ordering.shard(lines, "line", 3, 1).count() == 2 and ordering.numbered(lines.limit(0), ["line"], "n").count() == 0
+    assert [requests.is_internal_page(F.lit(u)) is not None for u in ("about:blank",)] == [True]
 
 
 def test_ranker_gradient_and_parameters():

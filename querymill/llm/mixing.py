@@ -79,10 +79,10 @@ def _plan(sizes: DataFrame, targets: DataFrame, budget: int | None, by_temperatu
     tokens: dict[str, int] = {}
     if usable:
         if by_temperature:
-            spend = budget or sum(usable.values())
-            spend = min(spend, sum(limits[s] * n for s, n in usable.items()))
-            exponent = temperature_exponent(usable, limits, spend, entropy(shares))
+            goal = entropy(shares)
+            exponent = temperature_exponent(usable, limits, budget or 0, goal)
             shares = temperature_shares(usable, exponent)
+            spend = budget or int(min(limits[s] * usable[s] / shares[s] for s in usable))
             tokens = {s: min(int(x * spend), limits[s] * usable[s]) for s, x in shares.items()}
         else:
             # without a budget: the most tokens at which every source still has exactly its share
@@ -114,7 +114,7 @@ def mix_sources(
 
     Targets of sources without any token are spread over the others in proportion and reported
     as reached 0.  Without ``budget`` the selection is the largest in which every other source
-    reaches its target; with it, sources beyond their limit give what they have and the rest
+    reaches its share; with it, sources beyond their limit give what they have and the rest
     goes to the others in proportion to their targets.  ``by_temperature`` ignores the single
     targets and flattens the natural shares to their entropy instead.  A source is cut at its
     budget to less than one document.

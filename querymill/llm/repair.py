@@ -243,13 +243,18 @@ def same_looking(df: DataFrame, record: str = "doc_id", text: str = "text") -> D
     """Pairs of documents whose texts differ but have the same form: (doc_id_a, doc_id_b), doc_id_a < doc_id_b, once.
 
     Null ids and texts are left out; texts that are equal as they stand are no pair.  Forms are
-    compared by 128-bit digests.  Only forms with several raw texts are joined, and each of them
-    is spread over salts, so that copies of one text don't meet in one task.
+    compared by 128-bit digests.  Copies of one text are never paired with each other, and those
+    of a text with many copies are spread over salts.
     """
     forms = written(_forms(df, record, text, False).where("doc_id is not null"), "forms")
-    several = forms.groupBy("form", "raw").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = forms.join(several.select("form"), "form").distinct()
-    left = rows.select("form", F.col("raw").alias("raw_a"), F.col("doc_id").alias("doc_id_a"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt"))
-    right = rows.select("form", F.col("raw").alias("raw_b"), F.col("doc_id").alias("doc_id_b"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    pairs = left.join(right, ["form", "salt"]).where("doc_id_a < doc_id_b and raw_a != raw_b")
-    return pairs.select("doc_id_a", "doc_id_b").distinct()
+    raws = forms.select("form", "raw").distinct()
+    several = raws.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
+    raws = written(raws.join(several, "form"), "raws")
+    # a raw text stands for all its copies: only pairs of different texts are formed, each once
+    texts = raws.select("form", F.col("raw").alias("raw_a")).join(raws.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b")
+    salted = texts.select("raw_a", "raw_b", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    docs = forms.select("raw", "doc_id").join(raws.select("raw"), "raw", "left_semi").distinct()
+    left = docs.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt"))
+    right = docs.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("b"))
+    pairs = salted.join(left, ["raw_a", "salt"]).join(right, "raw_b").where("a != b")
+    return pairs.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()

@@ -54,7 +54,9 @@ def lookup_batch(queries: DataFrame, prefixes: DataFrame, limit: int = 100, max_
         return queries.where("false").select(F.lit("").alias(matched), F.lit(0).alias("rank"), "*")
     asked = prefixes.select(F.col(matched).alias("asked")).where("asked is not null").distinct()
     typed = asked.where("asked != ''").withColumn("head", F.substring("asked", 1, max_length))
-    heads = queries.withColumn("head", F.explode(text.generate_prefixes(F.col("match_key"), 1, max_length, True, max_length)))
+    lengths = sorted(r[0] for r in typed.select(F.length("head")).distinct().collect())  # at most max_length numbers
+    own = [F.when(F.length("match_key") >= n, F.substring("match_key", 1, n)) for n in lengths] or [F.lit(None).cast("string")]
+    heads = queries.withColumn("head", F.explode(F.array(*own))).where("head is not null")
     hits = heads.join(typed, "head").where(F.col("match_key").startswith(F.col("asked"))).drop("head")
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(*_order()))
     ranked = hits.withColumn("rank", rank).where(F.col("rank") <= limit)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querymill.functions import text
 from querymill.runtime import written
@@ -74,7 +76,7 @@ def vocabulary_size(vocab: DataFrame) -> int:
 
 
 class Tokenizer:
-    """A fitted vocabulary; its size is capped by the configuration, so tasks get it as two literal maps."""
+    """A fitted vocabulary; its size is capped by the configuration, so tasks get it as two broadcast dictionaries."""
 
     def __init__(self, vocab: DataFrame, config: TokenizerConfig = TokenizerConfig()):
         self.config = config
@@ -105,37 +107,39 @@ class Tokenizer:
         config = TokenizerConfig(**json.loads(spark.read.text(f"{path}/config").first()[0]))
         return cls(spark.read.parquet(f"{path}/vocabulary"), config)
 
-    def _maps(self, df: DataFrame) -> DataFrame:
-        """``df`` with the two maps, as one broadcast row."""
-        spark = df.sparkSession
-        maps = spark.createDataFrame([(1, self.words, self.chars)], "one int, words map<string,int>, chars map<string,int>")
-        return df.withColumn("one", F.lit(1)).join(F.broadcast(maps), "one").drop("one")
+    def _ids(self, source: Column, spark) -> Column:
+        """Ids of a text's tokens: tokens come from the JVM, the dictionaries are broadcast once."""
+        tables = spark.sparkContext.broadcast((self.words, self.chars, self.config.mode == "word"))
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def ids(lists: pd.Series) -> pd.Series:
+            words, chars, words_only = tables.value
 
-    def _ids(self, source: Column) -> Column:
-        def ids(token: Column) -> Column:
-            by_char = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.coalesce(F.col("chars")[c], F.lit(UNK)))
-            unknown = F.array(F.lit(UNK)) if self.config.mode == "word" else by_char
-            word = F.col("words")[token]
-            return F.when(word.isNotNull(), F.array(word)).otherwise(unknown)
+            def of(token: str) -> list[int]:
+                known = words.get(token)
+                if known is not None:
+                    return [known]
+                return [UNK] if words_only else [chars.get(c, UNK) for c in token]
 
-        return F.flatten(F.transform(text.pretokenize(source, self.config.lowercase, self.config.ascii_only), ids))
+            return lists.map(lambda tokens: [i for t in tokens for i in of(t)])
+
+        return ids(text.pretokenize(F.coalesce(source, F.lit("")), self.config.lowercase, self.config.ascii_only))
 
     def encode(self, df: DataFrame, column: str, out: str = "ids", max_length: int | None = None) -> DataFrame:
-        """``df`` with the ids of a text, cut to ``max_length``."""
+        """``df`` with the ids of a text, cut to ``max_length``; a null text has none."""
         n = max_length or self.config.max_seq_length
-        source = F.coalesce(F.col(column), F.lit(""))
-        return self._maps(df).withColumn(out, F.slice(self._ids(source), 1, n)).drop("words", "chars")
+        return df.withColumn(out, F.slice(self._ids(F.col(column), df.sparkSession), 1, n))
 
     def encode_pairs(self, df: DataFrame, max_length: int | None = None) -> DataFrame:
         """``df`` with ids, padded ids, mask and length of [CLS] prefix [SEP] candidate [SEP]."""
         n = max_length or self.config.max_seq_length
         room = max(0, n - 3)
         half = room // 2
-        empty = F.lit("")
-        rows = self._maps(df)
-        parts = rows.withColumn("p", self._ids(F.coalesce("prefix", empty))).withColumn("c", self._ids(F.coalesce("candidate", empty)))
-        ids = F.concat(F.array(F.lit(CLS)), F.slice("p", 1, half), F.array(F.lit(SEP)), F.slice("c", 1, room - half), F.array(F.lit(SEP)))
-        encoded = parts.withColumn("ids", F.slice(ids, 1, n)).drop("p", "c", "words", "chars")
+        spark = df.sparkSession
+        parts = df.withColumns({"__p": self._ids(F.col("prefix"), spark), "__c": self._ids(F.col("candidate"), spark)})
+        mark = lambda x: F.array(F.lit(x))
+        ids = F.concat(mark(CLS), F.slice("__p", 1, half), mark(SEP), F.slice("__c", 1, room - half), mark(SEP))
+        encoded = parts.withColumn("ids", F.slice(ids, 1, n)).drop("__p", "__c")
         return pad(encoded, n)
 
 

@@ -143,7 +143,38 @@ marked as (
   select *, case when n_rows < 3 then 'rare' when n_rows > floor((select count(*) from training_pairs) / 10) then 'common' end as mark from counted)
 """
 
+# all evaluation texts against all training texts, which only small tables allow
+_P4 = r"""
+with canon as (
+  select qid, split, source, trim(regexp_replace(lower(normalized_query), '[^\p{L}\p{N}]+', ' ', 'g')) as t
+  from queries where qid is not null and normalized_query is not null and split in ('train', 'dev', 'test')),
+kept as (select * from canon where t <> ''),
+a as (select distinct t, string_split(t, ' ') as w from kept where split <> 'train'),
+b as (select distinct t, string_split(t, ' ') as w from kept where split = 'train'),
+close as (select a.t as ta, b.t as tb, a.w as wa, b.w as wb from a join b on abs(length(a.t) - length(b.t)) <= 2 or abs(len(a.w) - len(b.w)) <= 1),
+near as (
+  select ta, tb from close where (abs(length(ta) - length(tb)) <= 2 and levenshtein(ta, tb) <= 2)
+  or (abs(len(wa) - len(wb)) <= 1 and len(list_intersect(wa, wb)) >= len(list_distinct(wa)) - 2
+    and greatest(len(wa), len(wb)) - list_sum(list_transform(list_distinct(wa), lambda w: least(len(list_filter(wa, lambda v: v = w)), len(list_filter(wb, lambda v: v = w))))) <= 1))
+"""
+
+# look-alikes replaced everywhere, without tokens or a vocabulary
+_WIDE = [chr(c) for c in range(0xFF01, 0xFF5F)] + [chr(c) for c in range(0x1D670, 0x1D6A4)]
+_NARROW = [chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)] + list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+_SPACE_KINDS = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+_FOLD = "text"
+for _ligature, _letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
+    _FOLD = f"replace({_FOLD}, '{_ligature}', '{_letters}')"
+_FOLD = f"translate({_FOLD}, '{''.join([*_WIDE, *_SPACE_KINDS])}', '{''.join([*_NARROW, *' ' * len(_SPACE_KINDS)])}')".replace("&'", "&''")
+_FOLD = f"nfc_normalize(regexp_replace({_FOLD}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{feff}}]', '', 'g'))"
+_FOLD = f"translate({_FOLD}, '{''.join(repair._LATIN)}', '{''.join(repair._LATIN.values())}')"
+
 SQL = {
+    "p4_found": _P4 + """select distinct least(x.qid, y.qid) as qid_a, greatest(x.qid, y.qid) as qid_b from near join kept x on x.t = ta and x.split <> 'train' join kept y on y.t = tb and y.split = 'train' where x.qid <> y.qid""",
+    "p4_report": _P4 + """, per as (select split, source, qid, max((t in (select ta from near))::int) as hit from kept where split <> 'train' group by all)
+        select split, source, count(*) as n_records, sum(hit)::bigint as n_overlapping from per group by all""",
+    "p10_found": f"""with folded as (select doc_id, text, {_FOLD} as f from documents where text is not null and doc_id is not null)
+        select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from folded a join folded b on a.f = b.f and a.doc_id < b.doc_id and a.text <> b.text""",
     "p1_found": """
         select prefix, new_rank::int as new_rank, normalized_query from (
           select prefix, normalized_query, row_number() over (partition by prefix order by p desc, normalized_query) as new_rank from (

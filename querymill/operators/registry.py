@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import text
-from querymill.operators import corpus, heavy_keys, index, metrics, ordering, pairs, requests, urls, vocab
+from querymill.operators import corpus, heavy_keys, index, metrics, ordering, pairs, ranker, requests, urls, vocab
 from querymill.runtime import written
 
 
@@ -411,6 +411,35 @@ def service_metrics(spark, folder):
 SQL["service_metrics"] = """select count(*) as total_requests, count(*) filter (event_type <> 'error') as served_requests, count(*) filter (event_type = 'error') as failed_requests,
     coalesce(avg(value) filter (event_type <> 'error'), 0) as avg_latency_ms, arg_max(value, (ts, event_id)) filter (event_type <> 'error') as last_latency_ms from events"""
 
+#: A small ranker, so that training takes seconds; its sample of labelled pairs is bounded.
+_RANKER = {"embedding_dim": 16, "hidden_dim": 16, "dropout": 0.0, "max_seq_length": 40}
+
+
+def _trained(spark, folder):
+    labelled = table(spark, folder, "training_pairs")
+    tokenizer = vocab.Tokenizer.fit_pairs(labelled, _TOKENS)
+    config = ranker.RankerConfig(tokenizer.vocab_size, **_RANKER)
+    model, _ = ranker.train(tokenizer, labelled, labelled, config, epochs=1, max_examples=4_000)
+    return tokenizer, model
+
+
+def reranked_pairs(spark, folder):
+    """Every distinct labelled pair with its score and its rank among the pairs of its prefix."""
+    tokenizer, model = _trained(spark, folder)
+    rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate", "label").distinct()
+    scored = ranker.score_pairs(rows, tokenizer, model)
+    return metrics.rerank(scored.withColumn("place", F.struct("candidate", "label")), ["prefix"], "score", "place").drop("place")
+
+
+def suggestions(spark, folder):
+    """Suggestions of the re-ranker for every prefix of one or two characters."""
+    tokenizer, model = _trained(spark, folder)
+    queries = written(_index(spark, folder), "index")
+    cache = written(index.hot_prefix_cache(queries, 50), "cache")
+    asked = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 2, True, 2)).alias("prefix")).distinct()
+    return ranker.suggest(asked, queries, cache, tokenizer, model, 5, 50, ascii_only=True)
+
+
 # --- requests -------------------------------------------------------------------------------------
 
 
@@ -428,6 +457,40 @@ def ttl_cache_flags(spark, folder):
     return requests.ttl_cache(events, "key", "at", "event_id", ttl=86_400.0).select("event_id", "key", "cached", "first_tie")
 
 
+_IN_ORDER = "with recursive seq as (select *, row_number() over (partition by k order by sec, event_id) as n from (select event_id, user_id, {key} as k, epoch_us(ts) / 1e6 as sec from events) where k is not null)"
+SQL["rate_limit_log"] = _IN_ORDER.format(key="user_id") + """, r as (
+      select k, n, event_id, [sec] as times, true as allowed, 0 as retry_after from seq where n = 1
+      union all select k, n, event_id, case when len(kept) < 3 then list_append(kept, sec) else kept end, len(kept) < 3, case when len(kept) < 3 then 0 else greatest(1, floor(kept[1] + 86400.0 - sec + 0.99)::int) end
+      from (select s.k, s.n, s.event_id, s.sec, list_filter(r.times, lambda t: t > s.sec - 86400.0) as kept from r join seq s on s.k = r.k and s.n = r.n + 1))
+    select event_id, k as user_id, allowed, retry_after from r"""
+SQL["ttl_cache_flags"] = _IN_ORDER.format(key="concat_ws(':', event_type, user_id)") + """, r as (
+      select k, n, event_id, sec as filled, event_id as first_tie, false as cached from seq where n = 1
+      union all select s.k, s.n, s.event_id, case when s.sec - r.filled < 86400.0 then r.filled else s.sec end, case when s.sec - r.filled < 86400.0 then r.first_tie else s.event_id end, s.sec - r.filled < 86400.0
+      from r join seq s on s.k = r.k and s.n = r.n + 1)
+    select event_id, k as key, cached, first_tie from r"""
+
+
+def rate_limit_stream(spark, folder):
+    """The limiter over the request log as a stream, run until the log is read."""
+    from querymill.runtime import new_path
+    from querymill.streaming import state
+
+    for key, value in state.STATE_CONF.items():
+        spark.conf.set(key, value)
+    source = f"{folder}/events.parquet"
+    # a pattern, as a file source takes no single file
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{folder}/events.parque[t]")
+    rows = stream.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("request_id"), _seconds("ts").alias("at"))
+    out = new_path(spark, "stream")
+    writer = state.rate_limit_stream(rows, 3, 86_400.0).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    done = spark.read.schema("client string, request_id long, allowed boolean, retry_after int").parquet(f"{out}/rows")
+    return done.select(F.col("request_id").alias("event_id"), F.col("client").cast("long").alias("user_id"), "allowed", "retry_after")
+
+
+SQL["rate_limit_stream"] = SQL["rate_limit_log"]
+
+
 def debounced_events(spark, folder):
     events = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
     return requests.debounce(events, "user_id", "ts", "event_id", "event_type", 3_600_000).select("event_id", "user_id")
@@ -468,8 +531,14 @@ SQL["highlighted"] = """with d as (select distinct prefix, candidate, trim(prefi
 def request_urls(spark, folder):
     rows = table(spark, folder, "queries").where("original_query is not null").select("qid", "original_query", "duplicate_count").distinct()
     url = text.request_url(F.lit("http://localhost//"), F.col("original_query"), F.col("duplicate_count").cast("int"))
-    return rows.select("qid", "original_query", url.alias("url"))
+    return rows.select("qid", "original_query", url.alias("url")).distinct()
+
 
+_ENCODED = "url_encode(original_query)"
+for _kept, _code in (("!", "%21"), ("''", "%27"), ("(", "%28"), (")", "%29"), ("*", "%2A")):
+    _ENCODED = f"replace({_ENCODED}, '{_code}', '{_kept}')"
+SQL["request_urls"] = f"""select distinct qid, original_query, 'http://localhost/api/v1/suggestions?q=' || {_ENCODED} || '&top_k=' || case when coalesce(duplicate_count, 0) = 0 then 5 else greatest(1, least(20, duplicate_count)) end as url
+    from queries where original_query is not null"""
 
 _FIELD_ROWS = [
     ("password", None, "x", None, None, None, None, None, None, None), ("text", "cc-number", None, None, None, None, None, None, None, None), ("search", None, "q", None, None, None, None, None, None, None),
@@ -561,7 +630,7 @@ QUERIES = {
         p5_found, p5_key_counts, dedup_query_log, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
         pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, encoded_pairs, rank_metrics_baseline,
-        pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, rate_limit_log, ttl_cache_flags, debounced_events, latest_requests,
+        pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,
         client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, registry_match,
     )
 }

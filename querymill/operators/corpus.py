@@ -41,25 +41,44 @@ def rejected_rows(df: DataFrame, samples: int = 10, **key: bool) -> DataFrame:
 def dedup_query_log(df: DataFrame, popularity: str = "duplicate_count", **key: bool) -> DataFrame:
     """One row per (match_key, normalized_query), the one of the smallest qid.
 
-    duplicate_count counts the other rows, repeated ids included, and duplicate_qids lists their
-    ids in order.  popularity is duplicate_count + 1, or 1 for ``popularity='neutral'``.
+    duplicate_count counts the other rows, repeated ids included.  popularity is duplicate_count
+    + 1, or 1 for ``popularity='neutral'``.  The ids of the other rows are in ``duplicates``: as a
+    list they would not fit into a row where one query makes up much of the log.
     """
     if popularity not in ("duplicate_count", "neutral"):
         raise ValueError(f"unknown popularity {popularity!r}")
-    ids = F.sort_array(F.collect_list("qid"))
     grouped = (
         valid_rows(df, **key)
         .groupBy("match_key", "normalized_query")
-        .agg(F.min(F.struct("qid", "original_query")).alias("first"), F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+        .agg(F.min(F.struct("qid", "original_query")).alias("first"), F.count(F.lit(1)).alias("n"))
     )
     return grouped.select(
         "match_key", "normalized_query", F.col("first.qid").alias("qid"), F.col("first.original_query").alias("original_query"),
-        F.array_join(F.slice("ids", F.lit(2), F.size("ids")), ",").alias("duplicate_qids"),
         (F.col("n") - 1).alias("duplicate_count"),
         (F.col("n") if popularity == "duplicate_count" else F.lit(1).cast("long")).alias("popularity"),
     )
 
 
+def duplicates(df: DataFrame, **key: bool) -> DataFrame:
+    """(normalized_query, qid, duplicate_qid, n_rows): the other rows of each query, by id.
+
+    The query's own id is among them if it was delivered more than once, with one row less.
+    """
+    rows = valid_rows(df, **key)
+    canonical = rows.groupBy("normalized_query").agg(F.min("qid").alias("qid"))
+    counted = rows.groupBy("normalized_query", F.col("qid").alias("duplicate_qid")).agg(F.count(F.lit(1)).alias("n"))
+    joined = counted.join(canonical, "normalized_query")
+    n = F.col("n") - (F.col("duplicate_qid") == F.col("qid")).cast("long")
+    return joined.select("normalized_query", "qid", "duplicate_qid", n.alias("n_rows")).where("n_rows > 0")
+
+
+def with_duplicate_lists(queries: DataFrame, others: DataFrame) -> DataFrame:
+    """``queries`` with duplicate_qids, a sorted comma list; for logs whose largest group fits into a row."""
+    repeated = F.explode(F.array_repeat("duplicate_qid", F.col("n_rows").cast("int")))
+    lists = others.select("normalized_query", repeated.alias("d")).groupBy("normalized_query").agg(F.array_join(F.sort_array(F.collect_list("d")), ",").alias("duplicate_qids"))
+    return queries.join(lists, "normalized_query", "left").withColumn("duplicate_qids", F.coalesce("duplicate_qids", F.lit("")))
+
+
 def build_stats(df: DataFrame, **key: bool) -> DataFrame:
     """One row: rows seen, rejected, processed, unique and duplicate queries."""
     rows = keyed(df, **key).withColumn("ok", F.coalesce(_valid(), F.lit(False)))

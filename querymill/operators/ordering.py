@@ -47,6 +47,29 @@ def islands(df: DataFrame, value: str, line: str, block: int = 100_000) -> DataF
     return counted.withColumn("group_id", F.col("__own") + F.col("__offset")).drop("__block", "__start", "__own", "__offset")
 
 
+def with_next(df: DataFrame, key: list[str], order: list[str], out: str = "following") -> DataFrame:
+    """``df`` with a struct of the ``order`` columns of the next row of the same key, null for the last.
+
+    Rows are range partitioned by key and order, so a key that holds a large part of all rows
+    covers several partitions; where it goes on in a later one, that one's first row is the next.
+    Null is a key like any other.
+    """
+    place = F.struct(*order)
+    parts = written(df.repartitionByRange(*key, *order).withColumn("__part", F.spark_partition_id()), "ordered")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(key)]
+    firsts = parts.groupBy("__part", *key).agg(F.min(place).alias("__first"))
+    later = F.lead("__first").over(Window.partitionBy(*key).orderBy("__part"))
+    renamed = [F.col(c).alias(f"__k{i}") for i, c in enumerate(key)]
+    firsts = firsts.select(F.col("__part").alias("__p"), *renamed, later.alias("__later")).where("__later is not null")
+    inside = F.lead(place).over(Window.partitionBy("__part", *key).orderBy(*order))
+    rows = parts.withColumn("__inside", inside)
+    on = F.col("__part") == F.col("__p")
+    for s in same:
+        on = on & s
+    joined = rows.join(firsts, on & F.col("__inside").isNull(), "left")
+    return joined.withColumn(out, F.coalesce("__inside", "__later")).select(*df.columns, out)
+
+
 def shuffle_key(seed: int, *columns: str) -> Column:
     """A key whose order is a shuffle that the seed and the row alone decide."""
     return F.xxhash64(F.lit(seed), *columns)

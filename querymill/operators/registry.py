@@ -68,7 +68,23 @@ def dedup_query_log(spark, folder):
     return _index(spark, folder)
 
 
-SQL["dedup_query_log"] = _with() + "select * from indexed"
+SQL["dedup_query_log"] = _with() + "select * exclude (duplicate_qids) from indexed"
+
+
+def duplicate_members(spark, folder):
+    return corpus.duplicates(_log(spark, folder), **_JVM)
+
+
+SQL["duplicate_members"] = _with() + """, c as (select normalized_query, qid as duplicate_qid, count(*) as n from valid group by 1, 2), m as (select normalized_query, min(qid) as qid from valid group by 1)
+    select normalized_query, qid, duplicate_qid, n - (duplicate_qid = qid)::int as n_rows from c join m using (normalized_query) where n - (duplicate_qid = qid)::int > 0"""
+
+
+def duplicate_lists(spark, folder):
+    listed = corpus.with_duplicate_lists(_index(spark, folder), duplicate_members(spark, folder))
+    return listed.select("normalized_query", "qid", "duplicate_qids")
+
+
+SQL["duplicate_lists"] = _with() + "select normalized_query, qid, duplicate_qids from indexed"
 
 
 def dedup_neutral_popularity(spark, folder):
@@ -627,7 +643,7 @@ SQL["registry_match"] = _URL_SQL + """, reg as (select distinct split_part(repo,
 QUERIES = {
     f.__name__: f
     for f in (
-        p5_found, p5_key_counts, dedup_query_log, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
+        p5_found, p5_key_counts, dedup_query_log, duplicate_members, duplicate_lists, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
         pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, encoded_pairs, rank_metrics_baseline,
         pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,

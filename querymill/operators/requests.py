@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querymill.operators.ordering import with_next
+
 
 def _scan(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable], extra: str) -> DataFrame:
     """``df`` with the columns ``extra`` that a fresh decider per key gives to each of its rows in order."""
@@ -101,16 +103,16 @@ class BoundedCache:
 
 def debounce(df: DataFrame, source: str, at: str, tie: str, value: str, wait_ms: int = 200) -> DataFrame:
     """The rows that no later row of the same source follows within ``wait_ms``; blank values cancel and never come out."""
-    after = F.lead(at).over(Window.partitionBy(source).orderBy(at, tie))
-    gap = F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
-    last = df.withColumn("__gap", gap).where((F.col("__gap") >= wait_ms * 1000) | F.col("__gap").isNull()).drop("__gap")
+    rows = with_next(df, [source], [at, tie], "__next")
+    gap = F.unix_micros(F.col(f"__next.{at}").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))
+    last = rows.where((gap >= wait_ms * 1000) | F.col("__next").isNull()).drop("__next")
     return last.where(F.trim(F.coalesce(F.col(value).cast("string"), F.lit(""))) != "")
 
 
 def latest_wins(df: DataFrame, session: list[str], at: str, tie: str) -> DataFrame:
     """``df`` with ``stale``: a later request of the session has replaced this one."""
-    later = F.lead(tie).over(Window.partitionBy(*session).orderBy(at, tie))
-    return df.withColumn("stale", later.isNotNull())
+    rows = with_next(df, session, [at, tie], "__next")
+    return rows.withColumn("stale", F.col("__next").isNotNull()).drop("__next")
 
 
 def client_list(df: DataFrame, request: str, suggestion: str, place: str, most: int = 10) -> DataFrame:

@@ -24,7 +24,11 @@ def test_dedup(spark, rows):
     got = {r.normalized_query: r for r in corpus.dedup_query_log(log(spark, bad)).collect()}
     assert len(got) == 4
     third = got["machine learning tutorial"]
-    assert (third.qid, third.duplicate_qids, third.duplicate_count, third.popularity) == ("Q003", "Q004", 1, 2)
+    assert (third.qid, third.duplicate_count, third.popularity) == ("Q003", 1, 2)
+    again = log(spark, [("Q003", "again", "machine learning tutorial")])
+    assert rows(corpus.duplicates(again)) == [("machine learning tutorial", "Q003", "Q003", 1), ("machine learning tutorial", "Q003", "Q004", 1)]
+    lists = {r.qid: r.duplicate_qids for r in corpus.with_duplicate_lists(corpus.dedup_query_log(again), corpus.duplicates(again)).collect()}
+    assert lists["Q003"] == "Q003,Q004" and lists["Q001"] == ""
     assert tuple(corpus.build_stats(log(spark, bad)).first()) == (9, 4, 5, 4, 1)
     assert {r.popularity for r in corpus.dedup_query_log(log(spark), "neutral").collect()} == {1}
     with pytest.raises(ValueError):
@@ -125,6 +129,11 @@ def test_debounce_and_latest(spark):
     typed = [("f", i, base + dt.timedelta(milliseconds=t), v) for i, (t, v) in enumerate([(0, "d"), (100, "de"), (150, "deep"), (900, "deep l"), (1000, " ")])]
     df = spark.createDataFrame(typed, "source string, n long, ts timestamp, value string")
     assert [r.value for r in requests.debounce(df, "source", "ts", "n", "value", 200).collect()] == ["deep"]
+    many = spark.createDataFrame([("hot" if i % 3 else None, i) for i in range(3000)], "k string, t int").repartition(7)
+    got = ordering.with_next(many, ["k"], ["t"]).collect()
+    last = {"hot": 2999, None: 2997}
+    step = lambda r: None if r.t == last[r.k] else next(x for x in range(r.t + 1, r.t + 4) if ("hot" if x % 3 else None) == r.k)
+    assert len(got) == 3000 and all((r.following.t if r.following else None) == step(r) for r in got)
     assert Counter(r.stale for r in requests.latest_wins(df, ["source"], "ts", "n").collect()) == {True: 4, False: 1}
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from querymill.llm.tokens import token_sizes
 
 BLOCK_DOCS = 16_384
+_MOST_TASKS = 5_000
 #: Fillings looked at for one container, fillings kept for it, and containers tried in one search.
 FILL_NODES, FILL_WIDTH, SEARCH_NODES = 400, 4, 60_000
 
@@ -237,7 +238,9 @@ def pack_texts(
     each = F.explode(F.array(*[F.struct(F.lit(int(c)).alias("id"), F.lit(int(n)).alias("tokens")) for c, n in sorted(wanted)]))
     spread = sizes.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(blocks)).alias("block"), each.alias("c"))
     keyed = spread.select("doc_id", "n_tokens", "block", F.col("c.id").alias("capacity_id"), F.col("c.tokens").alias("capacity"))
-    return keyed.groupBy("block", "capacity_id", "capacity").applyInPandas(_pack, _OUT)
+    # packing costs time, not bytes: a fixed number of partitions keeps blocks from being merged into few tasks
+    spread = keyed.repartition(min(blocks * len(wanted), _MOST_TASKS), "block", "capacity_id", "capacity")
+    return spread.groupBy("block", "capacity_id", "capacity").applyInPandas(_pack, _OUT)
 
 
 def packing_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:

@@ -78,9 +78,8 @@ def candidates(
     typed = prefixes.select(F.col("prefix").alias("typed"), text.normalize_prefix(F.col("prefix")).alias("prefix")).distinct()
     keys = typed.select("prefix").distinct()
     short = keys.where((F.length("prefix") > 0) & (F.length("prefix") <= hot_length))
-    counts = cache.join(short, "prefix", "left_semi").groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
-    held = short.join(counts, "prefix", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    answered = held.where((F.col("n") < hot_top_k) | (F.col("n") >= limit)).select("prefix")
+    # the cache is cut off exactly for the prefixes that have a row of its last rank
+    answered = short.join(cache.where(F.col("rank") == hot_top_k).select("prefix"), "prefix", "left_anti") if limit > hot_top_k else short
     fields = ["prefix", "rank", "qid", "original_query", "normalized_query", "popularity", "duplicate_count"]
     hot = cache.join(answered, "prefix", "left_semi").where(F.col("rank") <= limit).select(*fields, F.lit("hot_cache").alias("source"))
     rest = keys.join(answered, "prefix", "left_anti")

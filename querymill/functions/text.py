@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -26,8 +27,21 @@ def nfkc_casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
-def _squeezed(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE, " ")
+_SPACES = re.compile(r"\s+")
+
+
+def _prefix(typed: str) -> str:
+    return _SPACES.sub(" ", unicodedata.normalize("NFKC", typed).lstrip())
+
+
+@F.pandas_udf(T.StringType())
+def _typed_prefix(texts: pd.Series) -> pd.Series:
+    return texts.map(_prefix)
+
+
+@F.pandas_udf(T.StringType())
+def _folded_prefix(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _prefix(t).casefold())
 
 
 def normalize_prefix(text: Column, case_sensitive: bool = False, ascii_only: bool = False) -> Column:
@@ -38,11 +52,10 @@ def normalize_prefix(text: Column, case_sensitive: bool = False, ascii_only: boo
     lower case leave alone.
     """
     text = F.coalesce(text, F.lit(""))
-    if ascii_only:
-        squeezed = _squeezed(text)
-        return squeezed if case_sensitive else F.lower(squeezed)
-    squeezed = _squeezed(nfkc(text))
-    return squeezed if case_sensitive else nfkc_casefold(squeezed)
+    if not ascii_only:
+        return _typed_prefix(text) if case_sensitive else _folded_prefix(text)
+    squeezed = F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE, " ")
+    return squeezed if case_sensitive else F.lower(squeezed)
 
 
 def collapse_space(text: Column) -> Column:

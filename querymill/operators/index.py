@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import text
+from querymill.runtime import written
 
 
 def _order(*first: str):
@@ -75,7 +76,8 @@ def candidates(
     complete for it (fewer than ``hot_top_k`` rows) or holds at least ``limit`` rows; all other
     prefixes are looked up among all queries.  The rows are the same either way.
     """
-    typed = prefixes.select(F.col("prefix").alias("typed"), text.normalize_prefix(F.col("prefix")).alias("prefix")).distinct()
+    # written, as each use would run the normalization again
+    typed = written(prefixes.select("prefix").distinct().select(F.col("prefix").alias("typed"), text.normalize_prefix(F.col("prefix")).alias("prefix")), "typed")
     keys = typed.select("prefix").distinct()
     short = keys.where((F.length("prefix") > 0) & (F.length("prefix") <= hot_length))
     # the cache is cut off exactly for the prefixes that have a row of its last rank

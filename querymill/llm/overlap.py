@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from pyspark.sql import types as T
 
 from querymill.runtime import written
 
-_MASK = (1 << 64) - 1
+_MASK, _WHOLE, _HALF = (1 << 64) - 1, 1 << 64, 1 << 63
+_digest = xxhash.xxh3_64_intdigest
 _WORDS = re.compile(r"[^\W_]+")
 #: Pairs a group of one edit key may give before the key is refined.
 GROUP_PAIRS = 250_000
@@ -58,10 +60,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lru_cache(maxsize=200_000)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+@lru_cache(maxsize=20_000)
+def _char_bit(char: str) -> int:
+    return 1 << (ord(char) * 0x9E3779B1 >> 7 & 63)
+
+
 def word_keys(text: str) -> set[int]:
     """Even 64-bit keys of the bag of words and of the bag less one word."""
     words = text.split(" ")
-    hashes = [xxhash.xxh3_64_intdigest(w) for w in words]
+    hashes = [_word_hash(w) for w in words]
     total, n = sum(hashes), len(words)
     keys = {_bag(total, n)}
     keys.update(_bag(total - h, n - 1) for h in set(hashes))
@@ -75,8 +87,9 @@ def _bag(total: int, n: int) -> int:
 def signature(text: str) -> int:
     """A bit per hashed character, toggled at each occurrence: an edit changes at most two bits."""
     bits = 0
-    for c in text:
-        bits ^= 1 << (ord(c) * 0x9E3779B1 >> 7 & 63)
+    for c, n in Counter(text).items():
+        if n & 1:
+            bits ^= _char_bit(c)
     return _signed(bits)
 
 
@@ -138,6 +151,29 @@ def edit_key(text: str, state: State, probe: bool) -> int | None:
     return _signed(xxhash.xxh3_64_intdigest(rest) | 1)
 
 
+@lru_cache(maxsize=4_096)
+def _cuts(n: int, probe: bool) -> list[tuple[str, int, int, int, int]]:
+    """The label and the bounds of what is left, for each choice of spoilt parts of a text of length ``n``."""
+    cuts = []
+    for l, s1, e1, s2, e2, a, b in edit_states(n, probe):
+        single = s2 < 0
+        if e1 + a < s1 or (not single and e2 + a + b < s2 + a):
+            continue
+        label = f"{l},{s1},{e1}" if single else f"{l},{s1},{e1},{s2},{e2}"
+        cuts.append((label, s1, e1 + a, -1 if single else s2 + a, -1 if single else e2 + a + b))
+    return cuts
+
+
+def edit_keys(text: str, probe: bool) -> set[int]:
+    """``edit_key`` of every choice of spoilt parts."""
+    keys = set()
+    for label, x, y, z, w in _cuts(len(text), probe):
+        rest = f"{label}\0{text[:x]}\0{text[y:]}" if z < 0 else f"{label}\0{text[:x]}\0{text[y:z]}\0{text[w:]}"
+        key = _digest(rest) | 1
+        keys.add(key - _WHOLE if key >= _HALF else key)
+    return keys
+
+
 def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, train, eval) to (key, id, probe, sig)."""
     names = ["key", "id", "probe", "sig"]
@@ -146,7 +182,7 @@ def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text, train, evaluation in zip(*(c.to_pylist() for c in batch.columns)):
             words, sig = word_keys(text), signature(text)
             for probe in ([False] if train else []) + ([True] if evaluation else []):
-                keys = {k for s in edit_states(len(text), probe) if (k := edit_key(text, s, probe)) is not None} | words
+                keys = edit_keys(text, probe) | words
                 key.extend(keys)
                 ids.extend([i] * len(keys))
                 probes.extend([probe] * len(keys))

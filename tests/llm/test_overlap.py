@@ -114,5 +114,6 @@ def test_keys_meet_for_every_two_edits():
         b = "".join(t)
         keys = lambda x, probe: {overlap.edit_key(x, s, probe) for s in overlap.edit_states(len(x), probe)} - {None}
         assert keys(a, False) & keys(b, True)
+        assert all(overlap.edit_keys(x, probe) == keys(x, probe) for x in (a, b) for probe in (False, True))
         finer = lambda x, probe: {(overlap.edit_key(x, s, probe), overlap.edit_key(x, f, probe)) for s in overlap.edit_states(len(x), probe) for f in overlap.finer_states(s, probe) if overlap.edit_key(x, s, probe) is not None}
         assert finer(a, False) & finer(b, True)

@@ -40,7 +40,7 @@ def evaluate(
     rows = asked.join(found.select(F.col("typed").alias("prefix"), "rank", F.col("normalized_query").alias("candidate")), "prefix", "left")
     if model is not None:
         scored = ranker.score_pairs(rows.where("candidate is not null").select("prefix", "candidate").distinct(), tokenizer, model)
-        rows = metrics.rerank(rows.drop("rank").join(scored, ["prefix", "candidate"], "left").withColumn("place", F.col("candidate")), ["line", "prefix"], "score", "place")
+        rows = metrics.rerank(rows.withColumnRenamed("rank", "place").join(scored, ["prefix", "candidate"], "left"), ["line", "prefix"], "score", "place")
     relevant = F.coalesce(F.col("candidate") == F.col("target"), F.lit(False))
     return metrics.pool_metrics(rows.withColumn("relevant", relevant), ["line", "prefix"], top_k)
 

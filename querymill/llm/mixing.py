@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.llm.tokens import token_sizes
+from querymill.llm.tokens import settings_rows, token_sizes
 from querymill.runtime import written
 
 BLOCK_DOCS = 4_096
@@ -67,7 +67,7 @@ def capped_shares(tokens: dict[str, int], targets: dict[str, float], limits: dic
 def _plan(sizes: DataFrame, targets: DataFrame, budget: int | None, by_temperature: bool) -> list[tuple]:
     """(source, target_share, available, documents, wanted tokens, limit) of each usable target, on the driver: one row per target."""
     wanted: dict[str, tuple[float, int]] = {}
-    for source, share, limit in targets.select("source", "target_share", "max_repeats").collect():
+    for source, share, limit in settings_rows(targets.select("source", "target_share", "max_repeats")):
         if source is not None and share is not None and limit is not None and share > 0:
             old = wanted.get(source, (0.0, 0))
             wanted[source] = (old[0] + share, max(old[1], limit))

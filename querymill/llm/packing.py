@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.llm.tokens import token_sizes
+from querymill.llm.tokens import settings_rows, token_sizes
 
 BLOCK_DOCS = 16_384
 _MOST_TASKS = 5_000
@@ -229,7 +229,7 @@ def pack_texts(
     below 1 are left out.  Other columns may have any name.  ``capacities`` (capacity_id,
     capacity_tokens) is a small table of settings.
     """
-    wanted = capacities.select("capacity_id", "capacity_tokens").where("capacity_tokens >= 1 and capacity_id is not null").distinct().collect()
+    wanted = settings_rows(capacities.select("capacity_id", "capacity_tokens").where("capacity_tokens >= 1 and capacity_id is not null").distinct())
     if not wanted:
         return df.sparkSession.createDataFrame([], _OUT)
     blocks = max(1, -(-df.count() // block_docs))

@@ -60,3 +60,11 @@ def token_sizes(df: DataFrame, text: str, keep: dict[str, str], path: str | None
     chosen = df.select(df[text].alias("text"), *[df[c].alias(name) for c, name in keep.items()])
     shape = T.StructType([*chosen.schema.fields[1:], T.StructField("n_tokens", T.LongType())])
     return chosen.mapInArrow(_count(path), shape)
+
+
+def settings_rows(table: DataFrame, most: int = 1_000) -> list:
+    """The rows of a small table of settings; an error if it has more than ``most``."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of settings may have {most} rows")
+    return rows

@@ -53,7 +53,7 @@ def top_n(
     score: str,
     n: int,
     rank_col: str = "new_rank",
-    broadcast_rows: int = 100_000,
+    broadcast_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The ``n`` best items of every group: (group, <rank_col> int, item, score).
 
@@ -65,7 +65,7 @@ def top_n(
     columns may have any name.
 
     The bounds (at most one per group with ``n`` items in one partition) are broadcast only if
-    they number at most ``broadcast_rows``; beyond it both sides are salted and shuffled.
+    they take at most ``broadcast_bytes``; beyond it both sides are salted and shuffled.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -81,7 +81,8 @@ def top_n(
     local = rows.sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(_local_bounds(n, to_arrow_schema(shape)), shape)
     best = local.groupBy("g").agg(F.min(F.struct(_descending(F.col("s"), kinds["s"]).alias("d"), F.col("i"), F.col("s"))).alias("b"))
     bounds = written(best.select("g", F.col("b.s").alias("bs"), F.col("b.i").alias("bi")), "topn-bounds")
-    if bounds.count() <= broadcast_rows:
+    width = sum((F.octet_length(F.col(c).cast("string")) for c in ("g", "bi")), F.lit(64))
+    if (bounds.agg(F.sum(width)).first()[0] or 0) <= broadcast_bytes:
         joined = rows.join(F.broadcast(bounds), "g", "left")
     else:
         salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))

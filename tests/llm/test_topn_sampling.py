@@ -26,11 +26,11 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(*r, "x", 1, 2, "y", 3) for r in rows], DDL).repartition(parts)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_top_n_with_ties_repeats_nulls_and_clashing_names(spark, rows, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_top_n_with_ties_repeats_nulls_and_clashing_names(spark, rows, broadcast_bytes):
     data = [("a", f"q{k % 40:02d}", k % 7) for k in range(400)] + [("b", "", 5), ("b", "x" * 50_000, 5), ("b", "", 5)]
     data += [(None, "q", 1), ("c", None, 1), ("c", "q", None), ("", "q", 0), ("a", "q00", 2**62), ("a", "q01", -(2**63))]
-    got = topn.top_n(frame(spark, data), "prefix", "normalized_query", "popularity", 10, broadcast_rows=broadcast_rows)
+    got = topn.top_n(frame(spark, data), "prefix", "normalized_query", "popularity", 10, broadcast_bytes=broadcast_bytes)
     assert got.columns == ["prefix", "new_rank", "normalized_query", "popularity"]
     assert rows(got) == brute(data, 10)
 

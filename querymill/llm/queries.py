@@ -31,6 +31,15 @@ def p2_sample_so_far(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.block_sample(spark, path, ["qid", "normalized_query", "piece"], SAMPLE_ROWS // 10, seed=20, arrived=F.col("piece") <= 6)
 
 
+def p2_sample_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample of the first six pieces brought up to date with one of the later pieces."""
+    path, columns, k = f"{folder}/queries.parquet", ["qid", "normalized_query", "piece"], SAMPLE_ROWS // 10
+    parts = [(F.col("piece") <= 6), (F.col("piece") > 6)]
+    samples = [sampling.block_sample(spark, path, columns, k, seed=20 + i, arrived=part) for i, part in enumerate(parts)]
+    sizes = [_table(spark, folder, "queries").where(part).count() for part in parts]
+    return sampling.merge_samples(samples[0], sizes[0], samples[1], sizes[1], k, seed=22)
+
+
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return sampling.stable_sample(_table(spark, folder, "queries"), "normalized_query", SAMPLE_RATE, seed=7)
 
@@ -98,7 +107,7 @@ def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_sample, p2_sample_so_far, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms,
+        p1_found, p2_sample, p2_sample_so_far, p2_sample_merged, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms,
         p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_shares, p10_found, p10_texts,
     )
 }

@@ -88,6 +88,21 @@ def block_sample(
     return _rows_at(source.select(*columns, "_metadata"), chosen, [], columns)
 
 
+def merge_samples(old: DataFrame, n_old: int, new: DataFrame, n_new: int, k: int, seed: int) -> DataFrame:
+    """A uniform sample of ``k`` of ``n_old + n_new`` rows from uniform samples of either part.
+
+    How many come from the new part is a hypergeometric draw; which ones, a hash of seed and row.
+    Each part must hold at least the smaller of ``k`` and its number of rows.  Pieces can thus be
+    added one after the other, with another seed each, without reading the earlier ones again.
+    """
+    import numpy as np
+
+    k = min(k, n_old + n_new)
+    fresh = int(np.random.default_rng(seed).hypergeometric(n_new, n_old, k)) if k else 0
+    pick = lambda part, n: part.orderBy(F.xxhash64(F.lit(seed), *part.columns), *part.columns).limit(n)
+    return pick(old, k - fresh).unionByName(pick(new, fresh))
+
+
 def _ordered(*columns: str):
     from pyspark.sql import Window
 

@@ -81,6 +81,19 @@ def test_sample_of_what_arrived_of_all_and_of_nothing(spark, table, tmp_path):
     assert sampling.block_sample(spark, str(tmp_path / "e.parquet"), ["qid"], 5).count() == 0
 
 
+def test_merged_samples_are_uniform(spark):
+    old, new = spark.range(0, 300), spark.range(300, 400)
+    seen = defaultdict(int)
+    for seed in range(30):
+        part = lambda df, i: df.orderBy(F.xxhash64(F.lit(f"{i}{seed}"), "id")).limit(100)
+        got = [r.id for r in sampling.merge_samples(part(old, "a"), 300, part(new, "b"), 100, 100, seed).collect()]
+        assert len(set(got)) == 100
+        for i in got:
+            seen[i // 100] += 1
+    assert all(640 < n < 860 for n in seen.values()) and sum(seen.values()) == 3000
+    assert sampling.merge_samples(old, 300, new, 100, 1000, 1).count() == 400 and sampling.merge_samples(old, 300, new, 100, 0, 1).count() == 0
+
+
 def test_permutation_has_no_collisions_and_inverts_nothing_away(spark):
     df = spark.range(50_000).select(sampling.permuted(F.col("id"), 7).alias("p"))
     stats = df.agg(F.count_distinct("p"), F.min("p"), F.max("p"), F.avg("p")).first()

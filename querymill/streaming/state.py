@@ -16,13 +16,13 @@ STATE_CONF = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.
 
 
 class _Limiter(StatefulProcessor):
-    """Keeps the times of a client's allowed requests; a client that is idle for a window expires."""
+    """Keeps the times of a client's allowed requests."""
 
-    def __init__(self, most: int, window: float):
-        self.most, self.window = most, window
+    def __init__(self, most: int, window: float, ttl_ms: int | None):
+        self.most, self.window, self.ttl_ms = most, window, ttl_ms
 
     def init(self, handle) -> None:
-        self.times = handle.getListState("times", T.StructType([T.StructField("at", T.DoubleType())]))
+        self.times = handle.getListState("times", T.StructType([T.StructField("at", T.DoubleType())]), self.ttl_ms)
 
     def handleInputRows(self, key, rows, timer_values):
         frame = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
@@ -35,21 +35,30 @@ class _Limiter(StatefulProcessor):
         pass
 
 
-def rate_limit_stream(requests: DataFrame, most: int = 120, window: float = 60.0) -> DataFrame:
-    """(client, request_id, allowed, retry_after) over a stream of (client, request_id long, at double seconds)."""
-    processor = _Limiter(most, window)
+def _mode(expire_after: float | None) -> tuple[int | None, str]:
+    return (None, "None") if expire_after is None else (int(expire_after * 1000), "ProcessingTime")
+
+
+def rate_limit_stream(requests: DataFrame, most: int = 120, window: float = 60.0, expire_after: float | None = None) -> DataFrame:
+    """(client, request_id, allowed, retry_after) over a stream of (client, request_id long, at double seconds).
+
+    A client's state goes once it has been idle for ``expire_after`` seconds of processing time.  A
+    live stream should set it to the window and the delay its requests may have; a replay, whose
+    clock isn't the requests', leaves it out; with it, an availableNow run doesn't end by itself.
+    """
+    ttl, mode = _mode(expire_after)
     rows = requests.where("client is not null").groupBy("client")
-    return rows.transformWithStateInPandas(processor, "client string, request_id long, allowed boolean, retry_after int", "Append", "None")
+    return rows.transformWithStateInPandas(_Limiter(most, window, ttl), "client string, request_id long, allowed boolean, retry_after int", "Append", mode)
 
 
 class _Cache(StatefulProcessor):
     """Keeps when an entry was filled and by which request."""
 
-    def __init__(self, ttl: float):
-        self.ttl = ttl
+    def __init__(self, ttl: float, state_ms: int | None):
+        self.ttl, self.state_ms = ttl, state_ms
 
     def init(self, handle) -> None:
-        self.entry = handle.getValueState("entry", "at double, first long")
+        self.entry = handle.getValueState("entry", "at double, first long", self.state_ms)
 
     def handleInputRows(self, key, rows, timer_values):
         frame = pd.concat(list(rows)).sort_values(["at", "request_id"], kind="stable")
@@ -67,10 +76,14 @@ class _Cache(StatefulProcessor):
         pass
 
 
-def ttl_cache_stream(requests: DataFrame, ttl: float = 300.0) -> DataFrame:
-    """(key, request_id, cached, first_request) over a stream of (key, request_id long, at double seconds)."""
+def ttl_cache_stream(requests: DataFrame, ttl: float = 300.0, expire_after: float | None = None) -> DataFrame:
+    """(key, request_id, cached, first_request) over a stream of (key, request_id long, at double seconds).
+
+    ``expire_after`` is as for ``rate_limit_stream``.
+    """
+    state_ms, mode = _mode(expire_after)
     rows = requests.where("key is not null").groupBy("key")
-    return rows.transformWithStateInPandas(_Cache(ttl), "key string, request_id long, cached boolean, first_request long", "Append", "None")
+    return rows.transformWithStateInPandas(_Cache(ttl, state_ms), "key string, request_id long, cached boolean, first_request long", "Append", mode)
 
 
 def debounce_stream(keys: DataFrame, wait: str = "200 milliseconds", watermark: str = "1 second") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -240,6 +241,13 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("client string, request_id long, at double").parquet(src)
     got = {r.request_id: r.allowed for r in run(state.rate_limit_stream(stream, 3, 10.0), "limited")}
     assert got == {0: True, 1: True, 2: True, 3: False, 4: False, 10: True}
+    # with expiry a query goes on looking for expired state, so it is stopped by hand
+    live = state.rate_limit_stream(stream, 3, 10.0, expire_after=3600).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "live")).start()
+    end = time.time() + 60
+    while time.time() < end and spark.table("live").count() < 6:
+        time.sleep(0.5)
+    live.stop()
+    assert spark.table("live").where("allowed").count() == 4
     got = {r.request_id: (r.cached, r.first_request) for r in run(state.ttl_cache_stream(stream.withColumnRenamed("client", "key"), 3.0), "cached")}
     assert got == {0: (False, 0), 1: (True, 0), 2: (True, 0), 3: (False, 3), 4: (True, 3), 10: (False, 10)}
     keys = stream.select(F.col("client").alias("source"), F.timestamp_seconds("at").alias("ts"), F.col("request_id").cast("string").alias("value"))

@@ -247,7 +247,7 @@ def _meet(limit: int | None):
                 if held and (s > 0 or key[0] != held[0][0][0]):
                     close(int(held[0][0][0]), *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)))
                     held = []
-                if e == len(key):  # the group may go on in the next batch
+                if held or e == len(key):  # the group began in the last batch, or may go on in the next
                     held.append((key[s:e], *(r[s:e] for r in rest)))
                 elif p and p < e - s:
                     close(int(key[s]), *(r[s:e] for r in rest))

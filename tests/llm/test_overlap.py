@@ -117,3 +117,14 @@ def test_keys_meet_for_every_two_edits():
         assert all(overlap.edit_keys(x, probe) == keys(x, probe) for x in (a, b) for probe in (False, True))
         finer = lambda x, probe: {(overlap.edit_key(x, s, probe), overlap.edit_key(x, f, probe)) for s in overlap.edit_states(len(x), probe) for f in overlap.finer_states(s, probe) if overlap.edit_key(x, s, probe) is not None}
         assert finer(a, False) & finer(b, True)
+
+
+def test_groups_across_arrow_batches(spark, rows):
+    """Key groups that begin in one Arrow batch and end inside the next."""
+    data = variants(7, 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        pairs, _ = overlap.split_overlap(frame(spark, data), "qid", "normalized_query", "split", "source")
+        assert rows(pairs) == brute(data)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -263,22 +263,26 @@ def _meet(limit: int | None):
 
 
 def _finer(first: bool):
-    """Hot (key, id, probe, text, state) rows to (key, id, probe, sig, state) rows of the halved parts."""
+    """Hot (key, id, probe, text, states) rows to (key, id, probe, sig, states) rows of the halved parts.
+
+    Adjacent parts leave the same rest at several shifts, so a key has a list of states.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for key, i, probe, text, state in zip(*(c.to_pylist() for c in batch.columns)):
-                states = [tuple(state)] if not first else [s for s in edit_states(len(text), probe) if edit_key(text, s, probe) == key]
-                found = {}
+            for key, i, probe, text, states in zip(*(c.to_pylist() for c in batch.columns)):
+                if first:
+                    states = [s for s in edit_states(len(text), probe) if edit_key(text, s, probe) == key]
+                found: dict[int, set[State]] = {}
                 for s in states:
-                    for f in finer_states(s, probe):
+                    for f in finer_states(tuple(s), probe):
                         if (k := edit_key(text, f, probe)) is not None:
-                            found[_signed((k ^ (key * 2)) | 1)] = f
+                            found.setdefault(_signed((k ^ (key * 2)) | 1), set()).add(f)
                 sig = signature(text)
-                out.extend((k, i, probe, sig, list(f)) for k, f in found.items())
+                out.extend((k, i, probe, sig, [list(f) for f in sorted(fs)]) for k, fs in found.items())
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32())])], names=["key", "id", "probe", "sig", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.list_(pa.int32()))])], names=["key", "id", "probe", "sig", "states"])
 
     return run
 
@@ -339,16 +343,16 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
             hot.select("key", F.explode("trains").alias("id"), F.lit(False).alias("probe"))
         )
         if first:
-            rows = rows.withColumn("state", F.lit(None).cast("array<int>"))
+            rows = rows.withColumn("states", F.lit(None).cast("array<array<int>>"))
         else:
             rows = rows.join(states, ["key", "id", "probe"])
-        fine = rows.join(texts.select("id", "text"), "id").select("key", "id", "probe", "text", "state")
-        fine = written(fine.repartition("id", "key").mapInArrow(_finer(first), "key long, id long, probe boolean, sig long, state array<int>"), "finer")
+        fine = rows.join(texts.select("id", "text"), "id").select("key", "id", "probe", "text", "states")
+        fine = written(fine.repartition("id", "key").mapInArrow(_finer(first), "key long, id long, probe boolean, sig long, states array<array<int>>"), "finer")
         # once every part is a single character, texts that share a key are nearly all true pairs
-        divisible = not fine.where("state[2] - state[1] > 1 or state[4] - state[3] > 1").isEmpty()
+        divisible = not fine.where("exists(states, s -> s[2] - s[1] > 1 or s[4] - s[3] > 1)").isEmpty()
         meet = _meet(group_pairs if divisible else None)
         met = written(fine.select("key", "id", "probe", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _MET), "met")
-        states = fine.select("key", "id", "probe", "state")
+        states = fine.select("key", "id", "probe", "states")
         found.append(met.where("not hot"))
         hot, first = met.where("hot"), False
     groups = found[0]

@@ -128,3 +128,25 @@ def test_groups_across_arrow_batches(spark, rows):
         assert rows(pairs) == brute(data)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_edits_on_both_sides_of_a_part_border(spark, rows):
+    """Texts of 32 characters that share all but the eight around their middle; edits stand at both ends of these."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдежзиклмнопрстуфхцчшщыэюя"
+    data = []
+    for k in range(30):
+        text = list("shared abcde" + "".join(rng.choice(letters) for _ in range(8)) + "and the ende")
+        text[15] = " "
+        data.append((f"T{k}", "".join(text), "train", "s"))
+        kind = k % 3
+        if kind == 0:  # two replacements in different words
+            text[12], text[19] = "1", "2"
+        elif kind == 1:  # an insertion and a deletion
+            text[12], text[19] = text[12] + "1", ""
+        else:
+            text[12], text[19] = "", text[19] + "1"
+        data.append((f"D{k}", "".join(text), "dev", "s"))
+    pairs, _ = overlap.split_overlap(frame(spark, data), "qid", "normalized_query", "split", "source", group_pairs=1)
+    assert rows(pairs) == brute(data)
+    assert len(brute(data)) >= 30

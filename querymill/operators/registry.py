@@ -281,7 +281,10 @@ SQL["control_char_audit"] = f"select distinct field, value from (select 'prefix'
 
 # --- vocabulary -----------------------------------------------------------------------------------
 
+#: What the SQL can say: lower case without NFKC and case folding, over a small vocabulary.
 _TOKENS = vocab.TokenizerConfig(max_vocab_size=3000, max_char_vocab_size=200, ascii_only=True)
+#: The whole normalization, as the reference's; the queries named _full and the ranker's use it.
+_FULL = vocab.TokenizerConfig(max_vocab_size=3000, max_char_vocab_size=200)
 _WORDS = r"""with texts as (select distinct t from (select prefix as t from training_pairs union all select candidate from training_pairs) where t is not null),
     toks as (select t, regexp_extract_all(lower(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') as ts from texts),
     words as (select token, count(*) as frequency from (select unnest(ts) as token from toks) group by token)"""
@@ -298,6 +301,10 @@ def pretokenized(spark, folder):
 SQL["pretokenized"] = _WORDS + "select t as text, ts as tokens from toks"
 
 
+def pretokenized_full(spark, folder):
+    return _pair_texts(spark, folder).select("text", text.pretokenize(F.col("text")).alias("tokens"))
+
+
 def word_frequency(spark, folder):
     return vocab.word_frequency(_pair_texts(spark, folder), _TOKENS)
 
@@ -305,6 +312,10 @@ def word_frequency(spark, folder):
 SQL["word_frequency"] = _WORDS + "select token, frequency from words"
 
 
+def word_frequency_full(spark, folder):
+    return vocab.word_frequency(_pair_texts(spark, folder), _FULL)
+
+
 def char_frequency(spark, folder):
     return vocab.char_frequency(vocab.word_frequency(_pair_texts(spark, folder), _TOKENS))
 
@@ -313,6 +324,10 @@ _CHARS = _WORDS + ", chars as (select token, sum(frequency)::bigint as frequency
 SQL["char_frequency"] = _CHARS + "select token, frequency from chars"
 
 
+def char_frequency_full(spark, folder):
+    return vocab.char_frequency(word_frequency_full(spark, folder))
+
+
 def vocabulary(spark, folder):
     return vocab.vocabulary(_pair_texts(spark, folder), _TOKENS)
 
@@ -322,12 +337,20 @@ _VOCAB = _CHARS + """, w as (select token, frequency, (row_number() over (order
 SQL["vocabulary"] = _VOCAB + "select 'word' as kind, token, frequency, id from w union all select 'char', token, frequency, id from c"
 
 
-def encoded_pairs(spark, folder):
+def vocabulary_full(spark, folder):
+    return vocab.vocabulary(_pair_texts(spark, folder), _FULL)
+
+
+def encoded_pairs(spark, folder, config=_TOKENS):
     rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate").distinct()
-    tokenizer = vocab.Tokenizer.fit_pairs(table(spark, folder, "training_pairs"), _TOKENS)
+    tokenizer = vocab.Tokenizer.fit_pairs(table(spark, folder, "training_pairs"), config)
     return tokenizer.encode_pairs(rows, 40).select("prefix", "candidate", "padded", "length")
 
 
+def encoded_pairs_full(spark, folder):
+    return encoded_pairs(spark, folder, _FULL)
+
+
 SQL["encoded_pairs"] = _VOCAB + """, m as (select map_from_entries(list((token, id))) as wm from w), n as (select map_from_entries(list((token, id))) as cm from c),
     enc as (select t, flatten(list_transform(ts, lambda x: case when wm[x] is not null then [wm[x]] else list_transform(string_split(x, ''), lambda y: coalesce(cm[y], 1)) end)) as ids from toks, m, n)
     select p.prefix, p.candidate, (ids || repeat([0], 40))[1:40] as padded, least(len(ids), 40)::int as length from (
@@ -433,7 +456,7 @@ _RANKER = {"embedding_dim": 16, "hidden_dim": 16, "dropout": 0.0, "max_seq_lengt
 
 def _trained(spark, folder):
     labelled = table(spark, folder, "training_pairs")
-    tokenizer = vocab.Tokenizer.fit_pairs(labelled, _TOKENS)
+    tokenizer = vocab.Tokenizer.fit_pairs(labelled, _FULL)
     config = ranker.RankerConfig(tokenizer.vocab_size, **_RANKER)
     model, _ = ranker.train(tokenizer, labelled, labelled, config, epochs=1, max_examples=4_000)
     return tokenizer, model
@@ -645,7 +668,8 @@ QUERIES = {
     for f in (
         p5_found, p5_key_counts, dedup_query_log, duplicate_members, duplicate_lists, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
-        pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, encoded_pairs, rank_metrics_baseline,
+        pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, pretokenized_full, word_frequency, word_frequency_full, char_frequency, char_frequency_full, vocabulary, vocabulary_full,
+        encoded_pairs, encoded_pairs_full, rank_metrics_baseline,
         pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,
         client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, registry_match,
     )

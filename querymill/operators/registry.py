@@ -201,6 +201,7 @@ SQL["split_leak_check"] = "select normalized_query from queries where split = 't
 
 # --- training pairs -------------------------------------------------------------------------------
 
+#: What the SQL of these queries says; the queries named _full run at the operator's own sizes.
 _PAIR = {"max_length": 12, "most": 5}
 
 
@@ -226,6 +227,22 @@ def pair_pool_stats(spark, folder):
     return pairs.pool_stats(own, pairs.candidate_pools(own, queries, 20, dev, ascii_only=True))
 
 
+def generated_pairs_full(spark, folder):
+    train, queries, dev = _pair_tables(spark, folder)
+    return pairs.generate_pairs(train, queries, dev, ascii_only=True)
+
+
+def anti_leak_candidates_full(spark, folder):
+    train, queries, dev = _pair_tables(spark, folder)
+    return pairs.candidate_pools(pairs.positives(pairs.pair_sources(train)), queries, exclude=dev, ascii_only=True)
+
+
+def pair_pool_stats_full(spark, folder):
+    train, queries, dev = _pair_tables(spark, folder)
+    own = written(pairs.positives(pairs.pair_sources(train)), "positives")
+    return pairs.pool_stats(own, pairs.candidate_pools(own, queries, exclude=dev, ascii_only=True))
+
+
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 _POOLS = _with("split = 'train'") + _STAGED.format(n=12) + rf""", sources as (
       select normalized_query, min(qid) as qid from queries where split = 'train' and qid is not null and normalized_query <> '' and not regexp_matches(normalized_query, '{_CONTROL}') group by 1),
@@ -668,6 +685,7 @@ QUERIES = {
     for f in (
         p5_found, p5_key_counts, dedup_query_log, duplicate_members, duplicate_lists, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
+        generated_pairs_full, anti_leak_candidates_full, pair_pool_stats_full,
         pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, pretokenized_full, word_frequency, word_frequency_full, char_frequency, char_frequency_full, vocabulary, vocabulary_full,
         encoded_pairs, encoded_pairs_full, rank_metrics_baseline,
         pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,

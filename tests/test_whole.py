@@ -46,3 +46,27 @@ def test_ranker_tokenizes_the_whole_way(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranker, "train", lambda *a, **k: (None, None))
     tokenizer, _ = registry._trained(spark, pair_folder(spark, tmp_path))
     assert "storage" in tokenizer.words and "ｓｔｏｒａｇｅ" not in tokenizer.words
+
+
+def test_pairs_at_the_operators_own_sizes(spark, tmp_path):
+    """70 queries of one stem, some of them dev queries, so that the pools of 50 are full, and one query alone."""
+    texts = [f"common stem number {k:02d}" for k in range(70)] + ["zebra crossing"]
+    rows = [(f"Q{k:02d}", t.title(), t, "dev" if k in (3, 60) else "train") for k, t in enumerate(texts)]
+    folder = save(spark, tmp_path, "queries", rows, "qid string, original_query string, normalized_query string, split string")
+    train, dev = {r[2] for r in rows if r[3] == "train"}, {r[2] for r in rows if r[3] == "dev"}
+    own = {(t[:n], t) for t in train for n in range(1, 9)}
+    # the index is built over the training queries; all are equally popular, so the text decides
+    pools = {(p, q, c) for p, q in own for c in sorted(t for t in train if t.startswith(p))[:50] if c != q}
+    assert {tuple(r) for r in registry.anti_leak_candidates_full(spark, folder).select("prefix", "query", "candidate").collect()} == pools
+    sizes = Counter((p, q) for p, q, _ in pools)
+    stats = registry.pair_pool_stats_full(spark, folder).first()
+    assert stats.prefixes_generated == len(own) and stats.candidate_pool_queries == len(pools)
+    assert stats.candidate_pool_max == max(sizes.values()) == 50
+    assert stats.negative_shortfalls == sum(sizes[k] < 4 for k in own) == 8
+    found = registry.generated_pairs_full(spark, folder).collect()
+    assert {(r.prefix, r.query) for r in found if r.source == "positive"} == own
+    negatives = Counter((r.prefix, r.query) for r in found if r.label == 0)
+    assert all(negatives[k] == 4 for k in own)
+    assert all((r.prefix, r.query, r.candidate) in pools for r in found if r.source == "index_retrieved")
+    assert all(r.query == "zebra crossing" and r.candidate in train for r in found if r.source == "random_fallback")
+    assert not {r.candidate for r in found} & dev

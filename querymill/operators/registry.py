@@ -300,8 +300,8 @@ SQL["control_char_audit"] = f"select distinct field, value from (select 'prefix'
 
 #: What the SQL can say: lower case without NFKC and case folding, over a small vocabulary.
 _TOKENS = vocab.TokenizerConfig(max_vocab_size=3000, max_char_vocab_size=200, ascii_only=True)
-#: The whole normalization, as the reference's; the queries named _full and the ranker's use it.
-_FULL = vocab.TokenizerConfig(max_vocab_size=3000, max_char_vocab_size=200)
+#: The whole normalization and vocabulary, as the reference's; the queries named _full and the ranker's use it.
+_FULL = vocab.TokenizerConfig()
 _WORDS = r"""with texts as (select distinct t from (select prefix as t from training_pairs union all select candidate from training_pairs) where t is not null),
     toks as (select t, regexp_extract_all(lower(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') as ts from texts),
     words as (select token, count(*) as frequency from (select unnest(ts) as token from toks) group by token)"""

@@ -70,3 +70,17 @@ def test_pairs_at_the_operators_own_sizes(spark, tmp_path):
     assert all((r.prefix, r.query, r.candidate) in pools for r in found if r.source == "index_retrieved")
     assert all(r.query == "zebra crossing" and r.candidate in train for r in found if r.source == "random_fallback")
     assert not {r.candidate for r in found} & dev
+
+
+def test_vocabulary_of_production_size(spark, tmp_path, monkeypatch):
+    """3,500 words and 300 characters, more than a vocabulary of 3,000 and 200 holds."""
+    words = [f"word{k}" for k in range(3200)] + ["q" + chr(0x4E00 + k) for k in range(300)]
+    folder = pair_folder(spark, tmp_path, [(w[:2], w) for w in words])
+    found = registry.vocabulary_full(spark, folder).collect()
+    assert {r.token for r in found if r.kind == "word"} == set(words) | {w[:2] for w in words}
+    assert {r.token for r in found if r.kind == "char"} == set("".join(words))
+    encoded = registry.encoded_pairs_full(spark, folder).collect()
+    assert len(encoded) == len(words) and all(r.length == 5 for r in encoded)
+    monkeypatch.setattr(ranker, "train", lambda *a, **k: (None, None))
+    tokenizer, _ = registry._trained(spark, folder)
+    assert set(words) <= set(tokenizer.words)

@@ -488,11 +488,11 @@ def reranked_pairs(spark, folder):
 
 
 def suggestions(spark, folder):
-    """Suggestions of the re-ranker for every prefix of one or two characters."""
+    """Suggestions of the re-ranker for every prefix that the production values give: the first 8 of each query, of at most 20 characters."""
     tokenizer, model = _trained(spark, folder)
     queries = written(_index(spark, folder), "index")
     cache = written(index.hot_prefix_cache(queries, 50), "cache")
-    asked = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 2, True, 2)).alias("prefix")).distinct()
+    asked = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 20, True, 8)).alias("prefix")).distinct()
     return ranker.suggest(asked, queries, cache, tokenizer, model, 5, 50, ascii_only=True)
 
 

@@ -84,3 +84,13 @@ def test_vocabulary_of_production_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranker, "train", lambda *a, **k: (None, None))
     tokenizer, _ = registry._trained(spark, folder)
     assert set(words) <= set(tokenizer.words)
+
+
+def test_suggestions_for_long_prefixes(spark, tmp_path):
+    """Every prefix of up to 8 characters is asked; those beyond 6 go through the range scan."""
+    texts = ["storage box", "storage bin", "stores", "st", "echo"]
+    save(spark, tmp_path, "queries", [(f"Q{k}", t, t, "train") for k, t in enumerate(texts)], "qid string, original_query string, normalized_query string, split string")
+    folder = pair_folder(spark, tmp_path, [(t[:2], t) for t in texts])
+    found = {r.prefix: {s.text for s in r.suggestions} for r in registry.suggestions(spark, folder).collect()}
+    assert set(found) == {t[:n] for t in texts for n in range(1, min(8, len(t)) + 1)}
+    assert all(found[p] == {t for t in texts if t.startswith(p)} for p in found)

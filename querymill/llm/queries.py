@@ -104,11 +104,15 @@ def p10_texts(spark: SparkSession, folder: str) -> DataFrame:
     return repair.consistent_text(_table(spark, folder, "documents"))
 
 
+def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.looking_classes(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p2_sample, p2_sample_so_far, p2_sample_merged, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms,
-        p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_shares, p10_found, p10_texts,
+        p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_shares, p10_found, p10_texts, p10_classes,
     )
 }
 
@@ -176,13 +180,39 @@ for _ligature, _letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")
     _FOLD = f"replace({_FOLD}, '{_ligature}', '{_letters}')"
 _FOLD = f"translate({_FOLD}, '{''.join([*_WIDE, *_SPACE_KINDS])}', '{''.join([*_NARROW, *' ' * len(_SPACE_KINDS)])}')".replace("&'", "&''")
 _FOLD = f"nfc_normalize(regexp_replace({_FOLD}, '[\\x{{ad}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{feff}}]', '', 'g'))"
-_FOLD = f"translate({_FOLD}, '{''.join(repair._LATIN)}', '{''.join(repair._LATIN.values())}')"
+_LETTERS = ("".join(repair._LATIN), "".join(repair._LATIN.values()))
+_SHAPES = f"translate({_FOLD}, '{_LETTERS[0]}', '{_LETTERS[1]}')"
+_FOLDED = f"with folded as (select doc_id, text, {_SHAPES} as f from documents where text is not null and doc_id is not null)"
+
+
+def _own(script: str, pairs: tuple[str, str]) -> str:
+    """The token with Latin letters replaced by those of one script, if that makes it wholly of that script."""
+    theirs, ours = zip(*{b: (a, b) for a, b in reversed(list(zip(*pairs)))}.values())
+    own = f"translate(t, '{''.join(ours)}', '{''.join(theirs)}')"
+    return f"when n_latin > 0 and n_{script} > 0 and n_latin + n_{script} = n and not regexp_matches({own}, '\\p{{Latin}}') then {own}"
+
+
+# the repair in SQL: tokens of several scripts, their forms, the first form that another token of the corpus has
+_REPAIRED = rf"""
+with folded as (select doc_id, text, {_FOLD} as f from documents),
+parts as (select doc_id, text, regexp_extract_all(f, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') as ps from folded),
+tokens as (select distinct t from (select unnest(ps) as t from parts) where regexp_matches(t, '^[\p{{L}}\p{{N}}]')),
+counted as (select t, {", ".join(f"len(regexp_extract_all(t, '{c}')) as {n}" for n, c in (("n", r"\p{L}"), ("n_latin", r"\p{Latin}"), ("n_cyrillic", r"\p{Cyrillic}"), ("n_greek", r"\p{Greek}"), ("n_armenian", r"\p{Armenian}")))} from tokens),
+formed as (
+  select t, n_latin, n, case when n_latin < n and greatest(n_latin, n_cyrillic, n_greek, n_armenian) < n and not regexp_matches(translate(t, '{_LETTERS[0]}', '{_LETTERS[1]}'), '[^\p{{Latin}}\p{{N}}]') then translate(t, '{_LETTERS[0]}', '{_LETTERS[1]}') end as latin,
+    case {" ".join(_own(*x) for x in (("cyrillic", repair.CYRILLIC), ("greek", repair.GREEK), ("armenian", repair.ARMENIAN)))} end as own from counted),
+words as (select t from formed where latin is null and own is null),
+known as (select t, n_latin, n, case when latin in (select t from words) then latin end as latin, case when own in (select t from words) then own end as own from formed where latin is not null or own is not null),
+accepted as (select map_from_entries(list((t, case when n - n_latin > n_latin then coalesce(own, latin) else coalesce(latin, own) end))) as m from known where coalesce(latin, own) is not null)
+"""
 
 SQL = {
     "p4_found": _P4 + """select distinct least(x.qid, y.qid) as qid_a, greatest(x.qid, y.qid) as qid_b from near join kept x on x.t = ta and x.split <> 'train' join kept y on y.t = tb and y.split = 'train' where x.qid <> y.qid""",
     "p4_report": _P4 + """, per as (select split, source, qid, max((t in (select ta from near))::int) as hit from kept where split <> 'train' group by all)
         select split, source, count(*) as n_records, sum(hit)::bigint as n_overlapping from per group by all""",
-    "p10_found": f"""with folded as (select doc_id, text, {_FOLD} as f from documents where text is not null and doc_id is not null)
+    "p10_texts": _REPAIRED + "select doc_id, case when text is not null then array_to_string(list_transform(ps, lambda p: coalesce(m[p], p)), '') end as text from parts left join accepted on true",
+    "p10_classes": _FOLDED + " select doc_id, min(doc_id) over (partition by f) as class_id, count(*) over (partition by f) as n_docs from folded",
+    "p10_found": _FOLDED + """
         select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from folded a join folded b on a.f = b.f and a.doc_id < b.doc_id and a.text <> b.text""",
     "p1_found": """
         select prefix, new_rank::int as new_rank, normalized_query from (

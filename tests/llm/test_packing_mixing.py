@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from querymill.llm import mixing, packing, tokens
 
@@ -33,19 +34,38 @@ def optimal(sizes, capacity):
 def test_bin_completion_is_optimal_on_small_cases():
     rng = random.Random(1)
     improved = 0
-    for _ in range(150):
-        capacity = rng.choice([10, 20, 50])
-        sizes = sorted((rng.randint(1, capacity) for _ in range(rng.randint(1, 9))), reverse=True)
-        got = packing.bin_completion(sizes, capacity)
-        assert Counter(itertools.chain(*got)) == Counter(sizes) and all(sum(b) <= capacity for b in got)
-        best = optimal(sizes, capacity)
-        assert packing.least_containers(sizes, capacity) <= best
-        assert len(got) == best
-        improved += len(packing.best_fit_decreasing(sizes, capacity)) > len(got)
-    # a case that best fit decreasing gets wrong
-    sizes = [6, 5, 5, 4, 4, 3, 3]
-    assert len(packing.bin_completion([10, 10, 9, 9, 8, 8, 6, 6, 5, 5, 4, 4, 3, 3], 30)) == 3 or improved
-    assert len(packing.bin_completion(sizes, 10)) == 3
+    for _ in range(10_000):
+        capacity = rng.choice([10, 20, 50, 60, 100])
+        low, high = rng.choice([(1, capacity), (capacity // 8, capacity // 2), (capacity // 5, capacity // 2), (2, 2 * capacity // 3)])
+        sizes = [rng.randint(max(1, low), high) for _ in range(rng.randint(1, 12))]
+        got, least = packing.bin_completion(sizes, capacity)
+        assert least and Counter(itertools.chain(*got)) == Counter(sizes) and all(sum(b) <= capacity for b in got)
+        first, bound = len(packing.best_fit_decreasing(sizes, capacity)), packing.least_containers(sizes, capacity)
+        if first > bound:  # else the bound itself proves it
+            assert bound <= len(got) == optimal(sorted(sizes, reverse=True), capacity)
+            improved += first > len(got)
+    assert improved > 20
+
+
+def test_bin_completion_where_a_full_container_misleads():
+    """The fullest container around the largest size is none of the best solution's."""
+    sizes = [21, 9, 2, 18, 29, 20, 9, 26, 34, 21, 30, 28, 39, 14]
+    for steps in (packing.SEARCH_STEPS, None):
+        got, least = packing.bin_completion(sizes, 60, steps)
+        assert len(got) == 5 and least
+    # a search that may take no step gives best fit decreasing and says so
+    assert packing.bin_completion(sizes, 60, 0) == (packing.best_fit_decreasing(sizes, 60), False)
+
+
+def test_packing_checks_find_faults(spark):
+    texts = [(k, "word " * (k * 7 % 90), "s") for k in range(40)]
+    caps = spark.createDataFrame([(1, 64)], "capacity_id int, capacity_tokens int")
+    packed = packing.pack_texts(docs(spark, texts), caps)
+    check = lambda df: tuple(packing.packing_checks(docs(spark, texts), df, caps).first())
+    assert check(packed) == (1, 40, True, True, True, True)
+    assert check(packed.where("doc_id != 5"))[2] is False
+    assert check(packed.withColumn("container_id", F.lit(0).cast("long")))[3] is False
+    assert packing.packing_report(packed, caps).first().n_containers == packed.select("container_id").distinct().count()
 
 
 def docs(spark, data):

@@ -87,16 +87,27 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packing_checks(_table(spark, folder, "documents"), packed, _table(spark, folder, "pack_capacities"))
 
 
+def _mix(spark: SparkSession, folder: str, by_temperature: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), by_temperature=by_temperature, seed=3)
+
+
 def p9_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), seed=3)[0]
+    return _mix(spark, folder)[0]
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), seed=3)[1]
+    """The shares that must be reached, and whether they and the limits are."""
+    checks = mixing.mix_checks(*_mix(spark, folder))
+    return checks.select("source", "target_share", "max_repeats", "expected_share", "on_target", "within_repeats")
+
+
+def p9_temperature_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return _mix(spark, folder, True)[0]
 
 
 def p9_temperature_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), by_temperature=True, seed=3)[1]
+    """Whether the mix by the exponent alone has the targets' entropy and keeps the limits."""
+    return mixing.mix_checks(*_mix(spark, folder, True)).select("source", "target_share", "max_repeats", "within_repeats", "entropy_reached")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p2_sample, p2_sample_so_far, p2_sample_merged, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms,
-        p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_shares, p10_found, p10_texts, p10_classes,
+        p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_selection, p9_temperature_shares, p10_found, p10_texts, p10_classes,
     )
 }
 
@@ -210,6 +221,9 @@ accepted as (select map_from_entries(list((t, case when n - n_latin > n_latin th
 """
 
 SQL = {
+    "p9_shares": """select source, target_share, max_repeats, round(u / sum(u) over (), 6) as expected_share, true as on_target, true as within_repeats from (
+        select *, case when source in (select source from documents where text <> '') then target_share else 0 end as u from mix_targets where source is not null and target_share > 0)""",
+    "p9_temperature_shares": "select source, target_share, max_repeats, true as within_repeats, true as entropy_reached from mix_targets where source is not null and target_share > 0",
     "p8_report": """select capacity_id, (select count(*) from documents where text is not null) as n_texts, true as every_token_once, true as within_capacity,
         true as divided_only_if_longer, true as nearly_full from pack_capacities where capacity_id is not null and capacity_tokens >= 1""",
     "p4_found": _P4 + """select distinct least(x.qid, y.qid) as qid_a, greatest(x.qid, y.qid) as qid_b from near join kept x on x.t = ta and x.split <> 'train' join kept y on y.t = tb and y.split = 'train' where x.qid <> y.qid""",

@@ -110,13 +110,42 @@ def test_capped_shares():
 
 
 def test_temperature():
-    have = {"a": 1000, "b": 10}
+    have, none = {"a": 1000, "b": 10}, {"a": 10**9, "b": 10**9}
     assert mixing.temperature_shares(have, 0) == pytest.approx({"a": 0.5, "b": 0.5})
     assert mixing.temperature_shares(have, 1)["b"] == pytest.approx(10 / 1010)
-    e = mixing.temperature_exponent(have, {"a": 4, "b": 4}, 1000)
-    assert mixing.temperature_shares(have, e)["b"] * 1000 == pytest.approx(40, rel=1e-6)
-    e = mixing.temperature_exponent(have, {"a": 400, "b": 400}, 1000, 0.3)
-    assert mixing.entropy(mixing.temperature_shares(have, e)) == pytest.approx(0.3, rel=1e-6)
+    for goal in (0.02, 0.3, 0.6):  # the first is more concentrated than the sources are
+        exponent, shares, _ = mixing.temperature_mix(have, none, goal)
+        assert mixing.entropy(shares) == pytest.approx(goal, rel=1e-6) and (exponent > 1) == (goal == 0.02)
+    # no exponent can concentrate equal sources; the entropy of the mix says so
+    _, shares, _ = mixing.temperature_mix({"a": 5, "b": 5, "c": 5}, {"a": 1, "b": 1, "c": 1}, 0.2)
+    assert mixing.entropy(shares) == pytest.approx(1.0986, rel=1e-3)
+
+
+def test_temperature_within_limits():
+    have, limits = {"a": 1000, "b": 10}, {"a": 4, "b": 4}
+    # without a budget the limits set what is spent: b is taken four times, and has half of all
+    _, shares, spend = mixing.temperature_mix(have, limits, 0.6931471)
+    assert shares["b"] * spend == pytest.approx(40, rel=0.05)
+    # with one, the exponent rises until b's limit holds
+    exponent, shares, spend = mixing.temperature_mix(have, limits, 0.6931471, 1000)
+    assert spend == 1000 and shares["b"] * spend == pytest.approx(40, rel=1e-6) and 0 < exponent < 1
+    # more than the limits give at any exponent
+    exponent, shares, spend = mixing.temperature_mix(have, {"a": 1, "b": 1}, 0.6, 5000)
+    assert exponent == 1 and spend == 1010
+
+
+def test_mix_by_temperature(spark):
+    data = [(k, "w " * 20, "big" if k % 10 else "small") for k in range(2000)]
+    targets = spark.createDataFrame([("big", 0.7, 1), ("small", 0.3, 9)], "source string, target_share double, max_repeats int")
+    for budget in (None, 30_000):
+        selection, shares = mixing.mix_sources(docs(spark, data), targets, budget=budget, by_temperature=True)
+        report = {r.source: r for r in shares.collect()}
+        assert sum(r.reached_share for r in report.values()) == pytest.approx(1.0)
+        assert report["big"].reached_entropy == pytest.approx(report["big"].target_entropy, abs=0.01)
+        most = Counter((r.source, r.doc_id) for r in selection.collect())
+        assert max(n for (s, _), n in most.items() if s == "big") == 1 and max(n for (s, _), n in most.items() if s == "small") <= 9
+        got = {r.source: (r.within_repeats, r.entropy_reached) for r in mixing.mix_checks(selection, shares).collect()}
+        assert got == {"big": (True, True), "small": (True, True)}
 
 
 @pytest.mark.parametrize("budget", [None, 40_000])
@@ -145,6 +174,6 @@ def test_mix(spark, budget):
 def test_mix_of_nothing(spark, rows):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     selection, shares = mixing.mix_sources(docs(spark, []), targets)
-    assert rows(selection) == [] and rows(shares) == [("a", 1.0, 1, 0, 0, 0.0)]
+    assert rows(selection) == [] and rows(shares.select("source", "target_share", "max_repeats", "available_tokens", "reached_tokens", "reached_share")) == [("a", 1.0, 1, 0, 0, 0.0)]
     selection, shares = mixing.mix_sources(docs(spark, [(1, "x", "a")]), targets.limit(0))
     assert rows(selection) == [] and rows(shares) == []

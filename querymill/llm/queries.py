@@ -9,7 +9,7 @@ from querymill.llm import dedup, mixing, overlap, packing, repair, sampling, ter
 from querymill.runtime import written
 
 #: Rows of the fixed-size sample.
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 500
 SAMPLE_RATE = 0.1
 
 
@@ -29,16 +29,17 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
 def p2_sample_so_far(spark: SparkSession, folder: str) -> DataFrame:
     """A sample over the first six pieces only, before the later ones arrived."""
     path = f"{folder}/queries.parquet"
-    return sampling.block_sample(spark, path, ["qid", "normalized_query", "piece"], SAMPLE_ROWS // 10, seed=20, arrived=F.col("piece") <= 6)
+    return sampling.block_sample(spark, path, ["qid", "normalized_query", "piece"], SAMPLE_ROWS, seed=20, arrived=F.col("piece") <= 6)
 
 
 def p2_sample_merged(spark: SparkSession, folder: str) -> DataFrame:
     """The sample of the first six pieces brought up to date with one of the later pieces."""
-    path, columns, k = f"{folder}/queries.parquet", ["qid", "normalized_query", "piece"], SAMPLE_ROWS // 10
-    parts = [(F.col("piece") <= 6), (F.col("piece") > 6)]
-    samples = [sampling.block_sample(spark, path, columns, k, seed=20 + i, arrived=part) for i, part in enumerate(parts)]
-    sizes = [_table(spark, folder, "queries").where(part).count() for part in parts]
-    return sampling.merge_samples(samples[0], sizes[0], samples[1], sizes[1], k, seed=22)
+    path, columns = f"{folder}/queries.parquet", ["qid", "normalized_query", "piece"]
+    parts = [F.col("piece") <= 6, F.col("piece") > 6]
+    samples = [sampling.block_sample(spark, path, columns, SAMPLE_ROWS, seed=20 + i, arrived=part) for i, part in enumerate(parts)]
+    # a running job knows the rows of the pieces it has read; here one column is counted
+    sizes = _table(spark, folder, "queries").agg(*[F.count_if(part) for part in parts]).first()
+    return sampling.merge_samples(samples[0], sizes[0], samples[1], sizes[1], SAMPLE_ROWS, seed=22)
 
 
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,6 +142,24 @@ def _feistel_sql() -> str:
     return ("with " + ", ".join(steps)).format(m=sampling._HALF) + " " + end
 
 
+def _drawn(parts: str, below: str) -> str:
+    return f"('0x' || md5({parts})[1:15])::bigint % {below}"
+
+
+def _block_sample_sql(name: str, seed: int, where: str = "true") -> str:
+    """The sample of a table that is one row group, whose rows are numbered in file order."""
+    return f"""{name} as (select r.* exclude (nth) from placed r left join (
+        select {_drawn(f"'{seed}|row|' || i", "(select count(*) from placed)")} as nth, min(i) as draw from range(200000) t(i) group by 1) d using (nth)
+      where {where} order by coalesce(draw, 1000000 + {_drawn(f"'{seed}|rest|0|' || nth", "(1::bigint << 59)")}) limit {SAMPLE_ROWS})"""
+
+
+_PLACED = "with recursive placed as (select qid, normalized_query, piece, row_number() over () - 1 as nth from queries)"
+_MERGED = f"""{_PLACED}, {_block_sample_sql("old", 20, "piece <= 6")}, {_block_sample_sql("new", 21, "piece > 6")},
+sizes as (select count(*) filter (piece <= 6) as n_old, count(*) filter (piece > 6) as n_new from placed),
+urn as (select 0 as i, 0::bigint as fresh union all
+  select i + 1, fresh + ({_drawn("'22|urn|' || i", "(n_old + n_new - i)")} < n_new - fresh)::int from urn, sizes where i < least({SAMPLE_ROWS}, n_old + n_new)),
+taken as (select max(i) as k, max(fresh) as fresh from urn)"""
+
 _P6 = r"""
 with pieces as (
   select qid, original_query, list_filter(regexp_split_to_array(lower(original_query), '[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda p: p <> '') as ps,
@@ -220,7 +239,12 @@ known as (select t, n_latin, n, case when latin in (select t from words) then la
 accepted as (select map_from_entries(list((t, case when n - n_latin > n_latin then coalesce(own, latin) else coalesce(latin, own) end))) as m from known where coalesce(latin, own) is not null)
 """
 
+_PICK = "select qid, normalized_query, piece from (select *, row_number() over (order by md5(concat_ws('|', '22', qid, normalized_query, piece)), qid, normalized_query, piece) as n from {}), taken where n <= {}"
+
 SQL = {
+    "p2_sample": f"{_PLACED}, {_block_sample_sql('sample', 20)} select qid, normalized_query from sample",
+    "p2_sample_so_far": f"{_PLACED}, {_block_sample_sql('sample', 20, 'piece <= 6')} select qid, normalized_query, piece from sample",
+    "p2_sample_merged": f"{_MERGED} {_PICK.format('old', 'k - fresh')} union all {_PICK.format('new', 'fresh')}",
     "p9_shares": """select source, target_share, max_repeats, round(u / sum(u) over (), 6) as expected_share, true as on_target, true as within_repeats from (
         select *, case when source in (select source from documents where text <> '') then target_share else 0 end as u from mix_targets where source is not null and target_share > 0)""",
     "p9_temperature_shares": "select source, target_share, max_repeats, true as within_repeats, true as entropy_reached from mix_targets where source is not null and target_share > 0",

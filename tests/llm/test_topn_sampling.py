@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -81,6 +82,44 @@ def test_sample_of_what_arrived_of_all_and_of_nothing(spark, table, tmp_path):
     assert sampling.block_sample(spark, str(tmp_path / "e.parquet"), ["qid"], 5).count() == 0
 
 
+def test_sample_over_many_unequal_row_groups(spark, tmp_path):
+    """Chi-square over rows of 30 groups of 1 to 97 rows in several files."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 0
+    for f in range(6):
+        shape = pa.schema([("n", pa.int64())])
+        with pq.ParquetWriter(tmp_path / f"f{f}.parquet", shape) as writer:
+            for g in range(5):
+                size = 1 + (f * 5 + g) ** 2 * 97 // 29**2
+                writer.write_table(pa.table({"n": range(n, n + size)}, schema=shape))
+                n += size
+    assert sampling.row_groups(spark, str(tmp_path)).count() == 30
+    seen, rounds, k = np.zeros(n), 25, 200
+    for seed in range(rounds):
+        got = [r.n for r in sampling.block_sample(spark, str(tmp_path), ["n"], k, seed=seed).collect()]
+        assert len(set(got)) == k
+        seen[got] += 1
+    share = k / n
+    chi = ((seen - rounds * share) ** 2 / (rounds * share * (1 - share))).sum()
+    assert n - 5 * (2 * n) ** 0.5 < chi < n + 5 * (2 * n) ** 0.5
+
+
+def test_only_row_groups_that_are_hit_are_read(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    with pq.ParquetWriter(tmp_path / "t.parquet", pa.schema([("n", pa.int64()), ("x", pa.string())])) as writer:
+        for g in range(40):
+            writer.write_table(pa.table({"n": range(g * 10, g * 10 + 10), "x": ["y"] * 10}))
+    groups = sampling.row_groups(spark, str(tmp_path)).collect()
+    places = spark.createDataFrame([(g.file, g.row_group, o, g.row_group) for g in groups if g.row_group % 13 == 0 for o in (0, 7)], "file string, row_group int, offset long, draw long")
+    shape = spark.read.parquet(str(tmp_path)).schema
+    got = sampling._rows_at(places, ["n"], shape, 3).collect()
+    assert sorted((r.n, r.draw) for r in got) == sorted((g * 10 + o, g) for g in (0, 13, 26, 39) for o in (0, 7))
+
+
 def test_merged_samples_are_uniform(spark):
     old, new = spark.range(0, 300), spark.range(300, 400)
     seen = defaultdict(int)
@@ -90,6 +129,7 @@ def test_merged_samples_are_uniform(spark):
         assert len(set(got)) == 100
         for i in got:
             seen[i // 100] += 1
+    assert sum(sampling.fresh_rows(300, 100, 40, i) for i in range(200)) == pytest.approx(2000, abs=150) and sampling.fresh_rows(0, 5, 9, 1) == 5
     assert all(640 < n < 860 for n in seen.values()) and sum(seen.values()) == 3000
     assert sampling.merge_samples(old, 300, new, 100, 1000, 1).count() == 400 and sampling.merge_samples(old, 300, new, 100, 0, 1).count() == 0
 

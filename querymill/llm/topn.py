@@ -1,9 +1,9 @@
 """Top N items within every group by partition lower bounds.
 
-The N-th best item that one input partition holds for a group bounds the group's N-th best item
-from below.  Each partition is sorted locally and gives its bound, the best bound per group is
-joined back, and only rows at or above it are combined and ranked.  At most N distinct items of
-each partition survive, however many rows a group has.
+Each input partition is sorted locally and lets at most N distinct items of a group go on; the
+N-th of them bounds the group's N-th best item from below.  The best bound of each group is joined
+back, rows below it are dropped, and what is left is combined and ranked.  The input is read once,
+and what is shuffled is at most N items of each group and partition, however many rows a group has.
 """
 
 from __future__ import annotations
@@ -17,26 +17,23 @@ from pyspark.sql import types as T
 
 from querymill.runtime import written
 
-_SALTS = 16
 
+def _local_best(n: int, schema: pa.Schema):
+    """Rows sorted by group, falling score and item: the first ``n`` distinct items of each group, the n-th marked."""
 
-def _local_bounds(n: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen, done = object(), set(), False
+        group, seen = object(), set()
         for batch in batches:
-            groups, scores, items = (c.to_pylist() for c in batch.columns)
-            out: list[tuple] = []
-            for i, g in enumerate(groups):
+            keep, last = [], []
+            for i, (g, item) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                 if g != group:
-                    group, seen, done = g, set(), False
-                if done:
-                    continue
-                seen.add(items[i])
-                if len(seen) == n:
-                    done = True
-                    out.append((g, scores[i], items[i]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    group, seen = g, set()
+                if len(seen) < n and item not in seen:
+                    seen.add(item)
+                    keep.append(i)
+                    last.append(len(seen) == n)
+            if keep:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(keep)).columns, pa.array(last)], schema=schema)
 
     return run
 
@@ -46,15 +43,7 @@ def _descending(score: Column, kind: T.DataType) -> Column:
     return F.bitwise_not(score) if isinstance(kind, T.IntegralType) else -score
 
 
-def top_n(
-    df: DataFrame,
-    group: str,
-    item: str,
-    score: str,
-    n: int,
-    rank_col: str = "new_rank",
-    broadcast_bytes: int = 16 << 20,
-) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int, rank_col: str = "new_rank") -> DataFrame:
     """The ``n`` best items of every group: (group, <rank_col> int, item, score).
 
     Order: score descending, then item ascending by code point; ranks run from 1 without gaps.
@@ -64,8 +53,8 @@ def top_n(
     and very long texts are ordinary values.  Columns are taken by position internally, so other
     columns may have any name.
 
-    The bounds (at most one per group with ``n`` items in one partition) are broadcast only if
-    they take at most ``broadcast_bytes``; beyond it both sides are salted and shuffled.
+    Bounds and survivors meet in the partitioning by group that the ranking needs anyway, or in
+    a broadcast if Spark finds the bounds small; nothing is hinted.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -77,17 +66,12 @@ def top_n(
         rows = rows.where(~F.isnan("s"))
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    shape = T.StructType([T.StructField(c, kinds[c]) for c in "gsi"])
-    local = rows.sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(_local_bounds(n, to_arrow_schema(shape)), shape)
-    best = local.groupBy("g").agg(F.min(F.struct(_descending(F.col("s"), kinds["s"]).alias("d"), F.col("i"), F.col("s"))).alias("b"))
-    bounds = written(best.select("g", F.col("b.s").alias("bs"), F.col("b.i").alias("bi")), "topn-bounds")
-    width = sum((F.octet_length(F.col(c).cast("string")) for c in ("g", "bi")), F.lit(64))
-    if (bounds.agg(F.sum(width)).first()[0] or 0) <= broadcast_bytes:
-        joined = rows.join(F.broadcast(bounds), "g", "left")
-    else:
-        salted = bounds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(_SALTS)).cast("int")).join(salted, ["g", "salt"], "left")
-    kept = joined.where("bs is null or s > bs or (s = bs and i <= bi)")
+    shape = T.StructType([*(T.StructField(c, kinds[c]) for c in "gsi"), T.StructField("nth", T.BooleanType())])
+    local = rows.sortWithinPartitions("g", F.desc("s"), "i").mapInArrow(_local_best(n, to_arrow_schema(shape)), shape)
+    local = written(local, "topn-local")
+    best = local.where("nth").groupBy("g").agg(F.min(F.struct(_descending(F.col("s"), kinds["s"]).alias("d"), F.col("i"), F.col("s"))).alias("b"))
+    bounds = best.select("g", F.col("b.s").alias("bs"), F.col("b.i").alias("bi"))
+    kept = local.select("g", "s", "i").join(bounds, "g", "left").where("bs is null or s > bs or (s = bs and i <= bi)")
     unique = kept.groupBy("g", "i").agg(F.max("s").alias("s"))
     order = Window.partitionBy("g").orderBy(F.desc("s"), "i")
     ranked = unique.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)

@@ -27,13 +27,26 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame([(*r, "x", 1, 2, "y", 3) for r in rows], DDL).repartition(parts)
 
 
-@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+@pytest.mark.parametrize("broadcast_bytes", ["-1", "10485760"])
 def test_top_n_with_ties_repeats_nulls_and_clashing_names(spark, rows, broadcast_bytes):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast_bytes)
     data = [("a", f"q{k % 40:02d}", k % 7) for k in range(400)] + [("b", "", 5), ("b", "x" * 50_000, 5), ("b", "", 5)]
     data += [(None, "q", 1), ("c", None, 1), ("c", "q", None), ("", "q", 0), ("a", "q00", 2**62), ("a", "q01", -(2**63))]
-    got = topn.top_n(frame(spark, data), "prefix", "normalized_query", "popularity", 10, broadcast_bytes=broadcast_bytes)
-    assert got.columns == ["prefix", "new_rank", "normalized_query", "popularity"]
-    assert rows(got) == brute(data, 10)
+    try:
+        got = topn.top_n(frame(spark, data), "prefix", "normalized_query", "popularity", 10)
+        assert got.columns == ["prefix", "new_rank", "normalized_query", "popularity"]
+        assert rows(got) == brute(data, 10)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_at_most_n_items_of_a_group_leave_a_partition(spark, monkeypatch):
+    left = []
+    monkeypatch.setattr(topn, "written", lambda df, name: left.append(df) or df)
+    data = [("hot", f"q{k % 50}", k) for k in range(3000)] + [("cold", "q", 1)]
+    topn.top_n(frame(spark, data, 4), "prefix", "normalized_query", "popularity", 3).collect()
+    per = left[0].groupBy(F.spark_partition_id(), "g").count().collect()
+    assert len(per) >= 5 and max(r["count"] for r in per) == 3
 
 
 def test_top_n_of_nothing(spark, rows):

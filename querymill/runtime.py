@@ -55,11 +55,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder, in a folder for each value of ``partition_by`` if given, and read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

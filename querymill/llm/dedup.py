@@ -1,8 +1,10 @@
 """Records that are the same but for spacing, letter case, punctuation or the order of fields.
 
-Each input task builds two blocked Bloom filters over canonical hashes, of those seen once and of
-those seen again; merged bit by bit they hold every hash that may occur twice anywhere.  Only such
-rows are shuffled, by their exact canonical text; all others are singletons and leave at once.
+Canonical hashes, of eight bytes each, go to the partition of their filter block, where two
+Bloom filters are built and merged, of hashes seen once and of hashes seen again; together they hold
+every hash that may occur twice anywhere.  Only such rows are shuffled, by their exact canonical
+text; all others are singletons and leave at once.  The filter has a fixed number of bits a row;
+where it is larger than may be broadcast, it is built and asked in several parts, one after the other.
 """
 
 from __future__ import annotations
@@ -41,70 +43,76 @@ def canonical_record(text: Column) -> Column:
     return F.when(text.isNotNull() & (F.length(F.trim(key)) > 0), key)
 
 
-def _positions(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block of each hash, and its bit positions in the block."""
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    """The bit positions of each hash in its block."""
     x = hashes.view(np.uint64)
-    block = (x % np.uint64(blocks)).astype(np.int64)
-    bits = np.stack([(x >> np.uint64(s)) & np.uint64(BLOCK_BITS - 1) for s in (12, 24, 36, 48)[:_PROBES]], axis=1)
-    return block, bits.astype(np.int64)
-
-
-def _build(blocks: int):
-    """Canonical hashes of one task to the words of its two filters: (block, once, again)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once = np.zeros(blocks * BLOCK_BITS // 8, dtype=np.uint8)
-        again = np.zeros_like(once)
-        for batch in batches:
-            values, counts = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            if not len(values):
-                continue
-            block, bits = _positions(values, blocks)
-            at = block[:, None] * BLOCK_BITS + bits
-            byte, mask = at >> 3, (1 << (at & 7)).astype(np.uint8)
-            seen = ((once[byte] & mask) != 0).all(axis=1) | (counts > 1)
-            np.bitwise_or.at(again, byte[seen], mask[seen])
-            np.bitwise_or.at(once, byte, mask)
-        once, again = once.view(np.int64).reshape(blocks, _WORDS), again.view(np.int64).reshape(blocks, _WORDS)
-        full = np.flatnonzero(once.any(axis=1))
-        for i in range(0, len(full), 64):
-            part = full[i : i + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), *(pa.array(list(x[part]), pa.list_(pa.int64())) for x in (once, again))], names=["block", "once", "again"]
-            )
-
-    return run
-
-
-def _merge(key: tuple, batches: pa.Table) -> pa.Table:
-    """A bit of the result is set if some task saw it again, or two tasks saw it."""
-    once, again = np.zeros(_WORDS, dtype=np.int64), np.zeros(_WORDS, dtype=np.int64)
-    for o, r in zip(batches.column("once"), batches.column("again")):
-        o = o.values.to_numpy(zero_copy_only=False)
-        again |= r.values.to_numpy(zero_copy_only=False) | (once & o)
-        once |= o
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "again": pa.array([again], pa.list_(pa.int64()))})
-
-
-def filter_blocks(rows: int, bits_per_row: int = 16, most_bytes: int = 32 << 20) -> int:
-    """Blocks of the filter for ``rows`` rows; a filter never takes more than ``most_bytes``."""
-    return max(1, min(-(-rows * bits_per_row // BLOCK_BITS), most_bytes * 8 // BLOCK_BITS))
-
-
-def repeat_filter(hashes: DataFrame, rows: int, builders: int, bits_per_row: int = 16, most_bytes: int = 32 << 20) -> tuple[DataFrame, int]:
-    """The merged filter of possibly repeated values of the long column ``h``: ((block, again), blocks)."""
-    blocks = filter_blocks(rows, bits_per_row, most_bytes)
-    parts = hashes.select("h").coalesce(builders).mapInArrow(_build(blocks), "block long, once array<long>, again array<long>")
-    merged = parts.groupBy("block").applyInArrow(_merge, "block long, again array<long>")
-    return written(merged, "repeat-filter"), blocks
-
-
-def may_repeat(rows: DataFrame, again: DataFrame, blocks: int) -> DataFrame:
-    """``rows`` (with a long ``h``) and the boolean ``repeat``: false only if no other row has its hash.
-
-    The filter is broadcast: its size has a fixed bound.
+    return np.stack([(x >> np.uint64(s)) & np.uint64(BLOCK_BITS - 1) for s in (12, 24, 36, 48)[:_PROBES]], axis=1).astype(np.int64)
+
+
+_FLUSH_HASHES = 500_000
+
+
+def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, h) to one row a block: the hashes that the task saw once and those it saw again, eight bytes each."""
+    held: list[np.ndarray] = []
+    n = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        values, first, counts = np.unique(rows[:, 1], return_index=True, return_counts=True)
+        block = rows[first, 0]
+        order = np.argsort(block, kind="stable")
+        values, counts, block = values[order], counts[order], block[order]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        once, again = [], []
+        for v, c in zip(np.split(values, starts[1:]), np.split(counts, starts[1:])):
+            once.append(v[c == 1].tobytes())
+            again.append(v[c > 1].tobytes())
+        for i in range(0, len(starts), 10_000):
+            part = slice(i, i + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts[part]], pa.int64()), pa.array(once[part], pa.binary()), pa.array(again[part], pa.binary())], names=["block", "once", "again"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+            n += batch.num_rows
+        if n >= _FLUSH_HASHES:
+            yield from flush()
+            held, n = [], 0
+    if n:
+        yield from flush()
+
+
+def _merge(key: tuple, tasks: pa.Table) -> pa.Table:
+    """The filter of what is repeated in one block: a hash whose bits an earlier task has set, or that its own task saw again."""
+    once, again = np.zeros(BLOCK_BITS, dtype=bool), np.zeros(BLOCK_BITS, dtype=bool)
+    for single, twice in zip(tasks.column("once").to_pylist(), tasks.column("again").to_pylist()):
+        bits = _bits(np.frombuffer(single, dtype=np.int64))
+        seen = bits[once[bits].all(axis=1)]
+        repeated = _bits(np.frombuffer(twice, dtype=np.int64))
+        again[seen] = again[repeated] = True
+        once[bits] = once[repeated] = True
+    words = np.packbits(again, bitorder="little").view(np.int64)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "again": pa.array([words], pa.list_(pa.int64()))})
+
+
+def filter_blocks(rows: int, bits_per_row: int = 16) -> int:
+    """Blocks of the filter for ``rows`` rows."""
+    return max(1, -(-rows * bits_per_row // BLOCK_BITS))
+
+
+def repeat_filter(hashes: DataFrame) -> DataFrame:
+    """The merged filter of possibly repeated hashes of (block, h): (block, again)."""
+    parts = hashes.select("block", "h").mapInArrow(_once_a_task, "block long, once binary, again binary")
+    return written(parts.groupBy("block").applyInArrow(_merge, "block long, again array<long>"), "repeat-filter")
+
+
+def may_repeat(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` (with ``block`` and ``h``) and the boolean ``repeat``: false only if no other row has its hash.
+
+    ``again``, whose size the caller bounds, is broadcast.
     """
-    joined = rows.withColumn("block", _unsigned_mod(F.col("h"), blocks)).join(F.broadcast(again), "block", "left")
+    joined = rows.join(F.broadcast(again), "block", "left")
 
     def bit(shift: int) -> Column:
         at = F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int")
@@ -127,9 +135,8 @@ def collapse_copies(
     text: str,
     copies: str,
     copy_ids: str,
-    builders: int | None = None,
     bits_per_row: int = 16,
-    most_bytes: int = 32 << 20,
+    most_bytes: int = 64 << 20,
 ) -> tuple[DataFrame, DataFrame]:
     """Records whose ``text`` is the same but for its writing: (records, members).
 
@@ -142,19 +149,29 @@ def collapse_copies(
     Rows with a null id, a null text or a text without letter or digit are left out; a row
     delivered again is the same record; ids are compared as text; an empty table gives empty
     results; other columns may have any name.  Groups are exact: the filter only decides which
-    rows need the shuffle, and its size (``most_bytes``) only how many of them.
+    rows need the shuffle.  It takes ``bits_per_row`` however many rows there are; beyond
+    ``most_bytes`` rows are written by part of the filter, and each part is broadcast on its own.
     """
-    spark = df.sparkSession
-    builders = builders or spark.sparkContext.defaultParallelism
+    blocks, most_blocks = filter_blocks(df.count(), bits_per_row), max(1, most_bytes * 8 // BLOCK_BITS)
+    parts = -(-blocks // most_blocks)
     rows = df.select(
         df[record].cast("string").alias("qid"),
         canonical_record(df[text]).alias("key"),
         F.greatest(F.coalesce(df[copies].cast("long"), F.lit(0)), F.lit(0)).alias("n"),
         F.coalesce(df[copy_ids], F.lit("")).alias("ids"),
     ).where("qid is not null and key is not null")
-    rows = rows.withColumn("h", F.xxhash64("key"))
-    again, blocks = repeat_filter(rows, df.count(), builders, bits_per_row, most_bytes)
-    rows = written(may_repeat(rows, again, blocks), "records")
+    rows = rows.withColumn("h", F.xxhash64("key")).withColumn("block", _unsigned_mod(F.col("h"), blocks))
+    # the canonical form is made once; each part is read twice, for its filter and to ask it
+    if parts == 1:
+        keyed = written(rows, "canonical")
+        pieces = [keyed]
+    else:
+        keyed = written(rows.withColumn("part", F.floor(F.col("block") / most_blocks).cast("int")), "canonical", "part")
+        pieces = [keyed.where(F.col("part") == p).drop("part") for p in range(parts)]
+    asked = [written(may_repeat(piece, repeat_filter(piece)), "records") for piece in pieces]
+    rows = asked[0]
+    for more in asked[1:]:
+        rows = rows.unionByName(more)
     repeated, single = rows.where("repeat"), rows.where("not repeat")
     names = lambda ids: F.filter(F.transform(F.split(ids, ","), lambda x: F.trim(x)), lambda x: x != "")
     # a group's key is long, its smallest id short: join on the hash and the id from here on

@@ -74,6 +74,11 @@ def p7_terms(spark: SparkSession, folder: str) -> DataFrame:
     return terms.term_counts(_table(spark, folder, "training_pairs"), ["prefix"], ["candidate"])
 
 
+def p7_terms_spilled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts where each hash partition spills several times over."""
+    return terms.term_counts(_table(spark, folder, "training_pairs"), ["prefix"], ["candidate"], partitions=2, most_rows=100)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_terms(spark, folder).where("mark is not null").select("field_name", "term", "mark")
 
@@ -126,7 +131,7 @@ def p10_classes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p2_sample, p2_sample_so_far, p2_sample_merged, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms,
+        p1_found, p2_sample, p2_sample_so_far, p2_sample_merged, p3_sample, p4_found, p4_report, p6_found, p6_records, p7_found, p7_terms, p7_terms_spilled,
         p8_packing, p8_report, p9_selection, p9_shares, p9_temperature_selection, p9_temperature_shares, p10_found, p10_texts, p10_classes,
     )
 }
@@ -271,5 +276,6 @@ named as (select distinct qid_a, m from per, unnest(list_append(ids, qid)) as u(
 more as (select qid_a, sum(greatest(n - len(ids), 0)) as c from per group by qid_a)
 select qid_a as qid, (any_value(c) + count(*))::bigint as n_copies from named join more using (qid_a) group by qid_a""",
     "p7_terms": _P7 + "select field_name, term, n_occurrences, n_rows, mark from marked",
+    "p7_terms_spilled": _P7 + "select field_name, term, n_occurrences, n_rows, mark from marked",
     "p7_found": _P7 + "select field_name, term, mark from marked where mark is not null",
 }

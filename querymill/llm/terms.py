@@ -1,15 +1,14 @@
 """How often every distinct value or term occurs, and in how many rows.
 
 Terms are combined within each input task, partitioned by hash bits, and each partition is
-aggregated by DuckDB.  A partition of more rows than fit is spilled to disk by further hash bits,
-again and again, before it is aggregated, so memory stays bounded whatever the vocabulary.
+aggregated by DuckDB.  A partition of more rows or bytes than fit is spilled to the shared folder
+by further hash bits, again and again, before it is aggregated, so memory stays bounded whatever
+the vocabulary.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import shutil
 import unicodedata
 import uuid
 from collections import Counter
@@ -19,10 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querymill.runtime import file_path, new_path
+from querymill.runtime import new_path
 
 _WORDS = re.compile(r"[^\W_]+")
 _FLUSH_TERMS = 100_000
@@ -84,79 +84,81 @@ def _radix(h: pa.Array, level: int) -> pa.Array:
 class _Spill:
     """Rows written to a Parquet file for each value of the next hash bits."""
 
-    def __init__(self, folder: str, level: int):
-        self.folder, self.level, self.files, self.rows = f"{folder}/{uuid.uuid4().hex}", level, {}, Counter()
-        os.makedirs(self.folder)
+    def __init__(self, system: fs.FileSystem, folder: str, level: int):
+        self.system, self.level, self.files = system, level, {}
+        self.folder, self.rows, self.bytes = f"{folder}/{uuid.uuid4().hex}", Counter(), Counter()
+        system.create_dir(self.folder, recursive=True)
 
     def add(self, table: pa.Table) -> None:
         radix = _radix(table.column("h").combine_chunks(), self.level)
         for bucket in pc.unique(radix).to_pylist():
             part = table.filter(pc.equal(radix, bucket))
             if bucket not in self.files:
-                self.files[bucket] = pq.ParquetWriter(f"{self.folder}/{bucket}.parquet", _SCHEMA, compression="zstd")
+                self.files[bucket] = pq.ParquetWriter(f"{self.folder}/{bucket}.parquet", _SCHEMA, compression="zstd", filesystem=self.system)
             self.files[bucket].write_table(part)
             self.rows[bucket] += part.num_rows
+            self.bytes[bucket] += part.nbytes
 
-    def close(self) -> Iterator[tuple[str, int]]:
+    def close(self) -> Iterator[tuple[str, int, int]]:
         for writer in self.files.values():
             writer.close()
         for bucket in sorted(self.files):
-            yield f"{self.folder}/{bucket}.parquet", self.rows[bucket]
+            yield f"{self.folder}/{bucket}.parquet", self.rows[bucket], self.bytes[bucket]
 
 
-_SUMS = "select any_value(h) as h, field_name, term, sum(n_occurrences)::bigint as n_occurrences, sum(n_rows)::bigint as n_rows from {} group by field_name, term"
+_SUMS = "select any_value(h) as h, field_name, term, sum(n_occurrences)::bigint as n_occurrences, sum(n_rows)::bigint as n_rows from held group by field_name, term"
 
 
-def _aggregate(folder: str, most_rows: int, memory_mb: int):
+def _aggregate(folder: str, most_rows: int, most_bytes: int, memory_mb: int):
     """Sum the partial counts of one hash partition in DuckDB, spilling by radix what is too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        own = f"{folder}/{uuid.uuid4().hex}"
-        os.makedirs(own, exist_ok=True)
-        engine = duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": "1", "temp_directory": f"{own}/duckdb"})
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        own = f"{root}/{uuid.uuid4().hex}"
+        engine = duckdb.connect(config={"memory_limit": f"{memory_mb}MB", "threads": "1"})
 
-        def sums(source: str) -> Iterator[pa.RecordBatch]:
-            reader = engine.sql(_SUMS.format(source)).to_arrow_reader(20_000)
-            for batch in reader:
+        def sums(held: pa.Table) -> Iterator[pa.RecordBatch]:
+            engine.register("held", held)
+            for batch in engine.sql(_SUMS).to_arrow_reader(20_000):
                 yield pa.Table.from_batches([batch]).cast(_SCHEMA).combine_chunks().to_batches()[0]
+            engine.unregister("held")
 
-        def settle(path: str, rows: int, level: int) -> Iterator[pa.RecordBatch]:
-            if rows <= most_rows or RADIX_BITS * (level + 1) > 60:
-                yield from sums(f"read_parquet('{path}')")
+        def settle(path: str, rows: int, size: int, level: int) -> Iterator[pa.RecordBatch]:
+            source = pq.ParquetFile(path, filesystem=system)
+            if (rows <= most_rows and size <= most_bytes) or RADIX_BITS * (level + 1) > 60:
+                yield from sums(source.read())
             else:
-                spill = _Spill(own, level)
-                for batch in pq.ParquetFile(path).iter_batches(50_000):
+                spill = _Spill(system, own, level)
+                for batch in source.iter_batches(10_000):
                     spill.add(pa.Table.from_batches([batch], schema=_SCHEMA))
-                os.remove(path)
-                for part, n in spill.close():
-                    yield from settle(part, n, level + 1)
-            if os.path.exists(path):
-                os.remove(path)
+                for part in spill.close():
+                    yield from settle(*part, level + 1)
+            system.delete_file(path)
 
         try:
             held: list[pa.RecordBatch] = []
-            n, spill = 0, None
+            rows, size, spill = 0, 0, None
             for batch in batches:
                 held.append(batch)
-                n += batch.num_rows
-                if n > most_rows:
-                    spill = spill or _Spill(own, 0)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+                if rows > most_rows or size > most_bytes:
+                    spill = spill or _Spill(system, own, 0)
                     spill.add(pa.Table.from_batches(held, schema=_SCHEMA))
-                    held, n = [], 0
+                    held, rows, size = [], 0, 0
             if spill is not None:
                 if held:
                     spill.add(pa.Table.from_batches(held, schema=_SCHEMA))
                 held = []
-                for part, rows in spill.close():
-                    yield from settle(part, rows, 1)
+                for part in spill.close():
+                    yield from settle(*part, 1)
             elif held:
-                engine.register("held", pa.Table.from_batches(held, schema=_SCHEMA))
-                yield from sums("held")
+                yield from sums(pa.Table.from_batches(held, schema=_SCHEMA))
+            if spill is not None:
+                system.delete_dir(own)
         finally:
             engine.close()
-            shutil.rmtree(own, ignore_errors=True)
 
     return run
 
@@ -169,6 +171,7 @@ def term_counts(
     common_share: float = 0.1,
     partitions: int | None = None,
     most_rows: int = 200_000,
+    most_bytes: int = 48 << 20,
     memory_mb: int = 256,
     spill_dir: str | None = None,
 ) -> DataFrame:
@@ -181,16 +184,17 @@ def term_counts(
 
     Null and empty values are no term, texts without letter or digit have none, repeated rows all
     count, control characters and blanks are part of a whole value; an empty table gives no row;
-    other columns may have any name.  A hash partition of more than ``most_rows`` partial counts
-    spills below ``spill_dir`` (the shared folder unless given), which must be mounted.
+    other columns may have any name.  A hash partition of more than ``most_rows`` partial counts or
+    ``most_bytes`` spills below ``spill_dir``, the shared folder unless given: a mounted path or an
+    address that pyarrow reaches (file, hdfs, s3, gs).  A spilled file is deleted once it is summed.
     """
     spark = df.sparkSession
-    folder = file_path(spill_dir or new_path(spark, "radix"))
+    folder = spill_dir or new_path(spark, "radix")
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = df.count()
     fields = df.select(*[df[c].cast("string").alias(f"c{i}") for i, c in enumerate([*values, *words])])
     partial = fields.mapInArrow(_count(values, words), _DDL)
-    counted = partial.repartition(partitions, "h").mapInArrow(_aggregate(folder, most_rows, memory_mb), _DDL)
+    counted = partial.repartition(partitions, "h").mapInArrow(_aggregate(folder, most_rows, most_bytes, memory_mb), _DDL)
     rows = F.col("n_rows")
     mark = F.when(rows < rare_below, "rare").when(rows > _floor_share(common_share, total), "common")
     return counted.select("field_name", "term", "n_occurrences", "n_rows", mark.alias("mark"))

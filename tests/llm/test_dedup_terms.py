@@ -1,7 +1,6 @@
 from collections import Counter, defaultdict
 import re
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ DATA = [
 ]
 
 
-@pytest.mark.parametrize("most_bytes", [32 << 20, 1])
+@pytest.mark.parametrize("most_bytes", [64 << 20, 1])
 def test_copies(spark, rows, most_bytes):
     records, members = dedup.collapse_copies(frame(spark, DATA), "qid", "original_query", "duplicate_count", "duplicate_qids", most_bytes=most_bytes)
     groups = defaultdict(set)
@@ -50,16 +49,29 @@ def test_copies(spark, rows, most_bytes):
 
 def test_no_repeat_is_missed_in_many_rows(spark):
     data = spark.range(20_000).select((F.col("id") % 15_000).cast("string").alias("q"), F.xxhash64((F.col("id") % 15_000)).alias("h")).repartition(6)
-    again, blocks = dedup.repeat_filter(data, 20_000, 4)
-    flagged = dedup.may_repeat(data, again, blocks).where("repeat").select("q").distinct().count()
+    data = data.withColumn("block", dedup._unsigned_mod(F.col("h"), dedup.filter_blocks(20_000)))
+    flagged = dedup.may_repeat(data, dedup.repeat_filter(data)).where("repeat").select("q").distinct().count()
     assert 5_000 <= flagged < 5_600  # all repeats, few others
 
 
-def test_filter_positions_agree_with_the_jvm(spark):
-    hashes = np.array([0, -1, 2**63 - 1, -(2**63), 123456789012345], dtype=np.int64)
-    block, _ = dedup._positions(hashes, 37)
-    got = spark.createDataFrame([(int(h),) for h in hashes], "h long").select("h", dedup._unsigned_mod(F.col("h"), 37)).collect()
-    assert [r[1] for r in got] == block.tolist()
+def test_filter_in_parts_lets_no_more_pass(spark, monkeypatch, rows):
+    """20,000 rows, a tenth of them repeated, with a filter of which one block in five may be broadcast."""
+    data = spark.range(20_000).select(
+        F.concat(F.lit("Q"), "id").alias("qid"), F.concat(F.lit("Text "), F.col("id") % 18_000).alias("original_query"), F.lit(0).alias("duplicate_count"), F.lit("").alias("duplicate_qids")
+    )
+    asked = []
+    monkeypatch.setattr(dedup, "may_repeat", lambda r, a, real=dedup.may_repeat: asked.append(real(r, a)) or asked[-1])
+    records, members = dedup.collapse_copies(data, "qid", "original_query", "duplicate_count", "duplicate_qids", most_bytes=dedup.BLOCK_BITS // 8)
+    assert len(asked) == dedup.filter_blocks(20_000) == 5
+    passed = sum(a.where("repeat").count() for a in asked)
+    assert 4_000 <= passed < 4_800
+    assert members.count() == 2_000 and records.count() == 18_000
+
+
+def test_block_agrees_with_unsigned_numbers(spark):
+    hashes = [0, -1, 2**63 - 1, -(2**63), 123456789012345]
+    got = spark.createDataFrame([(h,) for h in hashes], "h long").select("h", dedup._unsigned_mod(F.col("h"), 37)).collect()
+    assert [r[1] for r in got] == [h % 2**64 % 37 for h in hashes]
 
 
 def test_no_rows(spark, rows):
@@ -81,12 +93,19 @@ def brute_terms(data):
 TERMS = [("a", "Red red LAMP"), ("a", "red"), ("a ", "ｒｅｄ lamp"), ("", "?!"), (None, None), ("b", "\x08ctl x"), ("a", "Red red LAMP"), ("c", "w " * 30_000), ("d", "é é x²")] + [(f"p{k}", f"t{k} common") for k in range(40)]
 
 
-@pytest.mark.parametrize("most_rows", [200_000, 5])
-def test_terms_also_when_spilled_again_and_again(spark, rows, most_rows):
+@pytest.mark.parametrize("limit", [{}, {"most_rows": 5}, {"most_bytes": 2_000}])
+def test_terms_also_when_spilled_again_and_again(spark, rows, limit):
     df = spark.createDataFrame([(*r, 1, "x") for r in TERMS], "prefix string, candidate string, h long, term string").repartition(5)
-    got = terms.term_counts(df, ["prefix"], ["candidate"], most_rows=most_rows, partitions=2)
+    got = terms.term_counts(df, ["prefix"], ["candidate"], partitions=2, **limit)
     assert rows(got) == brute_terms(TERMS)
 
 
+def test_spilled_files_are_deleted(spark, tmp_path):
+    df = spark.createDataFrame(TERMS, "prefix string, candidate string")
+    for address in (f"{tmp_path}/a", f"file://{tmp_path}/b"):
+        assert terms.term_counts(df, ["prefix"], ["candidate"], partitions=2, most_rows=5, spill_dir=address).count() > 40
+    assert not list(tmp_path.rglob("*.parquet")) and (tmp_path / "a").exists() and (tmp_path / "b").exists()
+
+
 def test_terms_of_nothing(spark, rows):
     assert rows(terms.term_counts(spark.createDataFrame([], "prefix string, candidate string"), ["prefix"], ["candidate"])) == []

@@ -13,7 +13,9 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,30 +60,42 @@ def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
+    def differs(column: pa.Array) -> np.ndarray:
+        """Whether each value but the first is another than the one before; null is a value."""
+        here, before = column[1:], column[:-1]
+        return pc.fill_null(pc.not_equal(here, before), pc.xor(pc.is_null(here), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if not table.num_rows:
+        if not batch.num_rows:
             continue
-        # consecutive equal rows fold into runs; a run is one (field, key, value)
-        field, key, value = (table.column(c).combine_chunks() for c in ("field_name", "key_text", "value"))
-        n = table.column("n").to_pylist()
-        for f, k, v, c in zip(field.to_pylist(), key.to_pylist(), value.to_pylist(), n):
+        field, key, value, n = batch.columns
+        change = differs(field) | differs(key)
+        starts = np.flatnonzero(np.r_[True, change])
+        # a new value begins where the key or the value changes and the value is no null
+        new = np.r_[True, change | differs(value)] & pc.is_valid(value).to_numpy(zero_copy_only=False)
+        begun = np.flatnonzero(new)
+        at = np.searchsorted(begun, starts)
+        ends = np.r_[starts[1:], len(new)]
+        has = (at < len(begun)) & (begun[np.minimum(at, len(begun) - 1)] < ends if len(begun) else False)
+        firsts = value.take(pa.array(np.where(has, begun[np.minimum(at, max(0, len(begun) - 1))] if len(begun) else 0, 0), mask=~has)).to_pylist()
+        lasts = value.take(pa.array(ends - 1)).to_pylist()
+        rows, values = np.add.reduceat(n.to_numpy(), starts).tolist(), np.add.reduceat(new.astype(np.int64), starts).tolist()
+        keys = zip(field.take(pa.array(starts)).to_pylist(), key.take(pa.array(starts)).to_pylist(), rows, values, firsts, lasts)
+        for f, k, c, v, low, high in keys:
             if current is not None and current[0] == f and current[1] == k:
                 current[2] += c
-                if v is not None and v != current[5]:
-                    current[3] += 1
-                    current[5] = v
-                    if current[4] is None:
-                        current[4] = v
-            else:
-                if current is not None:
-                    current[7] = first
-                    first = False
-                    out.append(current)
-                    if len(out) >= 20_000:
-                        yield emit()
-                        out = []
-                current = [f, k, c, 0 if v is None else 1, v, v, task, False]
+                current[3] += v - (low is not None and low == current[5])
+                current[4] = low if current[4] is None else current[4]
+                current[5] = current[5] if high is None else high
+                continue
+            if current is not None:
+                current[7] = first
+                first = False
+                out.append(current)
+                if len(out) >= 20_000:
+                    yield emit()
+                    out = []
+            current = [f, k, c, v, low, high, task, False]
     if current is not None:
         current[7] = True
         out.append(current)
@@ -110,7 +124,8 @@ def key_counts(
         .select("k.field_name", "k.key_text", "value", F.lit(1).cast("long").alias("n"))
     )
     combined = long.mapInArrow(_combine, "field_name string, key_text string, value string, n long")
-    combined = combined.withColumn("source_task", F.spark_partition_id())
+    # written, as sampling the quantiles would combine everything once more
+    combined = written(combined.withColumn("source_task", F.spark_partition_id()), "combined")
     order = ["field_name", "key_text", "value", "source_task"]
     states = (
         combined.repartitionByRange(partitions, *order)

@@ -44,27 +44,40 @@ def lookup(queries: DataFrame, prefix: str, limit: int = 100, case_sensitive: bo
     return queries.where(F.col("match_key").startswith(typed)).orderBy(*_order()).limit(max(0, limit))
 
 
+#: Prefixes asked for up to which they are broadcast; each is at most ``max_length`` characters there.
+_FEW = 10_000
+
+
 def lookup_batch(queries: DataFrame, prefixes: DataFrame, limit: int = 100, max_length: int = 20, matched: str = "prefix") -> DataFrame:
     """The best ``limit`` queries of every normalized prefix in ``prefixes``: the matching columns, (prefix, rank, ...).
 
-    Prefixes are looked up once each, by an equi-join on exploded prefixes of only the lengths
-    asked for; those longer than ``max_length`` join on their first ``max_length`` characters and
-    are then compared in full.  The empty prefix gives the most popular queries.
+    Queries are exploded to the lengths asked for and ranked within each prefix before anything is
+    joined, so each input task drops what can't be among the best of a one-letter prefix.  If few
+    prefixes are asked for, only theirs are exploded.  Prefixes longer than ``max_length`` are joined
+    on their first ``max_length`` characters and compared in full.  The empty prefix gives the most
+    popular queries.
     """
     if limit <= 0:
         return queries.where("false").select(F.lit("").alias(matched), F.lit(0).alias("rank"), "*")
     asked = prefixes.select(F.col(matched).alias("asked")).where("asked is not null").distinct()
-    typed = asked.where("asked != ''").withColumn("head", F.substring("asked", 1, max_length))
-    lengths = sorted(r[0] for r in typed.select(F.length("head")).distinct().collect())  # at most max_length numbers
-    own = [F.when(F.length("match_key") >= n, F.substring("match_key", 1, n)) for n in lengths] or [F.lit(None).cast("string")]
-    heads = queries.withColumn("head", F.explode(F.array(*own))).where("head is not null")
-    hits = heads.join(typed, "head").where(F.col("match_key").startswith(F.col("asked"))).drop("head")
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(*_order()))
-    ranked = hits.withColumn("rank", rank).where(F.col("rank") <= limit)
-    first = popular(queries, limit).withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
-    empty = first.withColumn("asked", F.lit("")).join(asked, "asked", "left_semi")
+    sizes = dict(asked.groupBy(F.least(F.length("asked"), F.lit(max_length + 1))).count().collect())  # at most max_length + 2 rows
+    lengths = sorted(n for n in sizes if 0 < n <= max_length)
     columns = ["asked", "rank", *queries.columns]
-    return ranked.select(*columns).unionByName(empty.select(*columns)).withColumnRenamed("asked", matched)
+    ranked_in = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(*_order()))).where(F.col("rank") <= limit)
+    first = popular(queries, limit).withColumn("rank", F.row_number().over(Window.orderBy(*_order())))
+    found = first.withColumn("asked", F.lit("")).join(asked, "asked", "left_semi").select(*columns)
+    if lengths:
+        short = asked.where(F.length("asked").between(1, max_length))
+        own = F.array(*[F.when(F.length("match_key") >= n, F.substring("match_key", 1, n)) for n in lengths])
+        heads = queries.withColumn("asked", F.explode(own)).where("asked is not null")
+        few = sum(sizes[n] for n in lengths) <= _FEW
+        best = ranked_in(heads.join(F.broadcast(short), "asked", "left_semi")) if few else ranked_in(heads).join(short, "asked", "left_semi")
+        found = best.select(*columns).unionByName(found)
+    if sizes.get(max_length + 1):
+        long = asked.where(F.length("asked") > max_length).withColumn("head", F.substring("asked", 1, max_length))
+        hits = queries.where(F.length("match_key") > max_length).withColumn("head", F.substring("match_key", 1, max_length)).join(long, "head")
+        found = ranked_in(hits.where(F.col("match_key").startswith(F.col("asked")))).select(*columns).unionByName(found)
+    return found.withColumnRenamed("asked", matched)
 
 
 def candidates(

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querymill.operators.ordering import running_counts
+from querymill.runtime import written
+
 
 def rerank(df: DataFrame, group: list[str], score: str, place: str, top_k: int | None = None) -> DataFrame:
     """``df`` with ``rank`` by falling score, then by the original place; the first ``top_k`` of each group."""
@@ -44,10 +47,31 @@ def pool_metrics(ranked: DataFrame, group: list[str], top_k: int = 5) -> DataFra
 
 
 def latency_summary(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact percentiles with linear interpolation, mean and extremes per group."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    per = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("avg_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"), p.alias("p"))
-    return per.select(group, "n", "avg_ms", "min_ms", "max_ms", F.col("p")[0].alias("p50_ms"), F.col("p")[1].alias("p95_ms"), F.col("p")[2].alias("p99_ms"))
+    """Exact percentiles with linear interpolation, mean and extremes per group.
+
+    Equal values are counted first; the two values around each percentile are found by their place
+    among the running counts, which no task holds for a whole group.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    counted = written(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), "values")
+    n = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
+    totals = counted.groupBy(F.col("g").alias("h")).agg(F.sum(n).alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum(n)).alias("avg_ms"), F.min("v").alias("min_ms"), F.max("v").alias("max_ms"))
+    placed = running_counts(counted.where("v is not null"), "g", "v", "c")
+    met = placed.join(totals.select("h", "n"), F.col("g").eqNullSafe(F.col("h")))
+    found = []
+    for name, p in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)):
+        at = F.lit(p) * (F.col("n") - 1)
+        there = lambda rank: F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__upto")), F.col("v")))
+        low, high, part = there(F.floor(at)), there(F.ceil(at)), F.max(at - F.floor(at))
+        found.append((low + (high - low) * part).alias(name))
+    per = met.groupBy("h").agg(*found).withColumnRenamed("h", "k")
+    joined = totals.join(per, F.col("h").eqNullSafe(F.col("k")), "left")
+    return joined.select(F.col("h").alias(group), "n", "avg_ms", "min_ms", "max_ms", "p50_ms", "p95_ms", "p99_ms")
+
+
+def half_even(value: Column, digits: int) -> Column:
+    """``value`` rounded to ``digits`` places, ties to the even digit."""
+    return F.bround(value, digits)
 
 
 def latency_overall(summary: DataFrame, group: str) -> DataFrame:

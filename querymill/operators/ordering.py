@@ -70,9 +70,34 @@ def with_next(df: DataFrame, key: list[str], order: list[str], out: str = "follo
     return joined.withColumn(out, F.coalesce("__inside", "__later")).select(*df.columns, out)
 
 
+def running_counts(df: DataFrame, group: str, value: str, n: str) -> DataFrame:
+    """``df``, one row per (group, value), with the rows of its group before it and up to it: (..., __from, __upto).
+
+    Rows are range partitioned by group and value, so a group of many values covers several partitions.
+    """
+    parts = written(df.repartitionByRange(group, value).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.sum(n).alias("__n"))
+    ahead = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__g", "__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    inside = F.sum(n).over(Window.partitionBy("__part", group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    rows = parts.withColumn("__inside", inside)
+    joined = rows.join(starts, (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g")))
+    upto = F.col("__start") + F.col("__inside")
+    return joined.withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col(n)).drop("__part", "__p", "__g", "__start", "__inside")
+
+
 def shuffle_key(seed: int, *columns: str) -> Column:
     """A key whose order is a shuffle that the seed and the row alone decide."""
-    return F.xxhash64(F.lit(seed), *columns)
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def epochs(df: DataFrame, columns: list[str], n: int, seed: int = 0, shards: int = 1, mine: int = 0) -> DataFrame:
+    """``n`` passes over ``df`` in an order of their own: (epoch, line, ...), of one worker's shard of the lines."""
+    passes = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else df.where("false").withColumn("epoch", F.lit(0))
+    keyed = passes.withColumn("__key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), *[F.col(c).cast("string") for c in columns])))
+    size = df.count()
+    lines = numbered(keyed, ["epoch", "__key", *columns]).drop("__key").withColumn("line", F.col("line") - 1 - F.col("epoch") * F.lit(size))
+    return shard(lines, "line", shards, mine)
 
 
 def mini_batches(df: DataFrame, order: list[str], size: int = 64, out: str = "batch") -> DataFrame:

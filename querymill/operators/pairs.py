@@ -6,7 +6,7 @@ in every run and layout.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querymill.functions import text
@@ -30,18 +30,26 @@ def positives(sources: DataFrame, min_length: int = 1, max_length: int = 20, inc
     return rows.where(~text.has_control(F.col("prefix")))
 
 
-def candidate_pools(pairs: DataFrame, queries: DataFrame, pool: int = 50, exclude: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
-    """(prefix, query, candidate): other queries of the index for the prefix, none of them in ``exclude``.
+def _pools(pairs: DataFrame, queries: DataFrame, pool: int, exclude: DataFrame | None, ascii_only: bool) -> DataFrame:
+    """``pairs`` with ``candidates``: at most ``pool`` queries of the index for the prefix, without those of ``exclude`` and the query itself.
 
-    Each distinct prefix is looked up once and its pool joined back.
+    Each distinct prefix is looked up once and has one row, so the join moves the pairs at most once, however many a prefix has.
     """
     asked = pairs.select("prefix").distinct().withColumn("key", text.normalize_prefix(F.col("prefix"), ascii_only=ascii_only))
     found = lookup_batch(queries, asked.select("key").distinct(), pool, matched="key").select("key", F.col("normalized_query").alias("candidate"))
     found = found.where(~text.has_control(F.col("candidate")))
     if exclude is not None:
         found = found.join(exclude.select(F.col("normalized_query").alias("candidate")).distinct(), "candidate", "left_anti")
-    by_prefix = asked.join(found, "key").select("prefix", "candidate")
-    return pairs.join(by_prefix, "prefix").where("candidate != query").select("prefix", "query", "candidate")
+    by_key = found.groupBy("key").agg(F.collect_list("candidate").alias("candidates"))
+    joined = pairs.join(asked.join(by_key, "key").select("prefix", "candidates"), "prefix", "left")
+    others = F.filter(F.coalesce("candidates", F.array().cast("array<string>")), lambda c: c != F.col("query"))
+    return joined.select(*pairs.columns, others.alias("candidates"))
+
+
+def candidate_pools(pairs: DataFrame, queries: DataFrame, pool: int = 50, exclude: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
+    """(prefix, query, candidate): other queries of the index for the prefix, none of them in ``exclude``."""
+    pools = _pools(pairs.select("prefix", "query"), queries, pool, exclude, ascii_only)
+    return pools.select("prefix", "query", F.explode("candidates").alias("candidate"))
 
 
 def reservoir(sources: DataFrame, size: int, exclude: DataFrame | None = None, seed: int = 1337) -> DataFrame:
@@ -53,9 +61,10 @@ def reservoir(sources: DataFrame, size: int, exclude: DataFrame | None = None, s
     return picked.orderBy(_shuffle_key(seed ^ 0x5EED5EED, "candidate"), "candidate").limit(size)
 
 
-def _first(rows: DataFrame, n: Column | int, seed: int) -> DataFrame:
-    order = Window.partitionBy("prefix", "query").orderBy(_shuffle_key(seed, "query", "prefix", "candidate"), "candidate")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+def _first(candidates: Column, n: Column | int, seed: int) -> Column:
+    """The first ``n`` of an array of candidates of (prefix, query) in an order that seed and row alone decide."""
+    keyed = F.transform(candidates, lambda c: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "query", "prefix", c)).alias("k"), c.alias("c")))
+    return F.transform(F.slice(F.array_sort(keyed), F.lit(1), F.lit(n) if isinstance(n, int) else n), lambda x: x["c"])
 
 
 def generate_pairs(
@@ -79,20 +88,15 @@ def generate_pairs(
     """
     sources = pair_sources(df)
     own = positives(sources, min_length, max_length, include_whitespace, most)
-    pools = candidate_pools(own, queries, pool, exclude, ascii_only)
-    chosen = _first(pools, negatives, seed).select("prefix", "query", "candidate")
-    taken = chosen.groupBy("prefix", "query").agg(F.collect_list("candidate").alias("taken"))
-    short = own.join(taken, ["prefix", "query"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<string>")))
-    short = short.where(F.size("taken") < negatives)
     spare = reservoir(sources, max(pool, 8 * negatives), exclude, seed).agg(F.array_sort(F.collect_list("candidate")).alias("spare")).first()[0]
-    filler = F.explode(F.array_except(F.array(*map(F.lit, spare)).cast("array<string>"), F.array_append("taken", F.col("query"))))
-    fallback = _first(short.select("prefix", "query", "taken", filler.alias("candidate")), F.lit(negatives) - F.size("taken"), seed)
-    parts = (
-        own.select("prefix", "query", F.col("query").alias("candidate"), F.lit(1).alias("label"), F.lit("positive").alias("source")),
-        chosen.select("prefix", "query", "candidate", F.lit(0).alias("label"), F.lit("index_retrieved").alias("source")),
-        fallback.select("prefix", "query", "candidate", F.lit(0).alias("label"), F.lit("random_fallback").alias("source")),
-    )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = _pools(own, queries, pool, exclude, ascii_only)
+    rows = rows.select("prefix", "query", _first(F.col("candidates"), negatives, seed).alias("chosen"))
+    filler = F.array_except(F.array(*map(F.lit, spare)).cast("array<string>"), F.array_append("chosen", F.col("query")))
+    short = F.lit(negatives) - F.size("chosen")
+    fallback = F.when(short > 0, _first(filler, short, seed)).otherwise(F.array().cast("array<string>"))
+    labelled = lambda found, label, source: F.transform(found, lambda c: F.struct(c.alias("candidate"), F.lit(label).alias("label"), F.lit(source).alias("source")))
+    every = F.concat(labelled(F.array("query"), 1, "positive"), labelled(F.col("chosen"), 0, "index_retrieved"), labelled(fallback, 0, "random_fallback"))
+    return rows.select("prefix", "query", F.explode(every).alias("e")).select("prefix", "query", "e.candidate", "e.label", "e.source")
 
 
 def pool_stats(pairs: DataFrame, pools: DataFrame, negatives: int = 4) -> DataFrame:
@@ -106,6 +110,20 @@ def pool_stats(pairs: DataFrame, pools: DataFrame, negatives: int = 4) -> DataFr
     )
 
 
+def source_counts(df: DataFrame) -> DataFrame:
+    """One row about ``pair_sources``: rows seen, rejected for a missing id, an empty text or control characters, unique and duplicate ones."""
+    blank = F.col("qid").isNull() | (F.coalesce(F.col("normalized_query"), F.lit("")) == "")
+    dirty = ~blank & text.has_control(F.col("normalized_query"))
+    groups = df.groupBy(blank.alias("blank"), dirty.alias("dirty"), "normalized_query").agg(F.count(F.lit(1)).alias("n"))
+    kept = ~F.col("blank") & ~F.col("dirty")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counted = groups.agg(
+        total(F.lit(True)).alias("rows_seen"), total(F.col("blank")).alias("rejected_blank"), total(F.col("dirty")).alias("rejected_control"),
+        F.count_if(kept).alias("unique_queries"), total(kept).alias("kept"),
+    )
+    return counted.withColumn("duplicates", F.col("kept") - F.col("unique_queries")).drop("kept")
+
+
 def label_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n_pairs"))
 

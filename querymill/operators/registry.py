@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions import text
 from querymill.operators import corpus, heavy_keys, index, metrics, ordering, pairs, ranker, requests, urls, vocab
-from querymill.runtime import written
+from querymill.runtime import new_path, written
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -39,18 +39,13 @@ SQL = {
 
 # --- query log and index --------------------------------------------------------------------------
 
-#: Case folding and NFKC beyond lower case change none of the normalized queries of the tables, so
-#: the queries checked against SQL stay in the JVM; nfkc_match_key covers the Arrow path.
-_JVM = {"ascii_only": True}
-
-
 def _log(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
     rows = table(spark, folder, "queries")
     return rows if split is None else rows.where(F.col("split") == split)
 
 
 def _index(spark: SparkSession, folder: str, split: str | None = None) -> DataFrame:
-    return corpus.dedup_query_log(_log(spark, folder, split), **_JVM)
+    return corpus.dedup_query_log(_log(spark, folder, split))
 
 
 _WS = r"[\s\x{1c}-\x{1f}\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -72,7 +67,7 @@ SQL["dedup_query_log"] = _with() + "select * exclude (duplicate_qids) from index
 
 
 def duplicate_members(spark, folder):
-    return corpus.duplicates(_log(spark, folder), **_JVM)
+    return corpus.duplicates(_log(spark, folder))
 
 
 SQL["duplicate_members"] = _with() + """, c as (select normalized_query, qid as duplicate_qid, count(*) as n from valid group by 1, 2), m as (select normalized_query, min(qid) as qid from valid group by 1)
@@ -88,7 +83,7 @@ SQL["duplicate_lists"] = _with() + "select normalized_query, qid, duplicate_qids
 
 
 def dedup_neutral_popularity(spark, folder):
-    return corpus.dedup_query_log(_log(spark, folder), "neutral", **_JVM).select("match_key", "normalized_query", "qid", "popularity")
+    return corpus.dedup_query_log(_log(spark, folder), "neutral").select("match_key", "normalized_query", "qid", "popularity")
 
 
 SQL["dedup_neutral_popularity"] = _with() + "select match_key, normalized_query, qid, 1::bigint as popularity from indexed"
@@ -102,7 +97,7 @@ SQL["nfkc_match_key"] = _with() + "select distinct qid, match_key from valid"
 
 
 def build_stats(spark, folder):
-    return corpus.build_stats(_log(spark, folder), **_JVM)
+    return corpus.build_stats(_log(spark, folder))
 
 
 SQL["build_stats"] = _with() + """select (select count(*) from queries) as rows_seen, (select count(*) from queries) - (select count(*) from valid) as rejected,
@@ -110,7 +105,7 @@ SQL["build_stats"] = _with() + """select (select count(*) from queries) as rows_
 
 
 def rejected_samples(spark, folder):
-    return corpus.rejected_rows(_log(spark, folder), **_JVM).select("qid", "original_query", "normalized_query")
+    return corpus.rejected_rows(_log(spark, folder)).select("qid", "original_query", "normalized_query")
 
 
 SQL["rejected_samples"] = _with() + """select qid, original_query, normalized_query from keyed where not coalesce(qid is not null and original_query is not null and normalized_query <> '' and match_key <> '', false)
@@ -157,9 +152,9 @@ SQL["prefix_lookup_single"] = _with() + "select normalized_query, qid, popularit
 
 
 def _asked(queries: DataFrame) -> DataFrame:
-    """Every prefix of up to 8 characters that occurs, the empty one and one that doesn't."""
+    """Every prefix of up to 20 characters that occurs, the empty one and one that doesn't."""
     spark = queries.sparkSession
-    own = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 8, True, 8)).alias("prefix")).distinct()
+    own = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 20, True, 20)).alias("prefix")).distinct()
     return own.unionByName(spark.createDataFrame([("",), ("xyznonexistent",)], "prefix string"))
 
 
@@ -168,7 +163,7 @@ def prefix_lookup_batch(spark, folder):
     return index.lookup_batch(queries, _asked(queries), 20).select("prefix", "rank", "normalized_query", "popularity")
 
 
-SQL["prefix_lookup_batch"] = _with() + _STAGED.format(n=8) + """select prefix, rank, normalized_query, popularity from ranked where rank <= 20
+SQL["prefix_lookup_batch"] = _with() + _STAGED.format(n=20) + """select prefix, rank, normalized_query, popularity from ranked where rank <= 20
     union all select '', (row_number() over (order by popularity desc, normalized_query))::int, normalized_query, popularity from (select * from indexed order by popularity desc, normalized_query limit 20)"""
 
 
@@ -179,9 +174,9 @@ def lookup_with_source(spark, folder):
     return found.select("matched_prefix", "prefix_match_length", "rank", "normalized_query", "source")
 
 
-SQL["lookup_with_source"] = _with() + _STAGED.format(n=8) + """, sized as (select *, count(*) over (partition by prefix) as n from ranked)
+SQL["lookup_with_source"] = _with() + _STAGED.format(n=20) + """, sized as (select *, count(*) over (partition by prefix) as n from ranked)
     select prefix as matched_prefix, length(prefix)::int as prefix_match_length, rank, normalized_query, case when length(prefix) <= 6 and n < 50 then 'hot_cache' else 'range_scan' end as source
-    from sized where rank <= 100 and prefix = trim(prefix, ' ') or rank <= 100 and prefix <> trim(prefix, ' ')
+    from sized where rank <= 100
     union all select '', 0, (row_number() over (order by popularity desc, normalized_query))::int, normalized_query, 'range_scan' from (select * from indexed order by popularity desc, normalized_query limit 100)"""
 
 
@@ -201,61 +196,42 @@ SQL["split_leak_check"] = "select normalized_query from queries where split = 't
 
 # --- training pairs -------------------------------------------------------------------------------
 
-#: What the SQL of these queries says; the queries named _full run at the operator's own sizes.
-_PAIR = {"max_length": 12, "most": 5}
 
 
 def _pair_tables(spark, folder):
     train, dev = _log(spark, folder, "train"), _log(spark, folder, "dev")
-    return train, written(corpus.dedup_query_log(train, **_JVM), "index"), pairs.pair_sources(dev)
+    return train, written(corpus.dedup_query_log(train), "index"), pairs.pair_sources(dev)
 
 
 def generated_pairs(spark, folder):
     train, queries, dev = _pair_tables(spark, folder)
-    return pairs.generate_pairs(train, queries, dev, pool=20, ascii_only=True, **_PAIR)
+    return pairs.generate_pairs(train, queries, dev)
 
 
 def anti_leak_candidates(spark, folder):
     train, queries, dev = _pair_tables(spark, folder)
-    own = pairs.positives(pairs.pair_sources(train), **_PAIR)
-    return pairs.candidate_pools(own, queries, 20, dev, ascii_only=True)
+    return pairs.candidate_pools(pairs.positives(pairs.pair_sources(train)), queries, exclude=dev)
 
 
 def pair_pool_stats(spark, folder):
-    train, queries, dev = _pair_tables(spark, folder)
-    own = written(pairs.positives(pairs.pair_sources(train), **_PAIR), "positives")
-    return pairs.pool_stats(own, pairs.candidate_pools(own, queries, 20, dev, ascii_only=True))
-
-
-def generated_pairs_full(spark, folder):
-    train, queries, dev = _pair_tables(spark, folder)
-    return pairs.generate_pairs(train, queries, dev, ascii_only=True)
-
-
-def anti_leak_candidates_full(spark, folder):
-    train, queries, dev = _pair_tables(spark, folder)
-    return pairs.candidate_pools(pairs.positives(pairs.pair_sources(train)), queries, exclude=dev, ascii_only=True)
-
-
-def pair_pool_stats_full(spark, folder):
     train, queries, dev = _pair_tables(spark, folder)
     own = written(pairs.positives(pairs.pair_sources(train)), "positives")
-    return pairs.pool_stats(own, pairs.candidate_pools(own, queries, exclude=dev, ascii_only=True))
+    return pairs.pool_stats(own, pairs.candidate_pools(own, queries, exclude=dev))
 
 
 _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
-_POOLS = _with("split = 'train'") + _STAGED.format(n=12) + rf""", sources as (
+_POOLS = _with("split = 'train'") + _STAGED.format(n=8) + rf""", sources as (
       select normalized_query, min(qid) as qid from queries where split = 'train' and qid is not null and normalized_query <> '' and not regexp_matches(normalized_query, '{_CONTROL}') group by 1),
-    own as (select normalized_query as query, unnest(list_transform(range(1, least(5, length(normalized_query)) + 1), lambda n: normalized_query[1:n])) as prefix from sources),
+    own as (select normalized_query as query, unnest(list_transform(range(1, least(8, length(normalized_query)) + 1), lambda n: normalized_query[1:n])) as prefix from sources),
     asked as (select distinct prefix, {_KEY.replace("normalized_query", "prefix")} as key from own),
     dev as (select distinct normalized_query from queries where split = 'dev' and qid is not null and normalized_query <> '' and not regexp_matches(normalized_query, '{_CONTROL}')),
-    tops as (select prefix as key, normalized_query as candidate from ranked where rank <= 20
-      union all select '', normalized_query from (select * from indexed order by popularity desc, normalized_query limit 20)),
+    tops as (select prefix as key, normalized_query as candidate from ranked where rank <= 50
+      union all select '', normalized_query from (select * from indexed order by popularity desc, normalized_query limit 50)),
     found as (select * from tops where not regexp_matches(candidate, '{_CONTROL}') and candidate not in (select normalized_query from dev)),
     pools as (select own.prefix, own.query, candidate from own join asked using (prefix) join found using (key) where candidate <> own.query)"""
 SQL["anti_leak_candidates"] = _POOLS + "select prefix, query, candidate from pools"
 SQL["generated_pairs"] = _POOLS + """, chosen as (select prefix, query, candidate from (select *, row_number() over (partition by prefix, query order by md5(concat_ws('|', '1337', query, prefix, candidate)), candidate) as n from pools) where n <= 4),
-    spare as (select normalized_query as candidate from sources where normalized_query not in (select normalized_query from dev) order by md5(concat_ws('|', '{seed}', normalized_query)), normalized_query limit 32),
+    spare as (select normalized_query as candidate from sources where normalized_query not in (select normalized_query from dev) order by md5(concat_ws('|', '{seed}', normalized_query)), normalized_query limit 50),
     sized as (select own.prefix, own.query, coalesce(n, 0) as n from own left join (select prefix, query, count(*) as n from chosen group by 1, 2) using (prefix, query)),
     filler as (select s.prefix, s.query, s.n, spare.candidate from sized s, spare where s.n < 4 and spare.candidate <> s.query and not exists (select 1 from chosen c where c.prefix = s.prefix and c.query = s.query and c.candidate = spare.candidate)),
     fallback as (select prefix, query, candidate from (select *, row_number() over (partition by prefix, query order by md5(concat_ws('|', '1337', query, prefix, candidate)), candidate) as k from filler) where k <= 4 - n)
@@ -298,12 +274,10 @@ SQL["control_char_audit"] = f"select distinct field, value from (select 'prefix'
 
 # --- vocabulary -----------------------------------------------------------------------------------
 
-#: What the SQL can say: lower case without NFKC and case folding, over a small vocabulary.
-_TOKENS = vocab.TokenizerConfig(max_vocab_size=3000, max_char_vocab_size=200, ascii_only=True)
-#: The whole normalization and vocabulary, as the reference's; the queries named _full and the ranker's use it.
-_FULL = vocab.TokenizerConfig()
-_WORDS = r"""with texts as (select distinct t from (select prefix as t from training_pairs union all select candidate from training_pairs) where t is not null),
-    toks as (select t, regexp_extract_all(lower(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') as ts from texts),
+# Full width and decomposed letters are the compatibility forms in the table; the folding of sharp s goes beyond lower case.
+_WIDE = ("".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''"))
+_WORDS = rf"""with texts as (select distinct t from (select prefix as t from training_pairs union all select candidate from training_pairs) where t is not null),
+    toks as (select t, regexp_extract_all(replace(replace(replace(lower(nfc_normalize(translate(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '{_WIDE[0]}', '{_WIDE[1]}'))), 'ß', 'ss'), '…', '...'), chr(160), ' '), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]') as ts from texts),
     words as (select token, count(*) as frequency from (select unnest(ts) as token from toks) group by token)"""
 
 
@@ -312,68 +286,81 @@ def _pair_texts(spark, folder):
 
 
 def pretokenized(spark, folder):
-    return _pair_texts(spark, folder).select("text", text.pretokenize(F.col("text"), ascii_only=True).alias("tokens"))
+    return _pair_texts(spark, folder).select("text", text.pretokenize(F.col("text")).alias("tokens"))
 
 
 SQL["pretokenized"] = _WORDS + "select t as text, ts as tokens from toks"
 
 
-def pretokenized_full(spark, folder):
-    return _pair_texts(spark, folder).select("text", text.pretokenize(F.col("text")).alias("tokens"))
-
-
 def word_frequency(spark, folder):
-    return vocab.word_frequency(_pair_texts(spark, folder), _TOKENS)
+    return vocab.word_frequency(_pair_texts(spark, folder))
 
 
 SQL["word_frequency"] = _WORDS + "select token, frequency from words"
 
 
-def word_frequency_full(spark, folder):
-    return vocab.word_frequency(_pair_texts(spark, folder), _FULL)
-
-
 def char_frequency(spark, folder):
-    return vocab.char_frequency(vocab.word_frequency(_pair_texts(spark, folder), _TOKENS))
+    return vocab.char_frequency(word_frequency(spark, folder))
 
 
 _CHARS = _WORDS + ", chars as (select token, sum(frequency)::bigint as frequency from (select unnest(string_split(token, '')) as token, frequency from words) where token <> '' group by token)"
 SQL["char_frequency"] = _CHARS + "select token, frequency from chars"
 
 
-def char_frequency_full(spark, folder):
-    return vocab.char_frequency(word_frequency_full(spark, folder))
-
-
 def vocabulary(spark, folder):
-    return vocab.vocabulary(_pair_texts(spark, folder), _TOKENS)
+    return vocab.vocabulary(_pair_texts(spark, folder))
 
 
-_VOCAB = _CHARS + """, w as (select token, frequency, (row_number() over (order by frequency desc, token) + 3)::int as id from words qualify row_number() over (order by frequency desc, token) <= 2996),
-    c as (select token, frequency, (row_number() over (order by frequency desc, token) + 3 + (select count(*) from w))::int as id from chars qualify row_number() over (order by frequency desc, token) <= 196)"""
+_VOCAB = _CHARS + """, w as (select token, frequency, (row_number() over (order by frequency desc, token) + 3)::int as id from words qualify row_number() over (order by frequency desc, token) <= 19996),
+    c as (select token, frequency, (row_number() over (order by frequency desc, token) + 3 + (select count(*) from w))::int as id from chars qualify row_number() over (order by frequency desc, token) <= 1996)"""
 SQL["vocabulary"] = _VOCAB + "select 'word' as kind, token, frequency, id from w union all select 'char', token, frequency, id from c"
 
 
-def vocabulary_full(spark, folder):
-    return vocab.vocabulary(_pair_texts(spark, folder), _FULL)
+def vocabulary_size(spark, folder):
+    return vocabulary(spark, folder).agg((F.count(F.lit(1)) + vocab.SPECIALS).alias("vocab_size"))
 
 
-def encoded_pairs(spark, folder, config=_TOKENS):
-    rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate").distinct()
-    tokenizer = vocab.Tokenizer.fit_pairs(table(spark, folder, "training_pairs"), config)
-    return tokenizer.encode_pairs(rows, 40).select("prefix", "candidate", "padded", "length")
+SQL["vocabulary_size"] = _VOCAB + "select (select count(*) from w) + (select count(*) from c) + 4 as vocab_size"
+
+
+def vocabulary_reloaded(spark, folder):
+    """The vocabulary after it was saved and loaded again."""
+    path = new_path(spark, "tokenizer")
+    vocab.Tokenizer.fit_pairs(table(spark, folder, "training_pairs")).save(path)
+    return vocab.Tokenizer.load(spark, path).vocab
+
+
+SQL["vocabulary_reloaded"] = SQL["vocabulary"]
 
 
-def encoded_pairs_full(spark, folder):
-    return encoded_pairs(spark, folder, _FULL)
+def _encoded(spark, folder, modes=("hybrid",)):
+    labelled = table(spark, folder, "training_pairs")
+    return [vocab.Tokenizer.fit_pairs(labelled, vocab.TokenizerConfig(mode=m)) for m in modes]
+
+
+def encoded_pairs(spark, folder):
+    rows = table(spark, folder, "training_pairs").where("prefix is not null and candidate is not null").select("prefix", "candidate").distinct()
+    (tokenizer,) = _encoded(spark, folder)
+    return tokenizer.encode_pairs(rows, 40).select("prefix", "candidate", "padded", "mask", "length")
 
 
-SQL["encoded_pairs"] = _VOCAB + """, m as (select map_from_entries(list((token, id))) as wm from w), n as (select map_from_entries(list((token, id))) as cm from c),
-    enc as (select t, flatten(list_transform(ts, lambda x: case when wm[x] is not null then [wm[x]] else list_transform(string_split(x, ''), lambda y: coalesce(cm[y], 1)) end)) as ids from toks, m, n)
-    select p.prefix, p.candidate, (ids || repeat([0], 40))[1:40] as padded, least(len(ids), 40)::int as length from (
+_ENCODED_TEXTS = """, m as (select map_from_entries(list((token, id))) as wm from w), n as (select map_from_entries(list((token, id))) as cm from c),
+    enc as (select t, flatten(list_transform(ts, lambda x: case when wm[x] is not null then [wm[x]] else list_transform(string_split(x, ''), lambda y: coalesce(cm[y], 1)) end)) as ids from toks, m, n)"""
+SQL["encoded_pairs"] = _VOCAB + _ENCODED_TEXTS + """
+    select p.prefix, p.candidate, (ids || repeat([0], 40))[1:40] as padded, (repeat([1], len(ids)::int) || repeat([0], 40))[1:40] as mask, least(len(ids), 40)::int as length from (
       select d.prefix, d.candidate, ([2] || a.ids[1:18] || [3] || b.ids[1:19] || [3])[1:40] as ids
       from (select distinct prefix, candidate from training_pairs where prefix is not null and candidate is not null) d join enc a on a.t = d.prefix join enc b on b.t = d.candidate) p"""
 
+
+def encoded_texts(spark, folder):
+    """Every text by itself, with whole words and by characters only."""
+    hybrid, chars = _encoded(spark, folder, ("hybrid", "char"))
+    return chars.encode(hybrid.encode(_pair_texts(spark, folder), "text", "ids", 24), "text", "char_ids", 24)
+
+
+SQL["encoded_texts"] = _VOCAB + _ENCODED_TEXTS + """, o as (select map_from_entries(list((token, id - (select count(*) from w)))) as om from c)
+    select t as text, ids[1:24] as ids, flatten(list_transform(ts, lambda x: list_transform(string_split(x, ''), lambda y: coalesce(om[y], 1)::int)))[1:24] as char_ids from enc join toks using (t), o"""
+
 # --- ranking quality ------------------------------------------------------------------------------
 
 
@@ -381,7 +368,7 @@ def rank_metrics_baseline(spark, folder):
     queries = written(_index(spark, folder, "train"), "index")
     dev = _log(spark, folder, "dev").where("qid is not null and normalized_query <> ''")
     asked = dev.select("qid", F.col("normalized_query").alias("target"), F.monotonically_increasing_id().alias("line"), F.explode(text.generate_prefixes(F.col("normalized_query"), 1, 20, True, 8)).alias("typed"))
-    asked = written(asked.withColumn("prefix", text.normalize_prefix(F.col("typed"), ascii_only=True)), "asked")
+    asked = written(asked.withColumn("prefix", text.normalize_prefix(F.col("typed"))), "asked")
     found = index.lookup_batch(queries, asked.select("prefix").distinct(), 50).select("prefix", "rank", F.col("normalized_query").alias("candidate"))
     ranked = asked.join(found, "prefix", "left").withColumn("relevant", F.coalesce(F.col("candidate") == F.col("target"), F.lit(False)))
     return metrics.pool_metrics(ranked, ["line", "typed"])
@@ -473,7 +460,7 @@ _RANKER = {"embedding_dim": 16, "hidden_dim": 16, "dropout": 0.0, "max_seq_lengt
 
 def _trained(spark, folder):
     labelled = table(spark, folder, "training_pairs")
-    tokenizer = vocab.Tokenizer.fit_pairs(labelled, _FULL)
+    tokenizer = vocab.Tokenizer.fit_pairs(labelled)
     config = ranker.RankerConfig(tokenizer.vocab_size, **_RANKER)
     model, _ = ranker.train(tokenizer, labelled, labelled, config, epochs=1, max_examples=4_000)
     return tokenizer, model
@@ -493,7 +480,7 @@ def suggestions(spark, folder):
     queries = written(_index(spark, folder), "index")
     cache = written(index.hot_prefix_cache(queries, 50), "cache")
     asked = queries.select(F.explode(text.generate_prefixes(F.col("match_key"), 1, 20, True, 8)).alias("prefix")).distinct()
-    return ranker.suggest(asked, queries, cache, tokenizer, model, 5, 50, ascii_only=True)
+    return ranker.suggest(asked, queries, cache, tokenizer, model, 5, 50)
 
 
 # --- requests -------------------------------------------------------------------------------------
@@ -531,15 +518,14 @@ def rate_limit_stream(spark, folder):
     from querymill.runtime import new_path
     from querymill.streaming import state
 
-    for key, value in state.STATE_CONF.items():
-        spark.conf.set(key, value)
     source = f"{folder}/events.parquet"
     # a pattern, as a file source takes no single file
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{folder}/events.parque[t]")
     rows = stream.select(F.col("user_id").cast("string").alias("client"), F.col("event_id").alias("request_id"), _seconds("ts").alias("at"))
     out = new_path(spark, "stream")
     writer = state.rate_limit_stream(rows, 3, 86_400.0).writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint")
-    writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    with state.settings(spark, state.STATE_CONF):
+        writer.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     done = spark.read.schema("client string, request_id long, allowed boolean, retry_after int").parquet(f"{out}/rows")
     return done.select(F.col("request_id").alias("event_id"), F.col("client").cast("long").alias("user_id"), "allowed", "retry_after")
 
@@ -685,9 +671,8 @@ QUERIES = {
     for f in (
         p5_found, p5_key_counts, dedup_query_log, duplicate_members, duplicate_lists, dedup_neutral_popularity, nfkc_match_key, build_stats, rejected_samples, generated_prefixes, prefix_staging, hot_prefix_topk,
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
-        generated_pairs_full, anti_leak_candidates_full, pair_pool_stats_full,
-        pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, pretokenized_full, word_frequency, word_frequency_full, char_frequency, char_frequency_full, vocabulary, vocabulary_full,
-        encoded_pairs, encoded_pairs_full, rank_metrics_baseline,
+        pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, vocabulary_size, vocabulary_reloaded,
+        encoded_pairs, encoded_texts, rank_metrics_baseline,
         pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,
         client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, registry_match,
     )

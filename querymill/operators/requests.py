@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from querymill.operators.ordering import with_next
 
 
-def _scan(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable], extra: str) -> DataFrame:
-    """``df`` with the columns ``extra`` that a fresh decider per key gives to each of its rows in order."""
+def _scan(df: DataFrame, key: str, seconds: str, tie: str, make: Callable[[], Callable], extra: str) -> DataFrame:
+    """``df`` with the columns ``extra`` that a fresh decider per key gives to each of its (seconds, tie) in order."""
     names = [f.split()[0] for f in extra.split(", ")]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -26,14 +26,13 @@ def _scan(df: DataFrame, key: str, order: list[str], make: Callable[[], Callable
         current, decide = object(), None
         for frame in frames:
             out = []
-            for row in frame.itertuples(index=False):
-                values = row._asdict() if hasattr(row, "_asdict") else dict(zip(frame.columns, row))
-                if values[key] != current:
-                    current, decide = values[key], make()
-                out.append(decide(values))
+            for k, at, row in zip(frame[key].tolist(), frame[seconds].tolist(), frame[tie].tolist()):
+                if k != current:
+                    current, decide = k, make()
+                out.append(decide(at, row))
             yield pd.concat([frame, pd.DataFrame(out, columns=names, index=frame.index)], axis=1)
 
-    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{shape}, {extra}")
+    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, seconds, tie).mapInPandas(run, f"{shape}, {extra}")
 
 
 class SlidingWindow:
@@ -57,9 +56,9 @@ def rate_limit(df: DataFrame, client: str, seconds: str, tie: str, most: int = 1
 
     def make():
         state = SlidingWindow(most, window)
-        return lambda row: state.check(float(row[seconds]))
+        return lambda at, _: state.check(at)
 
-    return _scan(df, client, [seconds, tie], make, "allowed boolean, retry_after int")
+    return _scan(df, client, seconds, tie, make, "allowed boolean, retry_after int")
 
 
 def ttl_cache(df: DataFrame, key: str, seconds: str, tie: str, ttl: float = 300.0) -> DataFrame:
@@ -69,16 +68,15 @@ def ttl_cache(df: DataFrame, key: str, seconds: str, tie: str, ttl: float = 300.
     def make():
         held: list = []
 
-        def decide(row) -> tuple[bool, object]:
-            now = float(row[seconds])
+        def decide(now: float, row) -> tuple[bool, object]:
             if held and now - held[0] < ttl:
                 return True, held[1]
-            held[:] = [now, row[tie]]
-            return False, row[tie]
+            held[:] = [now, row]
+            return False, row
 
         return decide
 
-    return _scan(df, key, [seconds, tie], make, f"cached boolean, first_tie {kind}")
+    return _scan(df, key, seconds, tie, make, f"cached boolean, first_tie {kind}")
 
 
 class BoundedCache:
@@ -101,6 +99,28 @@ class BoundedCache:
         self.items[key] = (now, value)
 
 
+def bounded_cache(df: DataFrame, cache: str, key: str, seconds: str, tie: str, most: int = 1000, ttl: float = 300.0, clear_all: bool = False) -> DataFrame:
+    """``df`` with cached and held: whether each request of a cache finds its key, and how many entries the cache then has.
+
+    One cache (a worker's, by the column ``cache``) holds at most ``most`` keys of at most ``ttl`` seconds; when a new
+    one comes to a full cache the oldest quarter goes, or everything.  Its requests are read in order as a stream.
+    """
+    rows = df.withColumn("__row", F.struct(F.col(tie).alias("tie"), F.col(key).cast("string").alias("key")))
+
+    def make():
+        held = BoundedCache(most, ttl, clear_all)
+
+        def decide(now: float, row) -> tuple[bool, int]:
+            hit = held.get(row["key"], now) is not None
+            if not hit:
+                held.put(row["key"], True, now)
+            return hit, len(held.items)
+
+        return decide
+
+    return _scan(rows, cache, seconds, "__row", make, "cached boolean, held int").drop("__row")
+
+
 def debounce(df: DataFrame, source: str, at: str, tie: str, value: str, wait_ms: int = 200) -> DataFrame:
     """The rows that no later row of the same source follows within ``wait_ms``; blank values cancel and never come out."""
     rows = with_next(df, [source], [at, tie], "__next")

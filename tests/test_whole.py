@@ -1,4 +1,4 @@
-"""The registered queries that do the whole job, beyond what their SQL says, against brute force."""
+"""Registered queries against brute force on fixtures that hold what the tables lack."""
 
 import re
 import unicodedata
@@ -29,16 +29,16 @@ def test_tokens_are_normalized(spark, tmp_path):
     folder = pair_folder(spark, tmp_path)
     texts = {t for pair in TEXTS for t in pair if t is not None}
     words = Counter(w for t in texts for w in folded(t))
-    assert {r.text: r.tokens for r in registry.pretokenized_full(spark, folder).collect()} == {t: folded(t) for t in texts}
-    assert {r.token: r.frequency for r in registry.word_frequency_full(spark, folder).collect()} == words
+    assert {r.text: r.tokens for r in registry.pretokenized(spark, folder).collect()} == {t: folded(t) for t in texts}
+    assert {r.token: r.frequency for r in registry.word_frequency(spark, folder).collect()} == words
     chars = Counter()
     for w, n in words.items():
         for c in w:
             chars[c] += n
-    assert {r.token: r.frequency for r in registry.char_frequency_full(spark, folder).collect()} == chars
-    found = registry.vocabulary_full(spark, folder).collect()
+    assert {r.token: r.frequency for r in registry.char_frequency(spark, folder).collect()} == chars
+    found = registry.vocabulary(spark, folder).collect()
     assert {r.token for r in found if r.kind == "word"} == set(words)
-    encoded = {(r.prefix, r.candidate): r.padded for r in registry.encoded_pairs_full(spark, folder).collect()}
+    encoded = {(r.prefix, r.candidate): r.padded for r in registry.encoded_pairs(spark, folder).collect()}
     assert encoded["ｓｔｏ", "ｓｔｏｒａｇｅ box"] == encoded["sto", "storage BOX"]
 
 
@@ -57,13 +57,13 @@ def test_pairs_at_the_operators_own_sizes(spark, tmp_path):
     own = {(t[:n], t) for t in train for n in range(1, 9)}
     # the index is built over the training queries; all are equally popular, so the text decides
     pools = {(p, q, c) for p, q in own for c in sorted(t for t in train if t.startswith(p))[:50] if c != q}
-    assert {tuple(r) for r in registry.anti_leak_candidates_full(spark, folder).select("prefix", "query", "candidate").collect()} == pools
+    assert {tuple(r) for r in registry.anti_leak_candidates(spark, folder).select("prefix", "query", "candidate").collect()} == pools
     sizes = Counter((p, q) for p, q, _ in pools)
-    stats = registry.pair_pool_stats_full(spark, folder).first()
+    stats = registry.pair_pool_stats(spark, folder).first()
     assert stats.prefixes_generated == len(own) and stats.candidate_pool_queries == len(pools)
     assert stats.candidate_pool_max == max(sizes.values()) == 50
     assert stats.negative_shortfalls == sum(sizes[k] < 4 for k in own) == 8
-    found = registry.generated_pairs_full(spark, folder).collect()
+    found = registry.generated_pairs(spark, folder).collect()
     assert {(r.prefix, r.query) for r in found if r.source == "positive"} == own
     negatives = Counter((r.prefix, r.query) for r in found if r.label == 0)
     assert all(negatives[k] == 4 for k in own)
@@ -76,10 +76,10 @@ def test_vocabulary_of_production_size(spark, tmp_path, monkeypatch):
     """3,500 words and 300 characters, more than a vocabulary of 3,000 and 200 holds."""
     words = [f"word{k}" for k in range(3200)] + ["q" + chr(0x4E00 + k) for k in range(300)]
     folder = pair_folder(spark, tmp_path, [(w[:2], w) for w in words])
-    found = registry.vocabulary_full(spark, folder).collect()
+    found = registry.vocabulary(spark, folder).collect()
     assert {r.token for r in found if r.kind == "word"} == set(words) | {w[:2] for w in words}
     assert {r.token for r in found if r.kind == "char"} == set("".join(words))
-    encoded = registry.encoded_pairs_full(spark, folder).collect()
+    encoded = registry.encoded_pairs(spark, folder).collect()
     assert len(encoded) == len(words) and all(r.length == 5 for r in encoded)
     monkeypatch.setattr(ranker, "train", lambda *a, **k: (None, None))
     tokenizer, _ = registry._trained(spark, folder)

@@ -92,6 +92,15 @@ def build_stats(df: DataFrame, **key: bool) -> DataFrame:
     return counted.withColumn("duplicates", F.col("processed") - F.col("unique_queries"))
 
 
+def index_report(df: DataFrame, hot_top_k: int = 50, hot_length: int = 6, **key: bool) -> DataFrame:
+    """``build_stats`` with the prefixes that are staged for the cache and the rows it gets."""
+    from querymill.operators import index
+
+    per = index.explode_prefixes(dedup_query_log(df, **key), 1, hot_length).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+    hot = per.agg(F.count(F.lit(1)).alias("n_prefixes"), F.coalesce(F.sum(F.least(F.col("n"), F.lit(hot_top_k))), F.lit(0)).alias("n_hot_rows"))
+    return build_stats(df, **key).join(hot, on=F.lit(True), how="inner")  # one row each
+
+
 def split_by_text(df: DataFrame, dev_share: float) -> DataFrame:
     """``split``: the same text always falls into the same split."""
     return df.withColumn("split", text.split_bucket(F.col("normalized_query"), dev_share))

@@ -46,6 +46,14 @@ def pool_metrics(ranked: DataFrame, group: list[str], top_k: int = 5) -> DataFra
     )
 
 
+def rank_checks(ranked: DataFrame, group: str, rank: str, score: str) -> DataFrame:
+    """(group, n_rows, ranks_whole, scores_fall): whether ranks run from 1 without gaps and scores never rise along them."""
+    before = F.lag(score).over(Window.partitionBy(group).orderBy(rank))
+    rows = ranked.select(group, F.col(rank).alias("r"), F.coalesce(F.col(score) <= before, F.lit(True)).alias("falls"))
+    whole = (F.min("r") == 1) & (F.max("r") == F.count(F.lit(1))) & (F.count_distinct("r") == F.count(F.lit(1)))
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), whole.alias("ranks_whole"), F.bool_and("falls").alias("scores_fall"))
+
+
 def latency_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Exact percentiles with linear interpolation, mean and extremes per group.
 

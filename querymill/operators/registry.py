@@ -591,80 +591,126 @@ _FIELD_COLUMNS = ["type", "autocomplete", "name", "id", "placeholder", "aria_lab
 
 
 def input_fields(spark, folder):
+    """The literal fields, and a field of each labelled pair that is named by its texts."""
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_FIELD_ROWS)], "n int, " + ", ".join(f"{c} string" for c in _FIELD_COLUMNS))
-    return rows.select("n", requests.is_sensitive_field().alias("sensitive"), requests.is_search_field().alias("search"))
+    made = table(spark, folder, "training_pairs").where("candidate is not null").select("prefix", "candidate", "source").distinct()
+    none = F.lit(None).cast("string")
+    kind = F.when(F.length("candidate") % 3 == 0, "search").when(F.length("candidate") % 3 == 1, "Email")
+    fields = dict.fromkeys(_FIELD_COLUMNS, none) | {"type": kind, "name": F.col("prefix"), "placeholder": F.col("candidate"), "id": F.col("source"), "form_action": F.concat(F.lit("/"), "prefix")}
+    tested = rows.unionByName(made.select(F.lit(-1).alias("n"), *[v.alias(c) for c, v in fields.items()]))
+    return tested.select("n", "name", "placeholder", requests.is_sensitive_field().alias("sensitive"), requests.is_search_field().alias("search"))
 
 
 _VALUES = ", ".join("(" + ", ".join([str(i), *("null" if v is None else f"'{v}'" for v in r)]) + ")" for i, r in enumerate(_FIELD_ROWS))
 _BLANK = lambda c: f"coalesce({c}, '')"
-SQL["input_fields"] = rf"""with f as (select *, {" || ' ' || ".join(_BLANK(c) for c in ("name", "id", "placeholder", "aria_label", "class_name"))} as names from (values {_VALUES}) v(n, {", ".join(_FIELD_COLUMNS)})),
+SQL["input_fields"] = rf"""with made as (select distinct prefix, candidate, source from training_pairs where candidate is not null),
+    every as (select * from (values {_VALUES}) v(n, {", ".join(_FIELD_COLUMNS)}) union all
+      select -1, case length(candidate) % 3 when 0 then 'search' when 1 then 'Email' end, null, prefix, source, candidate, null, null, null, null, '/' || prefix from made),
+    f as (select *, {" || ' ' || ".join(_BLANK(c) for c in ("name", "id", "placeholder", "aria_label", "class_name"))} as names from every),
     s as (select *, lower({_BLANK('type')}) in {requests.SENSITIVE_TYPES} or lower({_BLANK('autocomplete')}) in {requests.SENSITIVE_AUTOCOMPLETE} or regexp_matches(names, '{requests.SENSITIVE_NAME}') as sensitive from f)
-    select n, sensitive, not sensitive and (lower({_BLANK('type')}) = 'search' or lower({_BLANK('role')}) = 'searchbox' or lower({_BLANK('form_role')}) = 'search' or contains(lower({_BLANK('form_action')}), 'search') or regexp_matches(names, '{requests.SEARCH_NAME}')) as search from s"""
+    select n, name, placeholder, sensitive, not sensitive and (lower({_BLANK('type')}) = 'search' or lower({_BLANK('role')}) = 'searchbox' or lower({_BLANK('form_role')}) = 'search' or contains(lower({_BLANK('form_action')}), 'search') or regexp_matches(names, '{requests.SEARCH_NAME}')) as search from s"""
 
 _SETTINGS = [("http://localhost", 5, 200), ("ftp://x", 0, 20), ("", 21, 5000), (None, None, None), ("https://a.b/", 20, 50)]
 
 
 def settings_check(spark, folder):
+    """The literal settings, and one for each request."""
     rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_SETTINGS)], "n int, api_base_url string, top_k int, debounce_ms int")
-    checked = requests.validate_settings(rows)
+    made = table(spark, folder, "events").select(
+        (-F.col("event_id") - 1).cast("int").alias("n"), F.concat(F.when(F.col("user_id") % 3 > 0, "http://").otherwise("ws://"), F.coalesce("event_type", F.lit("")), F.lit("//")).alias("api_base_url"),
+        (F.col("user_id") % 25).cast("int").alias("top_k"), (F.col("event_id") % 1200).cast("int").alias("debounce_ms"),
+    )
+    checked = requests.validate_settings(rows.unionByName(made))
     return checked.select("n", F.size("errors").alias("n_errors"), "valid", "clean_url", "clean_top_k", "clean_debounce_ms")
 
 
-SQL["settings_check"] = f"""with s as (select *, coalesce(regexp_matches(u, '^https?://'), false) as a, coalesce(k between 1 and 20, false) as b, coalesce(d between 50 and 1000, false) as c
-      from (values {", ".join(f"({i}, {'null' if u is None else repr(u)}, {'null' if k is None else k}, {'null' if d is None else d})" for i, (u, k, d) in enumerate(_SETTINGS))}) v(n, u, k, d))
+SQL["settings_check"] = f"""with every as (select * from (values {", ".join(f"({i}, {'null' if u is None else repr(u)}, {'null' if k is None else k}, {'null' if d is None else d})" for i, (u, k, d) in enumerate(_SETTINGS))}) v(n, u, k, d) union all
+      select (-event_id - 1)::int, case when user_id % 3 > 0 then 'http://' else 'ws://' end || coalesce(event_type, '') || '//', (user_id % 25)::int, (event_id % 1200)::int from events),
+    s as (select *, coalesce(regexp_matches(u, '^https?://'), false) as a, coalesce(k between 1 and 20, false) as b, coalesce(d between 50 and 1000, false) as c from every)
     select n, (not a)::int + (not b)::int + (not c)::int as n_errors, a and b and c as valid, case when a then regexp_replace(u, '/+$', '') else 'http://localhost' end as clean_url, case when b then k else 5 end as clean_top_k, case when c then d else 200 end as clean_debounce_ms from s"""
 
 # --- addresses ------------------------------------------------------------------------------------
 
-_ODD_URLS = (
-    "https://example.com/checkout?session_id=1#payment", "wikipedia.org", "https://news.bbc.co.uk/world", "https://a.b.c.d.example.com", "https://paypal.verification-portal.net/login",
-    "http://localhost:8000", "not_a_valid_url", "https://xn--e1afmkfd.xn--p1ai/",
+_MORE_URLS = (
+    "https://shop.sample-market.com/cart?item=7#top", "encyclopedia.net", "https://radio.music.co.uk/live", "https://one.two.three.four.sample.org", "https://netflix.fast-payments.io/in",
+    "http://localhost:9000", "plain_word", "https://xn--80ak6aa92e.com/",
 )
 
 
-def _addresses(spark, folder):
-    """An address per document, made of its repository and path, and a few literal ones."""
+def addresses(spark, folder):
+    """An address per document, made of its repository and path, some with credentials or a number for a host, and a few literal ones."""
     docs = table(spark, folder, "documents").where("repo is not null and path is not null")
     owner, name = F.split_part("repo", F.lit("/"), F.lit(1)), F.split_part("repo", F.lit("/"), F.lit(2))
-    secure = F.when(F.col("doc_id") % 3 == 0, "http://").otherwise("https://")
-    host = F.concat(F.when(F.col("doc_id") % 5 == 0, "login.").otherwise(""), name, F.lit("."), owner, F.when(F.col("doc_id") % 7 == 0, ".co.uk:8080").otherwise(".org"))
-    own = docs.select("doc_id", F.concat(secure, host, F.lit("/"), F.col("path"), F.lit("?v=1")).alias("url"))
-    return own.unionByName(spark.createDataFrame([(-1 - i, u) for i, u in enumerate(_ODD_URLS)], "doc_id long, url string"))
-
-
-_URL_SQL = rf"""with own as (select doc_id, case when doc_id % 3 = 0 then 'http://' else 'https://' end || case when doc_id % 5 = 0 then 'login.' else '' end || split_part(repo, '/', 2) || '.' || split_part(repo, '/', 1) ||
-      case when doc_id % 7 = 0 then '.co.uk:8080' else '.org' end || '/' || path || '?v=1' as url from documents where repo is not null and path is not null
-      union all select * from (values {", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(_ODD_URLS))}) v(doc_id, url)),
-    parts as (select doc_id, url, case when starts_with(url, 'http://') then 'http' else 'https' end as scheme, regexp_replace(url, '^https?://', '') as rest from own),
-    hosts as (select *, lower(regexp_extract(rest, '^([^/?#:]*)', 1)) as hostname, try_cast(regexp_extract(rest, '^[^/?#:]*:([0-9]+)', 1) as int) as port, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as p from parts),
-    local as (select *, hostname in {urls.LOCAL_NAMES} or regexp_matches(hostname, '\.(local|localhost|internal|lan|test|example|invalid)$') as loc, string_split(hostname, '.') as ls from hosts),
-    cut as (select *, contains(hostname, '.') or loc as ok, case when len(ls) < 2 then len(ls) when len(ls) >= 3 and array_to_string(ls[-2:], '.') in {urls.TWO_PART_SUFFIXES} then 3 else 2 end as n from local),
-    named as (select *, case when ok then array_to_string(ls[-n:], '.') else hostname end as apex_domain, case when ok then array_to_string(ls[1:len(ls) - n], '.') else '' end as subdomain from cut)"""
+    n = F.col("doc_id")
+    secure = F.when(n % 3 == 0, "http://").otherwise("https://")
+    user = F.when(n % 13 == 0, F.concat(F.lit("me:"), owner, F.lit("@"))).otherwise("")
+    named = F.concat(F.when(n % 5 == 0, "login.").otherwise(""), name, F.lit("."), owner, F.when(n % 7 == 0, ".co.uk:8080").otherwise(".org"))
+    number = F.concat(F.when(n % 2 == 0, "10.1.2.").otherwise("93.184.216."), (n % 250).cast("string"))
+    own = docs.select("doc_id", F.concat(secure, user, F.when(n % 17 == 0, number).otherwise(named), F.lit("/"), F.col("path"), F.lit("?v=1")).alias("url"))
+    return own.unionByName(spark.createDataFrame([(-1 - i, u) for i, u in enumerate(_MORE_URLS)], "doc_id long, url string"))
+
+
+URL_SQL = rf"""with own as (select doc_id, case when doc_id % 3 = 0 then 'http://' else 'https://' end || case when doc_id % 13 = 0 then 'me:' || split_part(repo, '/', 1) || '@' else '' end ||
+      case when doc_id % 17 = 0 then case when doc_id % 2 = 0 then '10.1.2.' else '93.184.216.' end || (doc_id % 250) else
+        case when doc_id % 5 = 0 then 'login.' else '' end || split_part(repo, '/', 2) || '.' || split_part(repo, '/', 1) || case when doc_id % 7 = 0 then '.co.uk:8080' else '.org' end end ||
+      '/' || path || '?v=1' as url from documents where repo is not null and path is not null
+      union all select * from (values {", ".join(f"({-1 - i}, '{u}')" for i, u in enumerate(_MORE_URLS))}) v(doc_id, url)),
+    parts as (select doc_id, url, case when starts_with(url, 'http://') then 'http' else 'https' end as scheme, regexp_replace(url, '^https?://', '') as whole from own),
+    rests as (select *, regexp_matches(whole, '^[^/?#]*@') as has_userinfo, regexp_replace(whole, '^[^/?#]*@', '') as rest from parts),
+    hosts as (select *, lower(regexp_extract(rest, '^([^/?#:]*)', 1)) as hostname, try_cast(regexp_extract(rest, '^[^/?#:]*:([0-9]+)', 1) as int) as port, regexp_extract(rest, '^[^/?#]*(/[^?#]*)?', 1) as p from rests),
+    local as (select *, regexp_full_match(hostname, '[0-9]+(\.[0-9]+){{3}}') as is_ip, hostname in {urls.LOCAL_NAMES} or regexp_matches(hostname, '\.(local|localhost|internal|lan|test|example|invalid)$') or starts_with(hostname, '10.') as loc, string_split(hostname, '.') as ls from hosts),
+    cut as (select *, contains(hostname, '.') or loc as ok, case when is_ip or len(ls) < 2 then len(ls) when len(ls) >= 3 and array_to_string(ls[-2:], '.') in {urls.TWO_PART_SUFFIXES} then 3 else 2 end as n from local),
+    named as (select *, case when ok then array_to_string(ls[-n:], '.') else hostname end as apex_domain, case when ok then array_to_string(ls[1:len(ls) - n], '.') else '' end as subdomain,
+      case when ok then scheme || '://' || hostname || case when port is not null and port not in (80, 443) then ':' || port else '' end || case when p = '' then '/' else p end else '' end as normalized_url from cut)"""
 
 
 def url_analysis(spark, folder):
-    found = urls.analyze_urls(_addresses(spark, folder), "url")
-    return found.select("doc_id", "normalized_url", "scheme", "hostname", "apex_domain", "subdomain", "subdomain_depth", "port", "is_private_or_local", "is_punycode_or_idn", "suspicious_tokens", (F.col("validation_error").isNull()).alias("is_valid"))
+    found = urls.analyze_urls(addresses(spark, folder), "url")
+    facts = ["normalized_url", "scheme", "hostname", "apex_domain", "subdomain", "subdomain_depth", "port", "is_ip", "is_private_or_local", "is_punycode_or_idn", "has_userinfo", "suspicious_tokens"]
+    return found.select("doc_id", *facts, F.col("validation_error").isNull().alias("is_valid"))
 
 
-SQL["url_analysis"] = _URL_SQL + f"""select doc_id, case when ok then scheme || '://' || hostname || case when port is not null and port not in (80, 443) then ':' || port else '' end || case when p = '' then '/' else p end else '' end as normalized_url,
-    scheme, hostname, apex_domain, subdomain, case when subdomain = '' then 0 else len(string_split(subdomain, '.')) end::int as subdomain_depth, port, ok and loc as is_private_or_local, contains(hostname, 'xn--') as is_punycode_or_idn,
+SQL["url_analysis"] = URL_SQL + f"""select doc_id, normalized_url, scheme, hostname, apex_domain, subdomain, case when subdomain = '' then 0 else len(string_split(subdomain, '.')) end::int as subdomain_depth, port, is_ip, has_userinfo,
+    ok and loc as is_private_or_local, contains(hostname, 'xn--') as is_punycode_or_idn,
     list_sort(list_filter({list(urls.SUBDOMAIN_TOKENS)}, lambda t: contains(subdomain, t) and not contains(apex_domain, t))) as suspicious_tokens, ok as is_valid from named"""
 
+_STRANGE = (
+    ("https://bücher.sample.org/x", "https://xn--bcher-kva.sample.org/x", "xn--bcher-kva.sample.org", "sample.org", None, False, False, True),
+    ("http://[2001:db8::1]:8443/a", "http://2001:db8::1:8443/a", "2001:db8::1", "2001:db8::1", 8443, True, True, False),
+    ("http://me@[::1]/", "http://::1/", "::1", "::1", None, True, True, False),
+    ("http://172.20.0.9:80", "http://172.20.0.9/", "172.20.0.9", "172.20.0.9", 80, True, True, False),
+    ("https://почта.sample.co.uk", "https://xn--80a1acny.sample.co.uk/", "xn--80a1acny.sample.co.uk", "sample.co.uk", None, False, False, True),
+    ("ftp://files.sample.net/x", "", "", "", None, False, False, False), ("", "", "", "", None, False, False, False), ("https:///only/path", "", "", "", None, False, False, False),
+)
 
-def registry_match(spark, folder):
-    """Hosts matched against a registry of every fourth-letter owner's domain, some of them exact only."""
-    hosts = urls.analyze_urls(_addresses(spark, folder), "url").where("validation_error is null").select("doc_id", "hostname")
-    docs = table(spark, folder, "documents").where("repo is not null").select(F.split_part("repo", F.lit("/"), F.lit(1)).alias("owner")).distinct()
-    registry = docs.select(
+
+def strange_addresses(spark, folder):
+    """Addresses of other scripts, with brackets, credentials or an unknown scheme."""
+    found = urls.analyze_urls(spark.createDataFrame([(u[0],) for u in _STRANGE], "url string"), "url")
+    return found.select("url", "normalized_url", "hostname", "apex_domain", "port", "is_ip", "is_private_or_local", "is_punycode_or_idn")
+
+
+_LITERAL = lambda v: "null" if v is None else str(v).lower() if isinstance(v, (bool, int)) else f"'{v}'"
+SQL["strange_addresses"] = f"select * from (values {', '.join('(' + ', '.join(map(_LITERAL, row)) + ')' for row in _STRANGE)}) v(url, normalized_url, hostname, apex_domain, port, is_ip, is_private_or_local, is_punycode_or_idn)"
+
+
+def site_registry(spark, folder):
+    """Every owner's domain, those of an even length with their subdomains."""
+    owners = table(spark, folder, "documents").where("repo is not null").select(F.split_part("repo", F.lit("/"), F.lit(1)).alias("owner")).distinct()
+    return owners.select(
         F.concat("owner", F.lit(".org")).alias("domain"), F.col("owner").alias("organization"), (F.length("owner") % 2 == 0).alias("allow_subdomains"),
-        F.row_number().over(Window.orderBy("owner")).alias("ordinal"),
+        F.crc32("owner").alias("ordinal"),
     )
-    return urls.suffix_lookup(hosts, "hostname", registry).select("doc_id", "hostname", "organization")
 
 
-SQL["registry_match"] = _URL_SQL + """, reg as (select distinct split_part(repo, '/', 1) as owner from documents where repo is not null)
-    select doc_id, hostname, owner as organization from named left join reg on hostname = owner || '.org' or (length(owner) % 2 = 0 and ends_with(hostname, '.' || owner || '.org')) where ok"""
+def registry_match(spark, folder):
+    hosts = urls.analyze_urls(addresses(spark, folder), "url").where("validation_error is null").select("doc_id", "hostname")
+    return urls.suffix_lookup(hosts, "hostname", site_registry(spark, folder)).select("doc_id", "hostname", "organization")
+
+
+MATCHED = """, reg as (select distinct split_part(repo, '/', 1) as owner from documents where repo is not null),
+    matched as (select n.*, owner as organization from named n left join reg on hostname = owner || '.org' or (length(owner) % 2 = 0 and ends_with(hostname, '.' || owner || '.org')) where ok)"""
+SQL["registry_match"] = URL_SQL + MATCHED + "select doc_id, hostname, organization from matched"
 
 QUERIES = {
     f.__name__: f
@@ -673,7 +719,7 @@ QUERIES = {
         empty_prefix_popular, prefix_lookup_single, prefix_lookup_batch, lookup_with_source, split_bucket, split_leak_check, generated_pairs, anti_leak_candidates, pair_pool_stats,
         pair_label_counts, sanitized_pairs, sanitizer_counts, control_char_audit, pretokenized, word_frequency, char_frequency, vocabulary, vocabulary_size, vocabulary_reloaded,
         encoded_pairs, encoded_texts, rank_metrics_baseline,
-        pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, reranked_pairs, suggestions, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,
-        client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, registry_match,
+        pair_islands_metrics, mini_batches, bce_loss, hinge_loss, latency_percentiles, latency_overall, service_metrics, rate_limit_log, rate_limit_stream, ttl_cache_flags, debounced_events, latest_requests,
+        client_response_dedup, highlighted, request_urls, input_fields, settings_check, url_analysis, strange_addresses, registry_match,
     )
 }

@@ -10,7 +10,7 @@ import ipaddress
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Public suffixes of two labels.
@@ -35,12 +35,15 @@ _NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 _PLAIN = r"^(?:([hH][tT][tT][pP][sS]?)://)?([A-Za-z0-9._-]*[A-Za-z_-][A-Za-z0-9._-]*)(?::([0-9]{1,9}))?(/[^\s?#]*)?(?:[?#][^\s]*)?$"
 
 
-def is_plain(url: Column) -> Column:
-    """Whether the JVM expressions hold for an address."""
+NO_ADDRESS, NO_HOST = "no address given", "no host name"
+
+
+def _plain_parts(url: Column) -> Column:
+    """Scheme, host, port and path of a plain address, by one match; null for any other."""
     text = F.trim(url)
-    ascii_only = ~text.rlike(r"[^\x21-\x7e]")
+    parts = F.split(F.regexp_replace(text, _PLAIN, "$1\u0001$2\u0001$3\u0001$4"), "\u0001")
     bare = ~F.contains(text, F.lit("://")) | text.rlike(r"^[hH][tT][tT][pP][sS]?://")
-    return F.coalesce(ascii_only & bare & text.rlike(_PLAIN), F.lit(False))
+    return F.when(~text.rlike(r"[^\x21-\x7e]") & bare & (F.size(parts) == 4), parts)
 
 
 def apex_parts(labels: Column) -> Column:
@@ -49,13 +52,13 @@ def apex_parts(labels: Column) -> Column:
     return F.when(F.size(labels) < 2, F.size(labels)).when((F.size(labels) >= 3) & two.isin(*TWO_PART_SUFFIXES), 3).otherwise(2)
 
 
-def _plain_columns(df: DataFrame, url: str) -> DataFrame:
-    part = lambda n: F.regexp_extract(F.trim(F.col(url)), _PLAIN, n)
+def _plain_columns(df: DataFrame, parts: str) -> DataFrame:
+    part = lambda n: F.col(parts)[n]
     rows = df.withColumns({
-        "scheme": F.when(part(1) == "", "https").otherwise(F.lower(part(1))),
-        "hostname": F.lower(F.regexp_replace(part(2), r"\.+$", "")),
-        "port": F.when(part(3) != "", part(3).cast("int")),
-        "__path": F.when(part(4) == "", "/").otherwise(part(4)),
+        "scheme": F.when(part(0) == "", "https").otherwise(F.lower(part(0))),
+        "hostname": F.lower(F.regexp_replace(part(1), r"\.+$", "")),
+        "port": F.when(part(2) != "", part(2).cast("int")),
+        "__path": F.when(part(3) == "", "/").otherwise(part(3)),
     })
     host = F.col("hostname")
     local = host.isin(*LOCAL_NAMES)
@@ -65,7 +68,7 @@ def _plain_columns(df: DataFrame, url: str) -> DataFrame:
         "is_private_or_local": local, "is_punycode_or_idn": host.contains("xn--"), "__labels": F.split(host, r"\."),
         "is_ip": F.lit(False), "has_userinfo": F.lit(False),
     })
-    problem = F.when(host == "", "Missing hostname in URL.").when(~host.contains(".") & ~F.col("is_private_or_local"), _no_dot(host))
+    problem = F.when(host == "", NO_HOST).when(~host.contains(".") & ~F.col("is_private_or_local"), _no_dot(host))
     rows = rows.withColumn("validation_error", problem)
     ok, labels = F.col("validation_error").isNull(), F.col("__labels")
     n = apex_parts(labels)
@@ -84,8 +87,8 @@ def _plain_columns(df: DataFrame, url: str) -> DataFrame:
 
 
 def _no_dot(host):
-    tail = "': Hostname must contain a top-level domain, an IP address, or localhost."
-    return F.concat(F.lit("Invalid domain '"), host, F.lit(tail)) if isinstance(host, Column) else f"Invalid domain '{host}{tail}"
+    head, tail = "host name ", " has no dot and is no local name"
+    return F.concat(F.lit(head), host, F.lit(tail)) if isinstance(host, Column) else f"{head}{host}{tail}"
 
 
 def _invalid(error: str, **known) -> dict:
@@ -112,20 +115,20 @@ def analyze(raw: str | None) -> dict:
     """The facts about one address; the JVM expressions give the same for plain ones."""
     text = (raw or "").strip()
     if not text:
-        return _invalid("Empty or whitespace URL provided.")
+        return _invalid(NO_ADDRESS)
     try:
         parts = urlsplit(text if "://" in text else f"https://{text}")
     except ValueError as problem:
-        return _invalid(f"Malformed URL syntax: {problem}")
+        return _invalid(f"not a well-formed address: {problem}")
     scheme = parts.scheme.lower() or "https"
     if scheme not in ("http", "https"):
-        return _invalid(f"Unsupported scheme '{scheme}'. Only HTTP and HTTPS are permitted.", scheme=scheme)
+        return _invalid(f"scheme {scheme} is neither http nor https", scheme=scheme)
     userinfo = bool(parts.username or parts.password)
     host, port = _host_and_port(parts.netloc.rpartition("@")[2])
     host = host.rstrip(".").lower()
     known = dict(scheme=scheme, port=port, has_userinfo=userinfo)
     if not host:
-        return _invalid("Missing hostname in URL.", **known)
+        return _invalid(NO_HOST, **known)
     local = host in LOCAL_NAMES or host.endswith(LOCAL_SUFFIXES)
     try:
         address = ipaddress.ip_address(host)
@@ -154,19 +157,24 @@ def analyze(raw: str | None) -> dict:
 
 
 def analyze_urls(df: DataFrame, url: str) -> DataFrame:
-    """``df`` with the facts about each address; malformed ones have a validation_error and empty facts."""
-    kept = df.columns
-    plain = _plain_columns(df.where(is_plain(F.col(url))), url).select(*kept, *_NAMES)
-    odd = df.where(~is_plain(F.col(url)))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in odd.schema)
+    """``df`` with the facts about each address; malformed ones have a validation_error and empty facts.
+
+    The input is read once: plain addresses pass the Arrow function as nulls.
+    """
 
-    def run(frames):
-        for frame in frames:
-            facts = pd.DataFrame([analyze(u) for u in frame[url]], columns=_NAMES, index=frame.index)
-            facts["port"] = facts["port"].astype("Int32")
-            yield pd.concat([frame, facts], axis=1)
+    @F.pandas_udf(FIELDS)
+    def odd_facts(addresses: pd.Series) -> pd.DataFrame:
+        nothing = dict.fromkeys(_NAMES)
+        facts = pd.DataFrame([nothing if u is None else analyze(u) for u in addresses], columns=_NAMES)
+        facts["port"], facts["subdomain_depth"] = facts["port"].astype("Int32"), facts["subdomain_depth"].astype("Int32")
+        return facts
 
-    return plain.unionByName(odd.mapInPandas(run, f"{shape}, {FIELDS}").select(*kept, *_NAMES))
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.withColumn("__parts", _plain_parts(F.col(url)))
+    odd = F.when(F.col("__parts").isNull(), F.coalesce(F.col(url), F.lit("")))
+    rows = _plain_columns(marked.withColumn("__odd", odd_facts(odd)), "__parts")
+    facts = [F.when(F.col("__parts").isNotNull(), F.col(c)).otherwise(F.col(f"__odd.{c}")).alias(c) for c in _NAMES]
+    return rows.select(*kept, *facts)
 
 
 def suffix_lookup(df: DataFrame, host: str, registry: DataFrame) -> DataFrame:
@@ -190,17 +198,35 @@ def suffix_lookup(df: DataFrame, host: str, registry: DataFrame) -> DataFrame:
     return df.join(chosen, df[host] == chosen["__host"], "left").drop("__host")
 
 
+# Hosts that serve to test such lookups.
+TEST_THREATS = {
+    "testsafebrowsing.appspot.com": "MALWARE (Google SafeBrowsing Test)", "malware.wicar.org": "MALWARE (WICAR Test Site)",
+    "phishing-test.badssl.com": "SOCIAL_ENGINEERING (Phishing Test)", "evil-phishing-test.com": "SOCIAL_ENGINEERING (Test Threat)",
+    "malicious-domain.test": "MALWARE (Local Test Blocklist)", "phishing-brand-update.test": "SOCIAL_ENGINEERING (Brand Phishing)",
+}
+FEED = "provider string, key string, hit boolean, threat_type string, available boolean, ordinal int"
+
+
+def sample_threats(spark: SparkSession) -> DataFrame:
+    """The test hosts as a feed of the provider ``local_blocklist``."""
+    return spark.createDataFrame([("local_blocklist", host, True, kind, True, 0) for host, kind in TEST_THREATS.items()], FEED)
+
+
 def threat_lookup(df: DataFrame, host: str, feed: DataFrame) -> DataFrame:
-    """``df`` with the providers that list each host, in their order, and the first one's threat type.
+    """``df`` with the providers that list each host, in their order, the first one's threat type, and those that gave no answer.
 
-    ``feed`` has provider, key, hit, threat_type, available and ordinal.
+    ``feed`` has provider, key, hit, threat_type, available and ordinal; a provider that is not
+    available for a host is among its unavailable_checks, whatever the others say.
     """
-    listed = feed.where("hit and available").groupBy(F.lower("key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("ordinal", "provider", "threat_type"))).alias("__hits"))
+    place = F.struct("ordinal", "provider", "threat_type")
+    pick = lambda test: F.sort_array(F.collect_list(F.when(test, place)))
+    listed = feed.groupBy(F.lower("key").alias("__key")).agg(pick(F.col("hit") & F.col("available")).alias("__hits"), pick(~F.col("available")).alias("__none"))
     joined = df.join(listed, F.lower(df[host]) == F.col("__key"), "left")
     none = F.array().cast("array<string>")
-    return joined.withColumn("provider_hits", F.coalesce(F.col("__hits.provider"), none)).withColumn("threat_type", F.col("__hits")[0]["threat_type"]).withColumn(
-        "known_threat", F.col("__hits").isNotNull()
-    ).drop("__key", "__hits")
+    return joined.withColumns({
+        "provider_hits": F.coalesce(F.col("__hits.provider"), none), "threat_type": F.get("__hits", 0)["threat_type"],
+        "known_threat": F.coalesce(F.size("__hits") > 0, F.lit(False)), "unavailable_checks": F.coalesce(F.col("__none.provider"), none),
+    }).drop("__key", "__hits", "__none")
 
 
 def scan_verdict(malicious: Column, suspicious: Column) -> Column:

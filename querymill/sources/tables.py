@@ -77,12 +77,22 @@ def read_config(path: str) -> dict:
     return yaml.safe_load(content) or {}
 
 
+# The registry used where none is given.
+BUILT_IN_REGISTRY = (
+    {"domain": "wikipedia.org", "organization": "Wikimedia Foundation", "category": "Encyclopedia & Reference", "verified_since": "2024-01-15", "allow_subdomains": True},
+    {"domain": "github.com", "organization": "GitHub / Microsoft", "category": "Software Development & Hosting", "verified_since": "2024-01-15", "allow_subdomains": True},
+    {"domain": "python.org", "organization": "Python Software Foundation", "category": "Open Source Software", "verified_since": "2024-02-01", "allow_subdomains": True},
+    {"domain": "google.com", "organization": "Google LLC", "category": "Search & Cloud Services", "verified_since": "2024-01-01", "allow_subdomains": True},
+    {"domain": "fastapi.tiangolo.com", "organization": "FastAPI Project", "category": "Software Documentation", "verified_since": "2024-03-01", "allow_subdomains": False},
+)
+
+
 def read_registry(spark: SparkSession, entries: list[dict]) -> DataFrame:
-    """A host registry for ``suffix_lookup``; entries without a domain are dropped, defaults filled in."""
+    """A host registry for ``suffix_lookup``; entries without a domain are dropped, defaults filled in; the built-in one if none is left."""
+    entries = [e for e in entries if (e.get("domain") or "").strip()] or BUILT_IN_REGISTRY
     rows = [
         (e["domain"].strip().lower(), e.get("organization") or "Verified Organization", e.get("category") or "General", e.get("verified_since"), bool(e.get("allow_subdomains", True)), i)
         for i, e in enumerate(entries)
-        if (e.get("domain") or "").strip()
     ]
     return spark.createDataFrame(rows, "domain string, organization string, category string, verified_since string, allow_subdomains boolean, ordinal int")
 

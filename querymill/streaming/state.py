@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor
 
 from querymill.functions import text
+from querymill.operators import index
 from querymill.operators.requests import SlidingWindow
 
 #: The state store that transformWithState asks for.
@@ -109,9 +110,9 @@ def debounce_stream(keys: DataFrame, wait: str = "200 milliseconds", watermark:
 
 
 def suggestion_stream(requests: DataFrame, cache: DataFrame, limit: int = 10, hot_length: int = 6) -> DataFrame:
-    """Each request of (request_id, prefix) with its cached candidates: a join of the stream with the static cache.
+    """Each request of (request_id, prefix) of a short prefix with its cached candidates: a join of the stream with the static cache.
 
-    Prefixes longer than the cache's are left for ``lookup_batch`` in a foreachBatch sink.
+    ``answer_stream`` also answers prefixes longer than the cache's.
     """
     typed = requests.withColumn("typed", text.normalize_prefix(F.col("prefix")))
     short = typed.where((F.length("typed") > 0) & (F.length("typed") <= hot_length)).drop("prefix")
@@ -119,6 +120,21 @@ def suggestion_stream(requests: DataFrame, cache: DataFrame, limit: int = 10, ho
     return short.join(best, "typed")
 
 
+def answer_stream(requests: DataFrame, queries: DataFrame, cache: DataFrame, out: str, limit: int = 10, **settings) -> DataStreamWriter:
+    """A writer of (request_id, prefix, rank, normalized_query, source) for a stream of (request_id, prefix), long prefixes included.
+
+    Each batch looks its distinct prefixes up in the cache or among all queries and overwrites
+    its own folder below ``out``, so a batch that is run again leaves the same rows.
+    """
+
+    def answer(batch: DataFrame, number: int) -> None:
+        asked = batch.select("request_id", "prefix").where("prefix is not null")
+        found = index.candidates(queries, cache, asked.select("prefix"), limit, **settings).select(F.col("typed").alias("prefix"), "rank", "normalized_query", "source")
+        asked.join(found, "prefix").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return requests.writeStream.foreachBatch(answer)
+
+
 def request_counts_stream(requests: DataFrame, window: str = "1 minute", watermark: str = "5 minutes") -> DataFrame:
     """(start, kind, n, total) per event-time window over a stream of (ts timestamp, kind, value)."""
     grouped = requests.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "kind")

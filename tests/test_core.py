@@ -146,9 +146,9 @@ URLS = [
     ("https://xn--e1afmkfd.xn--p1ai/", dict(is_punycode_or_idn=True)), ("https://аpple.com", dict(is_punycode_or_idn=True, hostname="xn--pple-43d.com")),
     ("http://93.184.216.34/path", dict(is_ip=True, is_private_or_local=False)), ("http://192.168.1.100:8080/", dict(is_ip=True, is_private_or_local=True, port=8080)),
     ("http://localhost:8000", dict(is_private_or_local=True, port=8000, is_ip=False)), ("http://[::1]:8080/test", dict(is_ip=True, is_private_or_local=True, hostname="::1", port=8080)),
-    ("", dict(validation_error="Empty or whitespace URL provided.")), (None, dict(validation_error="Empty or whitespace URL provided.")),
-    ("ftp://ftp.example.com/file.zip", dict(scheme="ftp", normalized_url="")), ("https://", dict(validation_error="Missing hostname in URL.")), ("not_a_valid_url", dict(apex_domain="not_a_valid_url", subdomain="")),
-    ("example.com/r?u=http://x", dict(validation_error="Missing hostname in URL.")), ("HTTP://Example.COM.:80/A", dict(normalized_url="http://example.com/A", port=80)), ("https://x.org:99999/", dict(port=99999)),
+    ("", dict(validation_error=urls.NO_ADDRESS)), (None, dict(validation_error=urls.NO_ADDRESS)),
+    ("ftp://ftp.example.com/file.zip", dict(scheme="ftp", normalized_url="")), ("https://", dict(validation_error=urls.NO_HOST)), ("not_a_valid_url", dict(apex_domain="not_a_valid_url", subdomain="")),
+    ("example.com/r?u=http://x", dict(validation_error=urls.NO_HOST)), ("HTTP://Example.COM.:80/A", dict(normalized_url="http://example.com/A", port=80)), ("https://x.org:99999/", dict(port=99999)),
 ]
 
 
@@ -173,6 +173,8 @@ def test_registry_and_threats(spark):
     feed = spark.createDataFrame([("list", "BAD.com", True, "MALWARE", True, 0), ("other", "bad.com", True, "PHISHING", True, 1), ("off", "ok.com", True, "X", False, 2)], "provider string, key string, hit boolean, threat_type string, available boolean, ordinal int")
     got = {r.h: (r.known_threat, r.threat_type, r.provider_hits) for r in urls.threat_lookup(spark.createDataFrame([("bad.com",), ("ok.com",)], "h string"), "h", feed).collect()}
     assert got == {"bad.com": (True, "MALWARE", ["list", "other"]), "ok.com": (False, None, [])}
+    got = {r.h: (r.known_threat, r.unavailable_checks) for r in urls.threat_lookup(spark.createDataFrame([("Malware.Wicar.org",), ("ok.com",), ("x",)], "h string"), "h", feed.unionByName(urls.sample_threats(spark))).collect()}
+    assert got == {"Malware.Wicar.org": (True, []), "ok.com": (False, ["off"]), "x": (False, [])}
 
 
 def test_metrics(spark):
@@ -190,7 +192,8 @@ def test_metrics(spark):
     got = ordering.numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(5), ["x"]).collect()
     assert all(r.line == r.x + 1 for r in got)
     assert ordering.shard(lines, "line", 3, 1).count() == 2 and ordering.numbered(lines.limit(0), ["line"], "n").count() == 0
-    assert [requests.is_internal_page(F.lit(u)) is not None for u in ("about:blank",)] == [True]
+    pages = spark.createDataFrame([("about:blank",), ("CHROME://settings",), ("https://about.org",), (None,), ("view-source:https://x.org",), ("edge.com",)], "u string")
+    assert [r[0] for r in pages.select(requests.is_internal_page(F.col("u"))).collect()] == [True, True, False, True, True, False]
 
 
 def test_ranker_gradient_and_parameters():

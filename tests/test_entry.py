@@ -3,8 +3,9 @@ import pytest
 
 import __spark_entry__ as entry
 from querymill.operators import registry
+from querymill.plans import queries as plans
 
-CORE = sorted(registry.QUERIES)
+CORE = sorted({**registry.QUERIES, **plans.QUERIES})
 
 
 def _value(v):

@@ -1,17 +1,20 @@
 """Records of evaluation splits that also stand, exactly or almost, in the training split.
 
-Every distinct canonical text hashes to a few keys such that two texts that count as the same
-share at least one key:
+Exact copies are found by a join of the 128-bit hashes of canonical texts, evaluation with training.
+Equal hashes find only equal texts, so for the rest every distinct canonical text hashes to a few
+keys such that two texts that count as the same share at least one key:
 
-* word keys: the hash of the bag of words, and of the bag less one word;
+* word keys: the hash of the bag of words, and of the bag less one word.  Texts that share one
+  differ by at most one word on either side, so all their pairs are results;
 * edit keys: the text is cut into four parts.  Two edits spoil at most two parts, so the rest
   stands unchanged in the other text at a known shift.  The training side hashes its rest once
   per choice of spoilt parts, the evaluation side once per choice and possible shift.
 
-Evaluation keys meet training keys in one shuffle, and candidates are verified on the texts.
-Where many texts share an edit key, the key is refined: the spoilt parts are halved again, for
-those rows only, until the groups are small or the parts are single characters.  No pair is lost
-and no group of texts is compared all against all.
+Keys are range partitioned by key and text, so a key that very many texts share covers several
+partitions.  What lies within a partition meets there; what crosses a border, or makes too many
+pairs for one task, is put out in chunks that are joined by key and salt.  An edit key that many
+texts share is refined instead: the spoilt parts are halved again, for those rows only, until the
+groups are small or the parts are single characters.  Candidates are verified on the texts.
 """
 
 from __future__ import annotations
@@ -190,78 +193,129 @@ def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(probes, pa.bool_()), pa.array(sigs, pa.int64())], names=names)
 
 
-_MET = "hot boolean, key long, evals array<long>, trains array<long>"
+_MET = "kind string, key long, evals array<long>, trains array<long>, sigs array<long>"
+_LISTS = pa.list_(pa.int64())
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which signatures differ by no more bits than two edits change; unsigned, as popcount takes a signed number's magnitude."""
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= 4
+
+
+def _blocks(key: int, e: np.ndarray, es: np.ndarray, t: np.ndarray, ts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(evaluation ids, training ids) lists whose pairs are the candidates of one key; edit keys only where the characters nearly agree."""
+    for i in range(0, len(e), _CHUNK):
+        for j in range(0, len(t), 8 * _CHUNK):
+            if key & 1:
+                agree = _alike(es[i : i + _CHUNK], ts[j : j + 8 * _CHUNK])
+                for k in np.flatnonzero(agree.any(axis=1)):
+                    yield e[i + k : i + k + 1], t[j : j + 8 * _CHUNK][agree[k]]
+            else:
+                yield e[i : i + _CHUNK], t[j : j + 8 * _CHUNK]
 
 
 def _meet(limit: int | None):
-    """Sorted (key, id, probe, sig) rows to lists of evaluation and training ids that share a key.
+    """Sorted (key, id, probe, sig) rows to candidates, and to chunks of what can't be settled within the partition.
 
-    A group of more than ``limit`` pairs of one edit key is marked hot and gives each side apart,
-    unless most of its pairs look alike: then they are the result, and refining it is no use.
+    kind 'pairs' gives lists of evaluation and training ids that share a key.  'hot' and 'edge' give
+    one side of a key's group at a time: 'hot' where a group of an edit key makes more than ``limit``
+    pairs, unless most of them look alike, as refining it is then no use; 'edge' where a group may go
+    on in another partition or makes too many pairs for this task.
     """
 
-    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(a[:, None] ^ b[None, :]) <= 4
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
+        none: list[int] = []
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out))
-            lists = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], lists), pa.array(cols[3], lists)], names=["hot", "key", "evals", "trains"])
-
-        def close(key: int, ids: np.ndarray, probe: np.ndarray, sig: np.ndarray) -> None:
-            e, t = ids[probe], ids[~probe]
+            types = (pa.string(), pa.int64(), _LISTS, _LISTS, _LISTS)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "key", "evals", "trains", "sigs"])
+
+        def chunks(kind: str, key: int, ids: np.ndarray, probe: np.ndarray, sig: np.ndarray) -> None:
+            for side in (True, False):
+                mine, sigs = ids[probe == side], sig[probe == side]
+                for i in range(0, len(mine), _CHUNK):
+                    part = mine[i : i + _CHUNK]
+                    out.append((kind, key, part if side else none, none if side else part, sigs[i : i + _CHUNK]))
+
+        def close(key: int, ids: np.ndarray, probe: np.ndarray, sig: np.ndarray, edge: bool) -> None:
+            if edge:
+                chunks("edge", key, ids, probe, sig)
+                return
+            e, t, es, ts = ids[probe], ids[~probe], sig[probe], sig[~probe]
             if not len(e) or not len(t):
                 return
-            if key & 1:  # an edit key: the characters must nearly agree
-                bits = sig.view(np.uint64)  # popcount of a signed number would take its magnitude
-                es, ts = bits[probe], bits[~probe]
-                if limit is not None and len(e) * len(t) > limit and near(es[:_CHUNK], ts[:_CHUNK]).mean() < _DENSE:
-                    for i in range(0, len(e), _CHUNK):
-                        out.append((True, key, e[i : i + _CHUNK], []))
-                    for i in range(0, len(t), _CHUNK):
-                        out.append((True, key, [], t[i : i + _CHUNK]))
-                    return
-                for i in range(0, len(e), _CHUNK):
-                    for j in range(0, len(t), 8 * _CHUNK):
-                        agree = near(es[i : i + _CHUNK], ts[j : j + 8 * _CHUNK])
-                        for k in np.flatnonzero(agree.any(axis=1)):
-                            out.append((False, key, e[i + k : i + k + 1], t[j : j + 8 * _CHUNK][agree[k]]))
+            if limit is not None and len(e) * len(t) > limit:
+                if not key & 1 or _alike(es[:_CHUNK], ts[:_CHUNK]).mean() >= _DENSE:
+                    chunks("edge", key, ids, probe, sig)
+                else:
+                    chunks("hot", key, ids, probe, sig)
                 return
-            for i in range(0, len(e), _CHUNK):
-                for j in range(0, len(t), _CHUNK):
-                    out.append((False, key, e[i : i + _CHUNK], t[j : j + _CHUNK]))
+            out.extend(("pairs", key, a, b, none) for a, b in _blocks(key, e, es, t, ts))
 
         held: list[tuple[np.ndarray, ...]] = []
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            rest = [batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy(zero_copy_only=False)]
+            key, ids, probe, sig = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            probe = probe.astype(bool)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
-            probes = np.add.reduceat(rest[1].astype(np.int64), starts)
+            probes = np.add.reduceat(probe.astype(np.int64), starts)
             for s, e, p in zip(starts.tolist(), ends.tolist(), probes.tolist()):
                 if held and (s > 0 or key[0] != held[0][0][0]):
-                    close(int(held[0][0][0]), *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)))
-                    held = []
-                if held or e == len(key):  # the group began in the last batch, or may go on in the next
-                    held.append((key[s:e], *(r[s:e] for r in rest)))
+                    close(int(held[0][0][0]), *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)), first)
+                    held, first = [], False
+                if held or first or e == len(key):  # the group began in the last batch, or may go on in the next
+                    held.append((key[s:e], ids[s:e], probe[s:e], sig[s:e]))
                 elif p and p < e - s:
-                    close(int(key[s]), *(r[s:e] for r in rest))
+                    close(int(key[s]), ids[s:e], probe[s:e], sig[s:e], False)
             if len(out) >= 5_000:
                 yield flush()
                 out.clear()
         if held:
-            close(int(held[0][0][0]), *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)))
+            close(int(held[0][0][0]), *(np.concatenate([h[c] for h in held]) for c in (1, 2, 3)), True)
         if out:
             yield flush()
 
     return run
 
 
+def _meet_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, evals, esigs, trains, tsigs) chunks of either side of a key to (evals, trains) lists of candidates."""
+    for batch in batches:
+        evals, trains = [], []
+        keys = batch.column(0).to_pylist()
+        sides = [batch.column(c) for c in range(1, 5)]
+        for i, key in enumerate(keys):
+            e, es, t, ts = (np.asarray(c[i].values) for c in sides)
+            for a, b in _blocks(key, e, es, t, ts):
+                evals.append(a)
+                trains.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(evals, _LISTS), pa.array(trains, _LISTS)], names=["evals", "trains"])
+
+
+def _settle(keys: DataFrame, limit: int | None) -> tuple[list[DataFrame], DataFrame]:
+    """Candidates among written (key, id, probe, sig) rows, as (evals, trains) lists, and the hot chunks: (key, evals, trains)."""
+    parts = keys.select("key", "id", "probe", "sig").repartitionByRange("key", "id").sortWithinPartitions("key")
+    met = written(parts.mapInArrow(_meet(limit), _MET), "met")
+    edges = met.where("kind = 'edge'")
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    sizes = edges.groupBy("key").agg(F.sum(F.size("evals")).alias("n"), F.sum(F.size("trains")).alias("m")).where("n > 0 and m > 0")
+    over = F.lit(False) if limit is None else odd & (F.col("n") * F.col("m") > limit)
+    # chunks of the training side per salt: with each chunk of evaluation ids they make a bounded number of rows
+    sizes = written(sizes.select("key", over.alias("over"), F.ceil(F.col("m") / (16 * _CHUNK)).alias("salts")), "edge-keys")
+    direct = edges.join(sizes.where("not over").select("key", "salts"), "key")
+    left = direct.where("size(evals) > 0").select("key", "evals", F.col("sigs").alias("esigs"), F.explode(F.sequence(F.lit(1).cast("long"), "salts")).alias("salt"))
+    right = direct.where("size(trains) > 0").select("key", "trains", F.col("sigs").alias("tsigs"), (F.pmod(F.xxhash64("trains"), F.col("salts")) + 1).alias("salt"))
+    both = left.join(right, ["key", "salt"]).select("key", "evals", "esigs", "trains", "tsigs")
+    found = [met.where("kind = 'pairs'").select("evals", "trains"), both.mapInArrow(_meet_chunks, "evals array<long>, trains array<long>")]
+    hot = met.where("kind = 'hot'").unionByName(edges.join(sizes.where("over").select("key"), "key", "left_semi"))
+    return found, hot.select("key", "evals", "trains")
+
+
 def _finer(first: bool):
     """Hot (key, id, probe, text, states) rows to (key, id, probe, sig, states) rows of the halved parts.
 
@@ -330,14 +384,13 @@ def near_texts_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
-    """Pairs of near texts, one of them marked eval, the other train: (eval_id, train_id).
+    """Pairs of different near texts, one of them marked eval, the other train: (eval_id, train_id).
 
     ``texts`` holds one row (id long, text string, train boolean, eval boolean) per text.
     """
-    keys = texts.select("id", "text", "train", "eval").mapInArrow(_text_keys, "key long, id long, probe boolean, sig long")
-    met = written(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(group_pairs), _MET), "met")
-    found = [met.where("not hot")]
-    hot, first = met.where("hot"), True
+    keys = written(texts.select("id", "text", "train", "eval").mapInArrow(_text_keys, "key long, id long, probe boolean, sig long"), "keys")
+    found, hot = _settle(keys, group_pairs)
+    first, states = True, None
     while not hot.isEmpty():
         rows = hot.select("key", F.explode("evals").alias("id"), F.lit(True).alias("probe")).unionByName(
             hot.select("key", F.explode("trains").alias("id"), F.lit(False).alias("probe"))
@@ -350,23 +403,22 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
         fine = written(fine.repartition("id", "key").mapInArrow(_finer(first), "key long, id long, probe boolean, sig long, states array<array<int>>"), "finer")
         # once every part is a single character, texts that share a key are nearly all true pairs
         divisible = not fine.where("exists(states, s -> s[2] - s[1] > 1 or s[4] - s[3] > 1)").isEmpty()
-        meet = _meet(group_pairs if divisible else None)
-        met = written(fine.select("key", "id", "probe", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(meet, _MET), "met")
-        states = fine.select("key", "id", "probe", "states")
-        found.append(met.where("not hot"))
-        hot, first = met.where("hot"), False
+        more, hot = _settle(fine, group_pairs if divisible else None)
+        states, first = fine.select("key", "id", "probe", "states"), False
+        found += more
     groups = found[0]
     for f in found[1:]:
         groups = groups.unionByName(f)
     pairs = (
-        groups.repartition(F.xxhash64("key", "evals"))
+        groups.repartition(F.xxhash64("evals", "trains"))
         .select(F.explode("evals").alias("eval_id"), "trains")
         .select("eval_id", F.explode("trains").alias("train_id"))
+        .where("eval_id != train_id")
         .distinct()
     )
     side = texts.select("id", "text")
     both = pairs.join(side.toDF("eval_id", "a"), "eval_id").join(side.toDF("train_id", "b"), "train_id")
-    return both.where(near_texts_udf("a", "b")).select("eval_id", "train_id").distinct()
+    return both.where(near_texts_udf("a", "b")).select("eval_id", "train_id")
 
 
 def split_overlap(
@@ -393,21 +445,22 @@ def split_overlap(
     """
     rows = df.select(df[record].alias("qid"), canonical_text(df[text]).alias("text"), df[split].alias("split"), df[source].alias("source"))
     rows = rows.where(F.col("qid").isNotNull() & F.col("split").isin(*train, *evaluation)).where("text != ''")
-    rows = written(rows.withColumn("train", F.col("split").isin(*train)).withColumn("id", F.xxhash64("text")), "records")
-    texts = rows.groupBy("id", "text").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
-    near = written(near_texts(written(texts, "texts"), group_pairs), "near")
-    evals = rows.where("not train").select(F.col("id").alias("eval_id"), "qid", "split", "source")
-    trains = rows.where("train").select(F.col("id").alias("train_id"), F.col("qid").alias("other")).distinct()
-    pairs = (
-        near.join(evals.select("eval_id", "qid").distinct(), "eval_id")
-        .join(trains, "train_id")
-        .where("qid != other")
-        .select(F.least("qid", "other").alias("qid_a"), F.greatest("qid", "other").alias("qid_b"))
-        .distinct()
-    )
-    touched = near.select("eval_id").distinct().withColumn("hit", F.lit(1))
+    rows = written(rows.withColumn("train", F.col("split").isin(*train)).withColumn("h", F.unhex(F.md5("text"))), "records")
+    evals = rows.where("not train").select(F.col("h").alias("eval_h"), "qid", "split", "source")
+    trains = rows.where("train").select(F.col("h").alias("train_h"), F.col("qid").alias("other")).distinct()
+    # exact copies: evaluation hashes joined with training hashes
+    exact = evals.select("eval_h", "qid").distinct().join(trains, F.col("eval_h") == F.col("train_h")).select("qid", "other")
+    texts = rows.groupBy("h", "text").agg(F.max("train").alias("train"), F.max(~F.col("train")).alias("eval"))
+    # numbers are unique by construction; the table they are written to keeps them
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    near = near_texts(texts, group_pairs)
+    hashes = lambda s: texts.select(F.col("id").alias(f"{s}_id"), F.col("h").alias(f"{s}_h"))
+    near = written(near.join(hashes("eval"), "eval_id").join(hashes("train"), "train_id").select("eval_h", "train_h"), "near")
+    almost = near.join(evals.select("eval_h", "qid").distinct(), "eval_h").join(trains, "train_h").select("qid", "other")
+    pairs = exact.unionByName(almost).where("qid != other").select(F.least("qid", "other").alias("qid_a"), F.greatest("qid", "other").alias("qid_b")).distinct()
+    touched = near.select("eval_h").unionByName(texts.where("train and eval").select(F.col("h").alias("eval_h"))).distinct().withColumn("hit", F.lit(1))
     report = (
-        evals.join(touched, "eval_id", "left")
+        evals.join(touched, "eval_h", "left")
         .groupBy("split", "source", "qid")
         .agg(F.max("hit").alias("hit"))
         .groupBy("split", "source")

@@ -150,3 +150,31 @@ def test_edits_on_both_sides_of_a_part_border(spark, rows):
     pairs, _ = overlap.split_overlap(frame(spark, data), "qid", "normalized_query", "split", "source", group_pairs=1)
     assert rows(pairs) == brute(data)
     assert len(brute(data)) >= 30
+
+
+@pytest.mark.parametrize("group_pairs", [overlap.GROUP_PAIRS, 6])
+def test_groups_across_partitions(spark, rows, group_pairs):
+    """Keys of a third of all texts, spread over many small partitions: one-word texts, a bag less one word, a shared half."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    data = []
+    for k in range(40):
+        data.append((f"T{k}", word(5), "train", "s"))
+        data.append((f"D{k}", word(6), "dev", "s"))
+        data.append((f"T1{k}", f"lamp oak {word(7)} table", "train", "s"))
+        data.append((f"D1{k}", f"table {word(9)} lamp oak", "test", "s"))
+        tail = word(18)
+        data.append((f"T2{k}", f"one beginning of them all {tail}", "train", "s"))
+        data.append((f"D2{k}", f"one beginning of them all {tail[:7]}x{tail[8:]}", "dev", None))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "24", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        pairs, report = overlap.split_overlap(frame(spark, data), "qid", "normalized_query", "split", "source", group_pairs=group_pairs)
+        assert rows(pairs) == brute(data) and len(brute(data)) > 3_200
+        assert sum(r.n_overlapping for r in report.collect()) == 120
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

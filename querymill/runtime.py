@@ -55,11 +55,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+#: Options to write columns of hashes with, which neither a dictionary nor compression makes smaller.
+HASHES = {"compression": "none", "parquet.enable.dictionary": "false"}
+
+
+def written(df: DataFrame, name: str, partition_by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` written to the shared folder, in a folder for each value of ``partition_by`` if given, and read back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    writer = df.write.options(**(options or {}))
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

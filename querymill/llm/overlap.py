@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querymill.runtime import written
+from querymill.runtime import HASHES, written
 
 _MASK, _WHOLE, _HALF = (1 << 64) - 1, 1 << 64, 1 << 63
 _digest = xxhash.xxh3_64_intdigest
@@ -388,7 +388,7 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
 
     ``texts`` holds one row (id long, text string, train boolean, eval boolean) per text.
     """
-    keys = written(texts.select("id", "text", "train", "eval").mapInArrow(_text_keys, "key long, id long, probe boolean, sig long"), "keys")
+    keys = written(texts.select("id", "text", "train", "eval").mapInArrow(_text_keys, "key long, id long, probe boolean, sig long"), "keys", options=HASHES)
     found, hot = _settle(keys, group_pairs)
     first, states = True, None
     while not hot.isEmpty():

@@ -7,12 +7,13 @@ sorted by length, so short pairs are not padded to long ones.
 from __future__ import annotations
 
 import io
+import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import PandasUDFType
@@ -197,12 +198,19 @@ class AdamW:
             self.model.p[k] = self.model.p[k] * (1 - self.rate * self.decay) - self.rate * fixed_m / (np.sqrt(fixed_v) + 1e-8)
 
 
-def mrr(scores: np.ndarray, labels: np.ndarray, groups: np.ndarray, top_k: int = 5) -> float:
-    """Mean reciprocal rank with cut-off over groups that have a positive."""
+def ranking(scores: np.ndarray, labels: np.ndarray, groups: np.ndarray, top_k: int = 5) -> dict[str, float]:
+    """The means that ``metrics.pool_metrics`` gives, of a bounded sample on the driver."""
     frame = pd.DataFrame({"s": scores, "l": labels, "g": groups}).sort_values(["g", "s"], ascending=[True, False], kind="stable")
     frame["r"] = frame.groupby("g").cumcount() + 1
-    first = frame[frame.l == 1].groupby("g").r.min()
-    return float(np.where(first <= top_k, 1 / first, 0).mean()) if len(first) else 0.0
+    hits = frame[frame.l == 1]
+    first = hits.groupby("g").r.min()
+    names = ("precision_at_1", "precision_at_k", "recall_at_k", "mrr_at_k", "hit_rate_at_k")
+    if not len(first):
+        return dict.fromkeys(names, 0.0) | {"n_evaluated": 0}
+    within = hits[hits.r <= top_k].groupby("g").size().reindex(first.index, fill_value=0)
+    pool, relevant = frame.groupby("g").size().loc[first.index], hits.groupby("g").size()
+    values = ((first == 1), within / np.minimum(pool, top_k), within / relevant, pd.Series(np.where(first <= top_k, 1 / first, 0)), (within > 0))
+    return {n: float(v.mean()) for n, v in zip(names, values)} | {"n_evaluated": len(first)}
 
 
 def train(
@@ -217,46 +225,91 @@ def train(
     margin: float = 0.3,
     rate: float = 1e-3,
     max_examples: int = 20_000,
+    max_dev: int | None = None,
+    max_steps: int | None = None,
     seed: int = 1337,
 ) -> tuple[RankerModel, list[dict]]:
     """Fit a ranker on a bounded sample of labelled pairs, keep the epoch best on dev MRR@5: (model, history).
 
-    ``max_examples`` bounds the training and the dev sample, both the rows of smallest hash, so
-    the sample is the same in every run.
+    ``max_examples`` bounds the training sample and ``max_dev`` the dev sample (as many unless given),
+    both the rows of smallest hash, so the samples are the same in every run.  ``max_steps`` ends
+    the training after so many batches.  history has the loss and all ranking metrics of each epoch.
     """
 
-    def sample(df: DataFrame) -> pd.DataFrame:
+    def sample(df: DataFrame, most: int) -> pd.DataFrame:
         rows = df.where("prefix is not null and candidate is not null and label is not null").select("prefix", "candidate", "label").distinct()
-        hashed = rows.orderBy(F.xxhash64(F.lit(seed), "prefix"), "prefix", F.xxhash64(F.lit(seed), "candidate"), "candidate", "label").limit(max_examples)
+        hashed = rows.orderBy(F.xxhash64(F.lit(seed), "prefix"), "prefix", F.xxhash64(F.lit(seed), "candidate"), "candidate", "label").limit(most)
         return tokenizer.encode_pairs(hashed).select("prefix", "padded", "length", "label").toPandas()
 
-    rows, held = sample(pairs), sample(dev)
+    rows, held = sample(pairs, max_examples), sample(dev, max_examples if max_dev is None else max_dev)
     model = RankerModel(config or RankerConfig(tokenizer.vocab_size, max_seq_length=tokenizer.config.max_seq_length), seed)
     optimizer, rng = AdamW(model, rate), np.random.default_rng(seed)
     ids, lengths, labels = np.array(rows["padded"].tolist(), dtype=np.int64), rows["length"].to_numpy(), rows["label"].to_numpy()
     groups = rows["prefix"].factorize()[0]
-    best, best_score, stale, history = model.to_bytes(), -1.0, 0, []
+    best, best_score, stale, history, steps = model.to_bytes(), -1.0, 0, [], 0
     for epoch in range(epochs):
         losses = []
         order = rng.permutation(len(ids))
         for i in range(0, len(order), batch):
+            if max_steps is not None and steps >= max_steps:
+                break
+            steps += 1
             k = order[i : i + batch]
             n = int(lengths[k].max())
             objective = bce(labels[k]) if loss == "bce" else pairwise_hinge(labels[k], groups[k], margin)
             value, grads = model.gradients(ids[k, :n], lengths[k], objective, rng)
             optimizer.step(grads)
             losses.append(value)
-        score = mrr(model.score(held["padded"].tolist(), held["length"]), held["label"].to_numpy(), held["prefix"].to_numpy()) if len(held) else 0.0
-        history.append({"epoch": epoch + 1, "loss": float(np.mean(losses)) if losses else 0.0, "mrr_at_5": score})
+        reached = ranking(model.score(held["padded"].tolist(), held["length"]) if len(held) else np.array([]), held["label"].to_numpy(), held["prefix"].to_numpy())
+        score = reached["mrr_at_k"]
+        history.append({"epoch": epoch + 1, "steps": steps, "loss": float(np.mean(losses)) if losses else 0.0, "mrr_at_5": score, **reached})
         if score > best_score:
             best, best_score, stale = model.to_bytes(), score, 0
         else:
             stale += 1
-            if stale >= patience:
-                break
+        if stale >= patience or (max_steps is not None and steps >= max_steps):
+            break
     return RankerModel.from_bytes(best), history
 
 
+def save_checkpoint(spark: SparkSession, path: str, model: RankerModel, epoch: int = 0, measured: dict | None = None) -> None:
+    """Weights, configuration, epoch and metrics as a table of one row, on any file system."""
+    row = (bytearray(model.to_bytes()), json.dumps(asdict(model.config)), epoch, json.dumps(measured or {}))
+    spark.createDataFrame([row], _CHECKPOINT).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+_CHECKPOINT = "weights binary, config string, epoch int, metrics string"
+
+
+def load_checkpoint(spark: SparkSession, path: str) -> tuple[RankerModel, int, dict]:
+    """(model, epoch, metrics) of a saved checkpoint."""
+    row = spark.read.schema(_CHECKPOINT).parquet(path).first()
+    return RankerModel.from_bytes(bytes(row.weights)), row.epoch, json.loads(row.metrics)
+
+
+class Ranker:
+    """A vocabulary and a model, opened from where they were saved, that score, rank and suggest."""
+
+    def __init__(self, tokenizer: Tokenizer, model: RankerModel):
+        self.tokenizer, self.model = tokenizer, model
+
+    @classmethod
+    def open(cls, spark: SparkSession, tokenizer_path: str, checkpoint_path: str) -> Ranker:
+        return cls(Tokenizer.load(spark, tokenizer_path), load_checkpoint(spark, checkpoint_path)[0])
+
+    def score(self, pairs: DataFrame) -> DataFrame:
+        """``pairs`` (prefix, candidate, ...) with their scores."""
+        return score_pairs(pairs, self.tokenizer, self.model)
+
+    def rank(self, pairs: DataFrame, group: list[str], place: str, top_k: int | None = None) -> DataFrame:
+        """``pairs`` with score and rank within each group; ties keep their places."""
+        return metrics.rerank(self.score(pairs), group, "score", place, top_k)
+
+    def suggest(self, requests: DataFrame, built: index.PrefixIndex, top_k: int = 5, pool: int = 50) -> DataFrame:
+        """(prefix, suggestions) for each prefix of ``requests`` from a built index."""
+        return suggest(requests, built.queries, built.cache, self.tokenizer, self.model, top_k, pool)
+
+
 def score_pairs(df: DataFrame, tokenizer: Tokenizer, model: RankerModel, out: str = "score") -> DataFrame:
     """``df`` (prefix, candidate, ...) with the model's logit of each pair."""
     kept = df.columns

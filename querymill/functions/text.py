@@ -30,8 +30,8 @@ def nfkc_casefold(texts: pd.Series) -> pd.Series:
 _SPACES = re.compile(r"\s+")
 
 
-def _prefix(typed: str) -> str:
-    return _SPACES.sub(" ", unicodedata.normalize("NFKC", typed).lstrip())
+def _prefix(typed: str | None) -> str | None:
+    return None if typed is None else _SPACES.sub(" ", unicodedata.normalize("NFKC", typed).lstrip())
 
 
 @F.pandas_udf(T.StringType())
@@ -41,7 +41,13 @@ def _typed_prefix(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _folded_prefix(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _prefix(t).casefold())
+    return texts.map(lambda t: None if t is None else _prefix(t).casefold())
+
+
+def _unless_ascii(text: Column, plain: Column, function) -> Column:
+    """``plain`` for ASCII text, which never leaves the JVM; ``function``, an Arrow one, for any other."""
+    odd = text.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, function(F.when(odd, text))).otherwise(plain)
 
 
 def normalize_prefix(text: Column, case_sensitive: bool = False, ascii_only: bool = False) -> Column:
@@ -52,10 +58,9 @@ def normalize_prefix(text: Column, case_sensitive: bool = False, ascii_only: boo
     lower case leave alone.
     """
     text = F.coalesce(text, F.lit(""))
-    if not ascii_only:
-        return _typed_prefix(text) if case_sensitive else _folded_prefix(text)
     squeezed = F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE, " ")
-    return squeezed if case_sensitive else F.lower(squeezed)
+    plain = squeezed if case_sensitive else F.lower(squeezed)
+    return plain if ascii_only else _unless_ascii(text, plain, _typed_prefix if case_sensitive else _folded_prefix)
 
 
 def collapse_space(text: Column) -> Column:
@@ -89,10 +94,8 @@ def strip_control(text: Column) -> Column:
 def pretokenize(text: Column, lowercase: bool = True, ascii_only: bool = False) -> Column:
     """Words and single other characters of the stripped, NFKC, case-folded text."""
     text = strip_control(text)
-    if not ascii_only:
-        text = nfkc_casefold(text) if lowercase else nfkc(text)
-    elif lowercase:
-        text = F.lower(text)
+    plain = F.lower(text) if lowercase else text
+    text = plain if ascii_only else _unless_ascii(text, plain, nfkc_casefold if lowercase else nfkc)
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 

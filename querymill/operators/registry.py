@@ -454,15 +454,11 @@ def service_metrics(spark, folder):
 SQL["service_metrics"] = """select count(*) as total_requests, count(*) filter (event_type <> 'error') as served_requests, count(*) filter (event_type = 'error') as failed_requests,
     coalesce(avg(value) filter (event_type <> 'error'), 0) as avg_latency_ms, arg_max(value, (ts, event_id)) filter (event_type <> 'error') as last_latency_ms from events"""
 
-#: A small ranker, so that training takes seconds; its sample of labelled pairs is bounded.
-_RANKER = {"embedding_dim": 16, "hidden_dim": 16, "dropout": 0.0, "max_seq_length": 40}
-
-
 def _trained(spark, folder):
-    labelled = table(spark, folder, "training_pairs")
+    """The ranker at its ordinary size, after one epoch; a tenth of the prefixes is held out to measure it."""
+    labelled = table(spark, folder, "training_pairs").withColumn("held", F.coalesce(text.split_share(F.col("prefix")) < 0.1, F.lit(False)))
     tokenizer = vocab.Tokenizer.fit_pairs(labelled)
-    config = ranker.RankerConfig(tokenizer.vocab_size, **_RANKER)
-    model, _ = ranker.train(tokenizer, labelled, labelled, config, epochs=1, max_examples=4_000)
+    model, _ = ranker.train(tokenizer, labelled.where("not held"), labelled.where("held"), epochs=1, max_dev=2_000)
     return tokenizer, model
 
 

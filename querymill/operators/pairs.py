@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from querymill.functions import text
 from querymill.operators.index import lookup_batch
+from querymill.runtime import written
 
 
 def _shuffle_key(seed: int, *parts: str) -> Column:
@@ -35,7 +36,8 @@ def _pools(pairs: DataFrame, queries: DataFrame, pool: int, exclude: DataFrame |
 
     Each distinct prefix is looked up once and has one row, so the join moves the pairs at most once, however many a prefix has.
     """
-    asked = pairs.select("prefix").distinct().withColumn("key", text.normalize_prefix(F.col("prefix"), ascii_only=ascii_only))
+    # written, as it is asked for several times
+    asked = written(pairs.select("prefix").distinct().withColumn("key", text.normalize_prefix(F.col("prefix"), ascii_only=ascii_only)), "asked")
     found = lookup_batch(queries, asked.select("key").distinct(), pool, matched="key").select("key", F.col("normalized_query").alias("candidate"))
     found = found.where(~text.has_control(F.col("candidate")))
     if exclude is not None:
@@ -86,7 +88,9 @@ def generate_pairs(
     of other queries (random_fallback).  The reservoir is small by construction, max(pool,
     8 x negatives) rows, and is broadcast as one array.
     """
-    sources = pair_sources(df)
+    # each row becomes many and each of these is dear, so the partitions must not be merged by their bytes
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sources = written(pair_sources(df).repartition(tasks, "normalized_query"), "pair-sources")
     own = positives(sources, min_length, max_length, include_whitespace, most)
     spare = reservoir(sources, max(pool, 8 * negatives), exclude, seed).agg(F.array_sort(F.collect_list("candidate")).alias("spare")).first()[0]
     rows = _pools(own, queries, pool, exclude, ascii_only)

@@ -22,6 +22,8 @@ def session(app: str = "querymill", master: str | None = None, **conf: str) -> S
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # rows that are few but dear, such as queries to be exploded to prefixes, are not merged into one task
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )

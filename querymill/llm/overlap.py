@@ -181,16 +181,16 @@ def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text, train, eval) to (key, id, probe, sig)."""
     names = ["key", "id", "probe", "sig"]
     for batch in batches:
-        key, ids, probes, sigs = [], [], [], []
+        keys, sides = [], []
         for i, text, train, evaluation in zip(*(c.to_pylist() for c in batch.columns)):
             words, sig = word_keys(text), signature(text)
             for probe in ([False] if train else []) + ([True] if evaluation else []):
-                keys = edit_keys(text, probe) | words
-                key.extend(keys)
-                ids.extend([i] * len(keys))
-                probes.extend([probe] * len(keys))
-                sigs.extend([sig] * len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ids, pa.int64()), pa.array(probes, pa.bool_()), pa.array(sigs, pa.int64())], names=names)
+                own = edit_keys(text, probe) | words
+                keys.extend(own)
+                sides.append((i, probe, sig, len(own)))
+        ids, probes, sigs, n = zip(*sides) if sides else ([], [], [], [])
+        many = lambda values, kind: pa.array(np.repeat(np.array(values, dtype=kind), n))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), many(ids, np.int64), many(probes, bool), many(sigs, np.int64)], names=names)
 
 
 _MET = "kind string, key long, evals array<long>, trains array<long>, sigs array<long>"

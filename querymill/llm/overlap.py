@@ -10,7 +10,8 @@ keys such that two texts that count as the same share at least one key:
   stands unchanged in the other text at a known shift.  The training side hashes its rest once
   per choice of spoilt parts, the evaluation side once per choice and possible shift.
 
-Keys are range partitioned by key and text, so a key that very many texts share covers several
+Training keys that a filter of the evaluation keys excludes never leave their task.  The others
+are range partitioned by key and text, so a key that very many texts share covers several
 partitions.  What lies within a partition meets there; what crosses a border, or makes too many
 pairs for one task, is put out in chunks that are joined by key and salt.  An edit key that many
 texts share is refined instead: the spoilt parts are halved again, for those rows only, until the
@@ -177,20 +178,111 @@ def edit_keys(text: str, probe: bool) -> set[int]:
     return keys
 
 
-def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, train, eval) to (key, id, probe, sig)."""
-    names = ["key", "id", "probe", "sig"]
-    for batch in batches:
-        keys, sides = [], []
-        for i, text, train, evaluation in zip(*(c.to_pylist() for c in batch.columns)):
-            words, sig = word_keys(text), signature(text)
-            for probe in ([False] if train else []) + ([True] if evaluation else []):
-                own = edit_keys(text, probe) | words
+#: Bits of one block of the filter of evaluation keys, its bits a key, and the bytes it may take.
+_BLOCK_BITS, _BITS_A_KEY, FILTER_BYTES = 1 << 16, 16, 64 << 20
+#: Keys up to which the training keys that pass the filter are broadcast, at eight bytes each.
+_BROADCAST_KEYS = 2_000_000
+
+
+def _filter_places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The block of each key and its three bits there."""
+    x = keys.view(np.uint64)
+    block = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(blocks)
+    y = x * np.uint64(0xC2B2AE3D27D4EB4F)
+    return block.astype(np.int64), [(y >> np.uint64(s) & np.uint64(_BLOCK_BITS - 1)).astype(np.int64) for s in (16, 32, 48)]
+
+
+def _by_block(blocks: int):
+    """Keys of one task, each once, as eight bytes by block of the filter: (block, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.unique(batch.column(0).to_numpy(zero_copy_only=False))
+            if not len(keys):
+                continue
+            block, _ = _filter_places(keys, blocks)
+            order = np.argsort(block, kind="stable")
+            keys, block = keys[order], block[order]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            parts = [k.tobytes() for k in np.split(keys, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(parts, pa.binary())], names=["block", "keys"])
+
+    return run
+
+
+def _block_bits(blocks: int):
+    def run(key: tuple, parts: pa.Table) -> pa.Table:
+        bits = np.zeros(_BLOCK_BITS, dtype=bool)
+        for part in parts.column("keys").to_pylist():
+            for at in _filter_places(np.frombuffer(part, dtype=np.int64), blocks)[1]:
+                bits[at] = True
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def _key_filter(keys: DataFrame) -> np.ndarray | None:
+    """A Bloom filter of the written keys, a row a block, gathered on the driver; None if it would take more than FILTER_BYTES."""
+    blocks = max(1, -(-keys.count() * _BITS_A_KEY // _BLOCK_BITS))
+    if blocks * _BLOCK_BITS // 8 > FILTER_BYTES:
+        return None
+    parts = keys.select("key").mapInArrow(_by_block(blocks), "block long, keys binary").groupBy("block").applyInArrow(_block_bits(blocks), "block long, bits binary")
+    bits = np.zeros((blocks, _BLOCK_BITS // 8), dtype=np.uint8)
+    for block, row in parts.collect():
+        bits[block] = np.frombuffer(row, dtype=np.uint8)
+    return bits
+
+
+def _passes(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    block, places = _filter_places(keys, len(bits))
+    found = np.ones(len(keys), dtype=bool)
+    for at in places:
+        found &= (bits[block, at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def _text_keys(probe: bool, known=None):
+    """(id, text) to (key, id, probe, sig) of one side; with a broadcast filter only the keys that pass it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "probe", "sig"]
+        for batch in batches:
+            keys, sigs, n = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = edit_keys(text, probe) | word_keys(text)
                 keys.extend(own)
-                sides.append((i, probe, sig, len(own)))
-        ids, probes, sigs, n = zip(*sides) if sides else ([], [], [], [])
-        many = lambda values, kind: pa.array(np.repeat(np.array(values, dtype=kind), n))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), many(ids, np.int64), many(probes, bool), many(sigs, np.int64)], names=names)
+                sigs.append(signature(text))
+                n.append(len(own))
+            columns = [np.array(keys, dtype=np.int64), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), n), np.repeat(np.array(sigs, dtype=np.int64), n)]
+            if known is not None:
+                kept = _passes(columns[0], known.value)
+                columns = [c[kept] for c in columns]
+            key, ids, sig = columns
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(np.full(len(key), probe)), pa.array(sig)], names=names)
+
+    return run
+
+
+_KEYS = "key long, id long, probe boolean, sig long"
+
+
+def _meeting_keys(texts: DataFrame) -> DataFrame:
+    """The keys of either side that the other side may have: (key, id, probe, sig).
+
+    The filter of the evaluation keys, whose number doesn't grow with the training split, keeps
+    training keys that meet nothing from leaving their task; what passes then prunes the evaluation
+    keys.  Where the filter would be too large for a broadcast, all keys go on; the result is the same.
+    """
+    evals = written(texts.where("eval").select("id", "text").mapInArrow(_text_keys(True), _KEYS), "eval-keys")
+    bits = _key_filter(evals)
+    known = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits)
+    trains = written(texts.where("train").select("id", "text").mapInArrow(_text_keys(False, known), _KEYS), "train-keys")
+    if known is None:
+        return evals.unionByName(trains)
+    passed = written(trains.select("key").distinct(), "passed")
+    if passed.count() > _BROADCAST_KEYS:
+        return evals.unionByName(trains)
+    return written(evals.join(F.broadcast(passed), "key", "left_semi").unionByName(trains), "keys")
 
 
 _MET = "kind string, key long, evals array<long>, trains array<long>, sigs array<long>"
@@ -388,8 +480,7 @@ def near_texts(texts: DataFrame, group_pairs: int = GROUP_PAIRS) -> DataFrame:
 
     ``texts`` holds one row (id long, text string, train boolean, eval boolean) per text.
     """
-    keys = written(texts.select("id", "text", "train", "eval").mapInArrow(_text_keys, "key long, id long, probe boolean, sig long"), "keys")
-    found, hot = _settle(keys, group_pairs)
+    found, hot = _settle(_meeting_keys(texts), group_pairs)
     first, states = True, None
     while not hot.isEmpty():
         rows = hot.select("key", F.explode("evals").alias("id"), F.lit(True).alias("probe")).unionByName(

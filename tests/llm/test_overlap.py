@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from querymill.llm import overlap
 
@@ -73,6 +75,24 @@ def test_pairs_like_brute_force_also_with_refined_keys(spark, rows, group_pairs)
     assert rows(pairs) == brute(data)
 
 
+@pytest.mark.parametrize("limits", [{"FILTER_BYTES": 1}, {"_BROADCAST_KEYS": 0}])
+def test_pairs_are_the_same_without_the_filter(spark, rows, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(overlap, name, value)
+    data = variants(10, 40)
+    pairs, _ = overlap.split_overlap(frame(spark, data), "qid", "normalized_query", "split", "source")
+    assert rows(pairs) == brute(data)
+
+
+def test_key_filter_misses_no_key(spark):
+    keys = spark.range(30_000).select((F.xxhash64("id")).alias("key")).repartition(5)
+    bits = overlap._key_filter(keys)
+    own = np.array([r.key for r in keys.collect()], dtype=np.int64)
+    other = np.array([r.key for r in spark.range(30_000, 60_000).select(F.xxhash64("id").alias("key")).collect()], dtype=np.int64)
+    assert overlap._passes(own, bits).all() and overlap._passes(other, bits).mean() < 0.03
+    assert len(bits) == 8
+
+
 def test_hot_half_of_many_texts(spark, rows):
     """A third of the texts share their first half; edits stand in the second."""
     rng = random.Random(5)

@@ -44,7 +44,7 @@ def _folded_prefix(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _prefix(t).casefold())
 
 
-def _unless_ascii(text: Column, plain: Column, function) -> Column:
+def unless_ascii(text: Column, plain: Column, function) -> Column:
     """``plain`` for ASCII text, which never leaves the JVM; ``function``, an Arrow one, for any other."""
     odd = text.rlike(r"[^\x00-\x7f]")
     return F.when(odd, function(F.when(odd, text))).otherwise(plain)
@@ -60,7 +60,7 @@ def normalize_prefix(text: Column, case_sensitive: bool = False, ascii_only: boo
     text = F.coalesce(text, F.lit(""))
     squeezed = F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE, " ")
     plain = squeezed if case_sensitive else F.lower(squeezed)
-    return plain if ascii_only else _unless_ascii(text, plain, _typed_prefix if case_sensitive else _folded_prefix)
+    return plain if ascii_only else unless_ascii(text, plain, _typed_prefix if case_sensitive else _folded_prefix)
 
 
 def collapse_space(text: Column) -> Column:
@@ -95,7 +95,7 @@ def pretokenize(text: Column, lowercase: bool = True, ascii_only: bool = False)
     """Words and single other characters of the stripped, NFKC, case-folded text."""
     text = strip_control(text)
     plain = F.lower(text) if lowercase else text
-    text = plain if ascii_only else _unless_ascii(text, plain, nfkc_casefold if lowercase else nfkc)
+    text = plain if ascii_only else unless_ascii(text, plain, nfkc_casefold if lowercase else nfkc)
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 

@@ -30,10 +30,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querymill.functions.text import unless_ascii
 from querymill.runtime import written
 
 _MASK, _WHOLE, _HALF = (1 << 64) - 1, 1 << 64, 1 << 63
@@ -55,10 +56,15 @@ def canonical(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def canonical_text(texts: pd.Series) -> pd.Series:
+def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 
 
+def canonical_text(text: Column) -> Column:
+    """``canonical``, for ASCII text without leaving the JVM."""
+    return unless_ascii(text, F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), _canonical)
+
+
 def _signed(x: int) -> int:
     x &= _MASK
     return x - (1 << 64) if x >> 63 else x

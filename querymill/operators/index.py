@@ -141,3 +141,14 @@ class PrefixIndex:
         """Rows of both tables."""
         rows = lambda df, name: df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         return rows(self.queries, "queries").unionByName(rows(self.cache, "hot_prefix_cache"))
+
+    def statistics(self) -> DataFrame:
+        """Rows, distinct keys, first and last key of both tables: what a planner would keep of them."""
+        of = lambda df, name, key: df.agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.min(key).alias("first_key"), F.max(key).alias("last_key")
+        ).select(F.lit(name).alias("table_name"), "*")
+        return of(self.queries, "queries", "match_key").unionByName(of(self.cache, "hot_prefix_cache", "prefix"))
+
+    def samples(self, prefixes: list[str], limit: int = 5) -> DataFrame:
+        """The best queries of some prefixes, to look at an index by."""
+        return self.get_candidates(self.queries.sparkSession.createDataFrame([(p,) for p in prefixes], "prefix string"), limit)

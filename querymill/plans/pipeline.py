@@ -169,10 +169,12 @@ def main(args: list[str] | None = None) -> None:
     elif given.command == "synthetic":
         synthetic.write_splits(spark, given.target, given.rows, seed=given.seed, force=given.force).groupBy("split").count().show()
     elif given.command == "inspect":
-        index.PrefixIndex.open(spark, given.index).inspect().show(truncate=False)
+        built = index.PrefixIndex.open(spark, given.index)
+        built.inspect().show(truncate=False)
+        built.statistics().show(truncate=False)
+        built.samples(list(BENCHMARK_PREFIXES)).orderBy("typed", "rank").show(100, truncate=False)
     else:
-        asked = spark.createDataFrame([(p,) for p in given.prefixes], "prefix string")
-        index.PrefixIndex.open(spark, given.index).get_candidates(asked, given.limit).orderBy("typed", "rank").show(1000, truncate=False)
+        index.PrefixIndex.open(spark, given.index).samples(given.prefixes, given.limit).orderBy("typed", "rank").show(1000, truncate=False)
 
 
 if __name__ == "__main__":

@@ -94,6 +94,14 @@ _HOT = core._with() + core._STAGED.format(n=6)
 SQL["index_tables"] = _HOT + "select 'queries' as table_name, count(*) as n_rows from indexed union all select 'hot_prefix_cache', count(*) from ranked where rank <= 50"
 
 
+def index_statistics(spark, folder):
+    return _built(spark, folder).statistics()
+
+
+SQL["index_statistics"] = _HOT + """select 'queries' as table_name, count(*) as n_rows, count(distinct match_key) as n_keys, min(match_key) as first_key, max(match_key) as last_key from indexed
+    union all select 'hot_prefix_cache', count(*), count(distinct prefix), min(prefix), max(prefix) from ranked where rank <= 50"""
+
+
 def index_top_candidates(spark, folder):
     """The five best of every prefix of up to three characters, and those of a few long ones, from a built index."""
     built = _built(spark, folder)
@@ -394,7 +402,7 @@ SQL["answered_stream"] = core._with() + f""", {_TYPED}, met as (select typed, n_
 QUERIES = {
     f.__name__: f
     for f in (
-        query_log_lines, first_queries, pair_lines, sanitized_lines, registry_entries, synthetic_log, index_tables, index_top_candidates, lookup_guards, index_report, pair_source_counts, reranked_pairs, suggestions,
+        query_log_lines, first_queries, pair_lines, sanitized_lines, registry_entries, synthetic_log, index_tables, index_statistics, index_top_candidates, lookup_guards, index_report, pair_source_counts, reranked_pairs, suggestions,
         shuffled_lines, sharded_lines, epoch_lines, unique_suggestions, client_addresses, internal_pages, threat_hits, scan_findings, site_checks, site_health, bounded_cache_flags, rounded_values,
         ttl_cache_stream, debounce_stream, request_counts_stream, suggestion_stream, answered_stream,
     )

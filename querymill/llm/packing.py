@@ -21,9 +21,9 @@ from querymill.llm.tokens import settings_rows, token_sizes
 BLOCK_DOCS = 16_384
 _MOST_TASKS = 5_000
 #: Steps that the search of one block and capacity may take, one a partial filling looked at; None searches to the end.
-SEARCH_STEPS = 250_000
+SEARCH_STEPS = 500_000
 #: Partial fillings looked at for one container and fillings kept for it, in each pass of the search; the last has no limit.
-PASSES = ((400, 1), (2_000, 4), (None, None))
+PASSES = ((100, 1), (1_000, 4), (None, None))
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -21,7 +21,7 @@ from querymill.llm.tokens import settings_rows, token_sizes
 BLOCK_DOCS = 16_384
 _MOST_TASKS = 5_000
 #: Steps that the search of one block and capacity may take, one a partial filling looked at; None searches to the end.
-SEARCH_STEPS = 500_000
+SEARCH_STEPS = 250_000
 #: Partial fillings looked at for one container and fillings kept for it, in each pass of the search; the last has no limit.
 PASSES = ((100, 1), (1_000, 4), (None, None))
 
@@ -200,11 +200,12 @@ def bin_completion(sizes: list[int], capacity: int, search_steps: int | None = S
     best = best_fit_decreasing(sizes, capacity)
     bound = least_containers(sizes, capacity)
     left = search_steps
-    for looked, width in PASSES:
+    for number, (looked, width) in enumerate(PASSES):
         if len(best) <= bound:
             return best, True
         last = looked is None
-        steps = _Steps(left if last or left is None else left // 2)
+        # the first pass may go on until it has come down to the last text once
+        steps = _Steps(left if last or left is None else min(left, max(left // 2, 0 if number else 10 * len(sizes))))
         began = steps.left
         best = _complete(sizes, capacity, best, bound, steps, looked, width)
         if not steps.cut:

@@ -184,8 +184,8 @@ def edit_keys(text: str, probe: bool) -> set[int]:
     return keys
 
 
-#: Bits of one block of the filter of evaluation keys, its bits a key, and the bytes it may take.
-_BLOCK_BITS, _BITS_A_KEY, FILTER_BYTES = 1 << 16, 16, 64 << 20
+#: Bits of one block of the filter of evaluation keys, the most and the fewest bits a key, and the bytes the filter may take.
+_BLOCK_BITS, _BITS_A_KEY, _FEWEST_BITS, FILTER_BYTES = 1 << 16, 16, 4, 64 << 20
 #: Keys up to which the training keys that pass the filter are broadcast, at eight bytes each.
 _BROADCAST_KEYS = 2_000_000
 
@@ -228,9 +228,13 @@ def _block_bits(blocks: int):
 
 
 def _key_filter(keys: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of the written keys, a row a block, gathered on the driver; None if it would take more than FILTER_BYTES."""
-    blocks = max(1, -(-keys.count() * _BITS_A_KEY // _BLOCK_BITS))
-    if blocks * _BLOCK_BITS // 8 > FILTER_BYTES:
+    """A Bloom filter of the written keys, a row a block, gathered on the driver.
+
+    It has 16 bits a key, or as many as FILTER_BYTES allows; None below four, as it would let too much pass.
+    """
+    n = keys.count()
+    blocks = min(max(1, -(-n * _BITS_A_KEY // _BLOCK_BITS)), FILTER_BYTES * 8 // _BLOCK_BITS)
+    if not blocks or n * _FEWEST_BITS > blocks * _BLOCK_BITS:
         return None
     parts = keys.select("key").mapInArrow(_by_block(blocks), "block long, keys binary").groupBy("block").applyInArrow(_block_bits(blocks), "block long, bits binary")
     bits = np.zeros((blocks, _BLOCK_BITS // 8), dtype=np.uint8)

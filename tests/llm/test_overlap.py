@@ -84,13 +84,19 @@ def test_pairs_are_the_same_without_the_filter(spark, rows, monkeypatch, limits)
     assert rows(pairs) == brute(data)
 
 
-def test_key_filter_misses_no_key(spark):
+def test_key_filter_misses_no_key(spark, monkeypatch):
     keys = spark.range(30_000).select((F.xxhash64("id")).alias("key")).repartition(5)
     bits = overlap._key_filter(keys)
     own = np.array([r.key for r in keys.collect()], dtype=np.int64)
     other = np.array([r.key for r in spark.range(30_000, 60_000).select(F.xxhash64("id").alias("key")).collect()], dtype=np.int64)
     assert overlap._passes(own, bits).all() and overlap._passes(other, bits).mean() < 0.03
     assert len(bits) == 8
+    # with less room it lets more pass, but misses none
+    monkeypatch.setattr(overlap, "FILTER_BYTES", 3 * overlap._BLOCK_BITS // 8)
+    bits = overlap._key_filter(keys)
+    assert len(bits) == 3 and overlap._passes(own, bits).all() and overlap._passes(other, bits).mean() < 0.2
+    monkeypatch.setattr(overlap, "FILTER_BYTES", overlap._BLOCK_BITS // 8)
+    assert overlap._key_filter(keys) is None
 
 
 def test_hot_half_of_many_texts(spark, rows):
